@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import minhash, near
+from . import curriculum, ivfpq, lines, minhash, near, packing, ring, toxicity, url_rules, wrappers
 
 QUERIES = {
+    "op1_html_extraction": wrappers.query,
+    "op2_line_dedup": lines.query,
     "op3_document_fingerprints": minhash.query,
+    "op4_packing": packing.query,
+    "op5_nearest_neighbours": ivfpq.query,
+    "op6_url_filters": url_rules.query,
+    "op7_toxicity": toxicity.query,
+    "op8_source_mixing": curriculum.query,
+    "op9_sharding": ring.query,
     "op10_minhash_near_dedup": near.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_line_dedup": lines.ORACLE,
+    "op6_url_filters": url_rules.ORACLE,
+    "op8_source_mixing": curriculum.ORACLE,
+}
