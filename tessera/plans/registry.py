@@ -161,7 +161,7 @@ def distinct_categories(fx):
 def change_field_diff(fx):
     fields = lambda *cs: F.map_from_arrays(F.array(*map(F.lit, ("title_norm", "summary", "status"))), F.array(*cs)).alias("fields")
     after = F.when(F.col("status") == "pending", "active").otherwise(F.col("status"))
-    return listing.field_diff(fx.units.select("uuid", fields("title_norm", "summary", "status")), fx.units.select("uuid", fields(F.col("title_norm"), F.upper("summary"), after)))
+    return listing.field_diff(fx.units.select("uuid", fields("title_norm", "summary", "status")), fx.units.select("uuid", fields(F.col("title_norm"), F.concat(F.lit("now "), "summary"), after)))
 
 
 # Sources and sinks
