@@ -39,7 +39,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -75,3 +75,42 @@ def column_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def by_bytes(batches, column: int, most: int = 8 << 20):
+    """The same rows in batches whose texts have most bytes in all, or one row; keeps empty batches out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = column_buffer(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+#: Places of one row of a bitmap, and the least and most places of all rows.
+BITMAP_ROW, BITMAP_LEAST, BITMAP_MOST = 1 << 15, 1 << 18, 1 << 30
+
+
+def might_be_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows with a boolean column __maybe, false only where the id in column isn't in ids.
+
+    A bitmap of hashed ids, 16 places for each id and at most BITMAP_MOST
+    (128 MB), is broadcast, so that most rows without a partner need no
+    shuffle. Those that may have one are left to an exact join.
+    """
+    name = ids.columns[0]
+    places = BITMAP_LEAST
+    while places < 16 * ids.count() and places < BITMAP_MOST:
+        places *= 2
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(places))
+    row = lambda c: F.floor(F.col(c) / BITMAP_ROW).cast("int")
+    marked = ids.select(at(name).alias("__at")).groupBy(row("__at").alias("__row")).agg(F.bitmap_construct_agg(F.col("__at") % BITMAP_ROW).alias("__bits"))
+    placed = rows.withColumn("__at", at(column)).withColumn("__row", row("__at"))
+    found = placed.join(F.broadcast(marked), "__row", "left")  # places / 8 bytes
+    bit = F.col("__at") % BITMAP_ROW
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return found.select(*rows.columns, hit.alias("__maybe"))

@@ -9,59 +9,110 @@ further rounds, each of a bounded number of windows to a task.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, small_batches
+from .common import by_bytes, column_buffer, materialize, partitions, small_batches
+from .shingles import span_hashes, word_spans
 
 #: Open windows of a partition, the least gap that is worth cutting a piece, partitions merged by one task.
 WINDOWS, LEAST_CUT, FAN_IN = 16, 16, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long"
 
-#: A run of white space and the other characters up to the next one.
-UNIT = re.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
-#: Texts with other white space, or what looks like a special token, are encoded in one go.
-WHOLE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|<\\|")
+#: What the two libraries might part differently: unusual or very long white space, characters
+#: beyond the basic plane, and what looks like a special token.
+RARE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff\\U00010000-\\U0010ffff]|<\\||\\s{500}")
+#: White space that counts as very long.
+LONG_GAP = 500
 
 
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit words.
+#: Bytes of which a text must have one to be rare.
+_SUSPECT = np.array([b < 9 or 13 < b < 32 or b in (ord("<"), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF) or b >= 0xF0 for b in range(256)])
+
 
-    A byte-level pre-tokenizer never joins white space to what precedes it,
-    so a text's ids are those of its units one after the other; units repeat,
-    and each is encoded once while it stays in a bounded cache.
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit words, by the tokenizer file at path.
+
+    The public byte-level BPE is there for two libraries with the same ids.
+    The faster one encodes plain texts, the tokenizer file itself all others,
+    and whatever another file is given for. Byte-level pre-tokenizers never
+    join white space to what precedes it, so a plain text's ids are those of
+    its units, of white space and the word after it, one after the other;
+    each different unit (by a 64-bit hash) of a batch is encoded once.
     """
 
-    def __init__(self, path: str | None = None, most: int = 200_000):
-        import public_tokenizers
+    def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.cache: dict[str, bytes] = {}
-        self.most = most
+        self.plain = None
+        if path is None:
+            import public_tokenizers
+            import tiktoken
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            path = public_tokenizers.path("byte_bpe_50k.json")
+            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, rank in ranks.items():
+                self.bytes_of[rank] = len(token)
+        self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
-        if WHOLE.search(text):
-            return self._fresh([text])[0]
-        units = UNIT.findall(text)
-        new = [u for u in dict.fromkeys(units) if u not in self.cache]
-        if new:
-            if len(self.cache) + len(new) > self.most:
-                self.cache = {}
-                new = list(dict.fromkeys(units))
-            self.cache.update(zip(new, self._fresh(new), strict=True))
-        return b"".join(map(self.cache.__getitem__, units))
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, raw: bytes) -> np.ndarray:
+        return self.plain.encode_to_numpy(raw.decode(), disallowed_special=()).astype("<u4", copy=False)
+
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        if self.plain is None:
+            return [self._whole(t or "") for t in column.to_pylist()]
+        data, offsets = column_buffer(column)
+        raw = data.tobytes()
+        starts, stops, at = word_spans(data, offsets)
+        begins = np.concatenate(([0], stops[:-1]))[: len(starts)]
+        filled = np.flatnonzero(np.diff(at))
+        begins[at[filled]] = offsets[filled]
+        keys, first, which = np.unique(span_hashes(data, begins, stops, lower=False), return_index=True, return_inverse=True)
+        lo, hi = begins[first], stops[first]
+        # A unit without white space before it would run into another, so it is encoded alone: one for each text at most.
+        alone = np.flatnonzero(lo == starts[first])
+        together = np.flatnonzero(lo != starts[first])
+        ids = self._ids(b"".join([raw[a:b] for a, b in zip(lo[together].tolist(), hi[together].tolist(), strict=True)]))
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(hi[together] - lo[together])) + 1
+        own = [self._ids(raw[lo[k] : hi[k]]) for k in alone]
+        count, begin = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        count[together], begin[together] = np.diff(ends, prepend=0), np.concatenate(([0], ends[:-1]))[: len(ends)]
+        count[alone] = [len(x) for x in own]
+        begin[alone] = len(ids) + np.cumsum(count[alone]) - count[alone]
+        ids = np.concatenate([ids, *own])
+        each = count[which]
+        past = np.concatenate(([0], np.cumsum(each)))
+        all_ids = ids[np.repeat(begin[which] - past[:-1], each) + np.arange(past[-1])].astype("<u4", copy=False).tobytes()
+        cuts = (past[at] * 4).tolist()
+        last = offsets[:-1].copy()
+        last[filled] = stops[at[filled + 1] - 1]
+        out = [all_ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in np.flatnonzero(last < offsets[1:]):  # white space at the end
+            out[k] += self._ids(raw[last[k] : offsets[k + 1]]).tobytes()
+        suspects = np.searchsorted(offsets, np.flatnonzero(_SUSPECT[data]), "right") - 1
+        long_gaps = np.searchsorted(offsets, starts[starts - begins >= LONG_GAP], "right") - 1
+        for k in {*np.unique(suspects).tolist(), *long_gaps.tolist(), *np.flatnonzero(offsets[1:] - last >= LONG_GAP).tolist()}:
+            text = raw[offsets[k] : offsets[k + 1]].decode()
+            if RARE.search(text):
+                out[k] = self._whole(text)
+        return out
 
 
 class Packer:
@@ -154,9 +205,9 @@ def _first_id(level: int) -> int:
 def _packed(tokenizer: str | None, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder(tokenizer), Packer(size, _first_id(0))
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + b"\0\0\0\0"
+        for batch in by_bytes(batches, 1):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids += b"\0\0\0\0"
                 packer.place(doc_id, 0, ids, len(ids) // 4)
             if len(packer.out) >= 2000:
                 yield _batch(packer.out)

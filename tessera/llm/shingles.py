@@ -34,11 +34,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, in order, and how many words lie before each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and how many words lie before each text."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a word never reaches over two texts
@@ -47,6 +47,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = ~space
     ends[:-1] &= space[1:] | first[1:n]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return starts, stops, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of spans that are in order and don't overlap; lower: A-Z count as a-z."""
     out = np.empty(len(starts), np.uint64)
     up, down = _powers(BLOCK + 1)
     at = 0
@@ -57,13 +62,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             up, down = _powers(int(hi - lo) + 1)
         piece = data[lo:hi]
         code = piece.astype(np.uint64)
-        code[(piece >= 65) & (piece <= 90)] += np.uint64(32)
+        if lower:
+            code[(piece >= 65) & (piece <= 90)] += np.uint64(32)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((code + np.uint64(1)) * up[: hi - lo], out=total[1:])
         a, b = starts[at:to] - lo, stops[at:to] - lo
         out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
         at = to
-    return out, np.searchsorted(starts, offsets).astype(np.int64)
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word, in order, and how many words lie before each text."""
+    starts, stops, at = word_spans(data, offsets)
+    return span_hashes(data, starts, stops), at
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
