@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = [F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__text")]
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    parts = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.approxQuantile("doc_id", parts, 0.01)), reverse=True) if parts else []
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + F.coalesce((F.col("doc_id") < cut).cast("int"), F.lit(1))
