@@ -5,11 +5,12 @@ the more alike two sets are. Bands of values bring candidates together, an
 estimate over both sketches rules out hopeless pairs, and every link is
 confirmed on the full sets.
 
-Groups of any size are safe: documents with equal sets are one class, and a
-bucket of similar classes is linked through pivots instead of all pairs.
-Buckets whose members already lie in one component need no more work;
-others get more pivots, twice as many each round, until each pair of
-different components that a bucket holds has been compared.
+Groups of any size are safe: documents with equal sets are one class, and the
+classes of a bucket are first linked with the most central one alone. Buckets
+whose members then lie in one component are done. In the others, members
+outside the main component are held against all members in blocks; only what
+could still join two components is confirmed, so no task gets more than two
+blocks, and a block gives no more links than it has members.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_buffer, materialize, small_batches
+from .common import by_bytes, column_buffer, materialize, might_be_in, small_batches
 from .components import connected_components
 from .shingles import distinct_sorted, minima, mix, permutations, shingle_hashes
 
 #: Values of a sketch, and the seed of their hash functions.
 VALUES, SEED = 192, 20240109
 #: Standard deviations below the threshold at which an estimate rules a pair out.
-DOUBT = 6.0
-#: Buckets of up to so many members compare all pairs of different components at once.
-SMALL = 16
+DOUBT = 5.0
+#: Members of a bucket in a block.
+BLOCK = 256
 
 
 class Sketch(Protocol):
@@ -58,7 +59,7 @@ def _sketches(sketch: Sketch, ngram: int, rows: int):
     bands = VALUES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             data, offsets = column_buffer(batch.column(1))
             hashes, bounds = shingle_hashes(data, offsets, ngram)
             sets = distinct_sorted(hashes, bounds)
@@ -89,7 +90,7 @@ def _sketches(sketch: Sketch, ngram: int, rows: int):
 
 def _full_sets(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             hashes, bounds = shingle_hashes(*column_buffer(batch.column(1)), ngram)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _binary(distinct_sorted(hashes, bounds))], names=["id", "shingles"])
 
@@ -127,6 +128,103 @@ def _confirmed(percent: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by their first three columns, a group at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+#: A member of a bucket in a pair of blocks; side 0: outside the main component.
+MEMBER = "key long, i int, j int, side int, id long, component long, band int"
+
+
+class _Cell:
+    """Two blocks of a bucket's members: rows of MEMBER, n, sketch and main."""
+
+    def __init__(self, group: list[tuple], sketch: Sketch, rows: int, percent: int):
+        self.sides = [[r for r in group if r[3] == k] for k in (0, 1)]
+        self.values = [np.frombuffer(b"".join(r[8] for r in s), np.uint16).reshape(-1, VALUES) for s in self.sides]
+        self.n = [np.array([r[7] for r in s], np.float64) for s in self.sides]
+        self.ids, self.of = ([np.array([r[k] for r in s], np.int64) for s in self.sides] for k in (4, 5))
+        self.band, self.main = group[0][6], group[0][9]
+        self.sketch, self.rows, self.share = sketch, rows, percent / 100
+        self.cut = self.share - DOUBT * np.sqrt(self.share * (1 - self.share) / VALUES)
+
+    def near(self, k: int) -> np.ndarray:
+        """Members of side 1 that may be linked with the k-th of side 0 and lie in another component.
+
+        A pair counts in the first band that it shares, and on one side only.
+        """
+        x, y, n, of, one = self.values[0][k], self.values[1], self.n[0][k], self.of[0][k], self.ids[0][k]
+        fits = (self.of[1] != of) & ((self.of[1] == self.main) | (self.ids[1] > one))
+        at = np.flatnonzero(fits & (np.minimum(self.n[1], n) >= self.share * np.maximum(self.n[1], n) - 1e-9))
+        equal = y[at] == x
+        close = equal.mean(1) >= self.cut
+        at, equal = at[close], equal[close]
+        if len(at):
+            at = at[equal[:, : VALUES // self.rows * self.rows].reshape(len(at), -1, self.rows).all(2).argmax(1) == self.band]
+        if len(at):
+            at = at[self.sketch.likeness(np.repeat(x[None], len(at), 0), y[at], np.full(len(at), n), self.n[1][at]) >= self.cut]
+        return at
+
+
+def _possible(sketch: Sketch, rows: int, percent: int):
+    """Members that may be linked with one of another component, by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in _groups(batches):
+            cell = _Cell(group, sketch, rows, percent)
+            hit: set[int] = set()
+            for k, row in enumerate(cell.sides[0]):
+                if len(at := cell.near(k)):
+                    out.append(row[:7])
+                    hit.update(at.tolist())
+            out += [cell.sides[1][k][:7] for k in sorted(hit)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], pa.int64() if k in (0, 4, 5) else pa.int32()) for k in range(7)], names=[c.split()[0] for c in MEMBER.split(", ")]
+        )
+
+    return run
+
+
+def _joined(sketch: Sketch, rows: int, percent: int):
+    """Links between members of different components, confirmed on their full sets; at most one for each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        for group in _groups(batches):
+            cell = _Cell(group, sketch, rows, percent)
+            sets = [[np.frombuffer(r[10], np.uint64) for r in s] for s in cell.sides]
+            up: dict[int, int] = {}
+
+            def top(c: int, up=up) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            for k, x in enumerate(sets[0]):
+                for m in cell.near(k).tolist():
+                    a, b = top(cell.sides[0][k][5]), top(cell.sides[1][m][5])
+                    if a == b:
+                        continue
+                    y = sets[1][m]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        links.append(tuple(sorted((cell.sides[0][k][4], cell.sides[1][m][4]))))
+                        up[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return run
+
+
 def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -150,15 +248,16 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"))
     classes = materialize(classes)
     lone = sketched.where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi")
-    banded = materialize(lone.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("key")))
+    banded = materialize(lone.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "key"))
     central = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(central, "id").select("key", "id", "weight"))
+    members = materialize(members.join(central, "id").select("key", "band", "id", "weight"))
 
-    ids = members.select("id").distinct()
-    full = materialize(texts.where("doc_id is not null").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets(ngram), "id long, shingles binary"))
-    brief = sketched.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    ids = materialize(members.select("id").distinct())
+    likely = might_be_in(texts.where("doc_id is not null"), "doc_id", ids).where("__maybe").drop("__maybe")
+    full = materialize(likely.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets(ngram), "id long, shingles binary"))
+    brief = might_be_in(sketched.select("doc_id", "n_shingles", "sketch"), "doc_id", ids).where("__maybe").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     brief = materialize(brief)
 
     def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -170,31 +269,32 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
         sure = near.join(side(full, "a", "shingles"), "a").join(side(full, "b", "shingles"), "b")
         return sure.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     rank = F.struct("weight", (-F.col("id")).alias("least"))
-    links, component, width = None, None, 1
-    left = members.withColumn("component", F.col("id"))
-    while True:
-        pivot_of = F.lit(0) if width == 1 else F.pmod(F.xxhash64("id"), F.lit(width))
-        pivots = left.groupBy("key", pivot_of.alias("lane")).agg(F.max_by("id", rank).alias("pivot"), F.max_by("component", rank).alias("with")).drop("lane")
-        star = left.join(pivots, "key").where("id <> pivot and component <> with").select(*ordered(F.col("id"), F.col("pivot")))
-        if width > 1:
-            few = left.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= SMALL).select("key")
-            one = left.join(few, "key", "left_semi")
-            other = one.select("key", F.col("id").alias("pivot"), F.col("component").alias("with"))
-            star = star.union(one.join(other, "key").where("id < pivot and component <> with").select(*ordered(F.col("id"), F.col("pivot"))))
-        found = materialize(confirmed(star.distinct()))
-        links = found if links is None else links.union(found)
-        component = connected_components(links)
-        tried = pivots.select("key", F.col("pivot").alias("id"))
-        rest = left.drop("component").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # A bucket is done when one component holds all that it has left, the pivots of this round included.
-        open_ = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        open_ = open_.where("lo <> hi").where(F.lit(width == 1) | (F.col("size") > SMALL)).select("key")
-        left = materialize(rest.join(open_, "key", "left_semi").join(tried, ["key", "id"], "left_anti").select("key", "id", "weight", "component"))
-        if left.isEmpty():
-            break
-        width *= 2
+    pivots = members.groupBy("key").agg(F.max_by("id", rank).alias("pivot"))
+    star = members.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    links = materialize(confirmed(star.distinct()))
+    component = connected_components(links)
+
+    now = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    unsettled = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", rank).alias("main"), F.count("*").alias("all")).where("lo <> hi")
+    now = materialize(now.join(unsettled.select("key", "main", "all"), "key").select("key", "band", "id", "component", "main", "all"))
+    if not now.isEmpty():
+        outer = now.where("component <> main")
+        sizes = outer.groupBy("key").agg(F.count("*").alias("outside"))
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        place = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        left = outer.join(sizes, "key").select("key", place("outside").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "id", "component", "band", "main")
+        right = now.join(sizes, "key").select("key", every("outside").alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "id", "component", "band", "main")
+        cells = ["key", "i", "j"]
+        columns = [c.split()[0] for c in MEMBER.split(", ")]
+        sketches = left.union(right).join(brief, "id").select(*columns, "n", "sketch", "main").repartition(*cells).sortWithinPartitions(*cells)
+        possible = materialize(sketches.mapInArrow(_possible(sketch, rows, percent), MEMBER))
+        whole = possible.join(brief, "id").join(full, "id").join(unsettled.select("key", "main"), "key")
+        whole = whole.select(*columns, "n", "sketch", "main", "shingles").repartition(*cells).sortWithinPartitions(*cells)
+        more = materialize(whole.mapInArrow(_joined(sketch, rows, percent), "a long, b long"))
+        if not more.isEmpty():
+            component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     labelled = classes.join(component, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")

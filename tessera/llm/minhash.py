@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_buffer, partitions, small_batches
+from .common import by_bytes, column_buffer, partitions, small_batches
 from .linking import SEED, near_components
 from .shingles import minima, mix, permutations, shingle_hashes
 
@@ -74,9 +74,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
     held = None  # the row that still lacks its next one: bucket, doc_id, text, signature
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in by_bytes(batches, 3):
         buckets, sentinel, ids = (batch.column(k).to_pylist() for k in range(3))
         texts = [t or "" for t in batch.column(3).to_pylist()]
         values = signatures(batch.column(3))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import materialize, might_be_in
 from .linking import VALUES, near_components
 
 #: Base of the registers' logarithm, rate of the exponential values, highest register.
@@ -54,8 +55,10 @@ def deduplicated(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFram
     Documents without shingles and rows without a doc_id all stay; of rows
     that repeat a kept doc_id all stay.
     """
-    gone = near_duplicates(docs, ngram, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(near_duplicates(docs, ngram, percent).where("not kept").select("doc_id").distinct())
+    marked = might_be_in(docs, "doc_id", gone)
+    stay = marked.where("not __maybe").select(*docs.columns)
+    return stay.union(marked.where("__maybe").join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
