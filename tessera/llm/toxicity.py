@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_buffer, small_batches
+from .common import by_bytes, column_buffer, small_batches
 from .shingles import word_hashes
 
-#: Labelled documents fitted on at most; least documents of the sample that a feature needs.
-SAMPLE, LEAST_DOCS = 10_000, 5
+#: Labelled documents fitted on at most; least documents of the sample that a feature needs, and how many
+#: standard deviations its count in graded texts must be off what chance gives.
+SAMPLE, LEAST_DOCS, DEVIATIONS = 20_000, 3, 5.0
 #: Numbers of different toxic words from which a toxic text has grade 2 and 3.
 GRADE_CUTS = (3, 5)
 #: Strength of the L1 penalty, steps and step size of the fit.
-PENALTY, STEPS, RATE = 3e-4, 300, 0.1
+PENALTY, STEPS, RATE = 1e-4, 300, 0.1
 #: Expected severity from which a document is rejected.
 REJECT = 0.5
 
@@ -41,10 +42,18 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(_WORD_BYTES[data], offsets)
 
 
-def _present(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different features, how often it has them, and the texts' bounds in both."""
     words, at = features(column)
-    sets = [np.unique(words[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
-    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
+    sets = [np.unique(words[at[i] : at[i + 1]], return_counts=True) for i in range(len(at) - 1)]
+    keys, counts = ([s[k] for s in sets] for k in (0, 1))
+    bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64)))
+    return np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64), bounds
+
+
+def strength(counts: np.ndarray) -> np.ndarray:
+    """Value of a feature that a text has so many times."""
+    return 1 + np.log(counts)
 
 
 @dataclass
@@ -56,7 +65,7 @@ class Ordinal:
     thresholds: np.ndarray
 
     def score(self, column: pa.Array) -> np.ndarray:
-        """w x of each text; a feature counts once."""
+        """w x of each text."""
         words, at = features(column)
         total = np.zeros(len(at) - 1)
         if not len(self.keys) or not len(words):
@@ -64,8 +73,8 @@ class Ordinal:
         place = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[place] == words)
         text = np.searchsorted(at, hit, "right") - 1
-        once = np.unique(text * len(self.keys) + place[hit])
-        np.add.at(total, once // len(self.keys), self.weights[once % len(self.keys)])
+        cell, counts = np.unique(text * len(self.keys) + place[hit], return_counts=True)
+        np.add.at(total, cell // len(self.keys), self.weights[cell % len(self.keys)] * strength(counts))
         return total
 
     def grades(self, score: np.ndarray) -> np.ndarray:
@@ -79,16 +88,19 @@ class Ordinal:
         return p @ np.arange(p.shape[1])
 
 
-def fit(keys: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int) -> Ordinal:
+def fit(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int) -> Ordinal:
     """Likelihood of the grades (0 to top) under an L1 penalty on the shared weights, by proximal Adam."""
     rows = np.repeat(np.arange(len(grades)), np.diff(bounds))
     names, cols, count = np.unique(keys, return_inverse=True, return_counts=True)
-    often = count >= LEAST_DOCS
+    hurt, total = int((grades > 0).sum()), max(1, len(grades))
+    share = count / total
+    chance = np.sqrt(np.maximum(hurt * share * (1 - share) * (1 - hurt / total), 1e-9))
+    often = (count >= LEAST_DOCS) & (np.abs(np.bincount(cols, grades[rows] > 0, len(names)) - hurt * share) >= DEVIATIONS * chance)
     place = np.cumsum(often) - 1
     keep = often[cols]
-    names, rows, cols = names[often], rows[keep], place[cols[keep]]
+    names, rows, cols, value = names[often], rows[keep], place[cols[keep]], strength(counts[keep])
     n, d = len(grades), len(names)
-    share = np.array([np.mean(grades > k) if n else 0.5 for k in range(top)]).clip(1e-3, 1 - 1e-3)
+    share = np.array([np.mean(grades > k) if n else 0.0 for k in range(top)]).clip(1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     # thresholds: the first, then positive gaps as exponentials
     free = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 0.1))))
@@ -98,7 +110,7 @@ def fit(keys: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int) -> O
     each = np.arange(n)
     for step in range(1, STEPS + 1 if n and d else 1):
         t = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-        z = np.bincount(rows, w[cols], n)
+        z = np.bincount(rows, w[cols] * value, n)
         above = np.hstack([np.ones((n, 1)), sigmoid(z[:, None] - t), np.zeros((n, 1))])
         slope = above * (1 - above)
         p = np.maximum(above[each, grades] - above[each, grades + 1], 1e-12)
@@ -109,13 +121,13 @@ def fit(keys: np.ndarray, bounds: np.ndarray, grades: np.ndarray, top: int) -> O
         dt = dt.sum(0)[1:-1]
         later = dt[::-1].cumsum()[::-1]
         grad_t = np.concatenate((later[:1], later[1:] * np.exp(free[1:])))
-        grad_w = np.bincount(cols, dz[rows], d)
-        for value, grad, m, v in ((w, grad_w, moment[0], moment[1]), (free, grad_t, moment[2], moment[3])):
+        grad_w = np.bincount(cols, dz[rows] * value, d)
+        for free_, grad, m, v in ((w, grad_w, moment[0], moment[1]), (free, grad_t, moment[2], moment[3])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             scale = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            value -= scale * m / (1 - 0.9**step)
-            if value is w:
+            free_ -= scale * m / (1 - 0.9**step)
+            if free_ is w:
                 np.copyto(w, np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale, 50.0) * PENALTY, 0))
     t = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
     used = np.flatnonzero(w)
@@ -134,10 +146,10 @@ def graded(keys: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarra
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, bounds = _present(batch.column(1))
-        rows = [keys[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["toxic", "features"])
+    for batch in by_bytes(batches, 1):
+        keys, counts, bounds = counted(batch.column(1))
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), cut(keys), cut(counts.astype(np.int32))], names=["toxic", "features", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -150,19 +162,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # sample rows at most
-    found = texts.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary").toPandas()
+    found = texts.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary, counts binary").toPandas()
     sets = [np.frombuffer(x, np.uint64) for x in found["features"]]
     keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    counts = np.concatenate([*(np.frombuffer(x, np.int32) for x in found["counts"]), np.zeros(0, np.int32)])
     bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
     toxic = found["toxic"].to_numpy(np.int64)
-    return fit(keys, bounds, graded(keys, bounds, toxic), len(GRADE_CUTS) + 1)
+    return fit(keys, counts, bounds, graded(keys, bounds, toxic), len(GRADE_CUTS) + 1)
 
 
 EXTRA = [("expected_severity", T.DoubleType()), ("severity_grade", T.IntegerType()), ("toxic", T.BooleanType())]
 
 
 def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
-    """docs with expected_severity, severity_grade (the likeliest) and toxic (severity of reject or more).
+    """docs with expected_severity, severity_grade (the likeliest) and toxic: severity of reject or more, and words that raise it.
 
     Whole texts count. Null and empty texts have no features, and the
     severity of a text without any. All columns come back; theirs of the same
@@ -174,10 +187,10 @@ def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
     place = [f.name for f in own].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, place):
             score = model.score(batch.column(place))
             severity, grade = model.severity(score), model.grades(score).argmax(1)
-            more = [pa.array(severity), pa.array(grade.astype(np.int32)), pa.array(severity >= reject)]
+            more = [pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= reject) & (score > 0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in own] + [name for name, _ in EXTRA])
 
     return kept.mapInArrow(run, T.StructType([*own, *(T.StructField(name, kind) for name, kind in EXTRA)]))
