@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +16,24 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders made here because no setting names one, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
     A cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, local mode) one is made and set.
+    (tests, local mode) one is made, and removed when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            made = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, made, True)
+            _OWN[app] = f"file://{made}"
+        folder = _OWN[app]
     return folder.rstrip("/")
 
 

@@ -108,29 +108,33 @@ def training_order(docs: DataFrame) -> DataFrame:
     Each pass over a source takes its documents again, at the position where
     the demand reaches them; the one document of a source in which its target
     ends keeps its first words only. A column n_chars follows the text.
-    Documents of which nothing is taken are left out.
+    Documents of which nothing is taken are left out. Rows that repeat a
+    doc_id with its source and text are told apart by number.
     """
-    plan = mix_sources(docs).where("taken > 0")
-    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1))
-    uses = plan.select("*", passes.alias("pass"))
-    uses = uses.withColumn("words", F.least("size", F.col("taken") - F.col("pass") * F.col("size")))
-    demand = (F.col("pass") * F.col("source_size") + F.col("before")) / F.col("target")
+
+    def key(doc_id: Column, source: Column, text_hash: Column) -> Column:
+        return F.struct(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), text_hash).alias("__key")
+
+    plan = mix_sources(docs).withColumn("__key", key(F.col("doc_id"), F.col("source"), F.col("text_hash")))
+    plan = plan.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("before"))).where("taken > 0")
+    uses = plan.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("round"))
+    demand = (F.col("round") * F.col("source_size") + F.col("before")) / F.col("target")
     uses = uses.select(
-        F.col("doc_id").alias("__doc"),
-        F.col("source").alias("__source"),
-        F.col("text_hash").alias("__hash"),
+        F.col("__key").alias("__of"),
+        F.col("__copy").alias("__number"),
         F.col("size").alias("__size"),
-        F.col("words").alias("__words"),
+        F.least("size", F.col("taken") - F.col("round") * F.col("size")).alias("__words"),
         _inverse(F.col("begin"), F.col("end"), demand).alias("__position"),
-        "pass",
-    ).distinct()
-    source, hashed = F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))
-    used = docs.join(uses, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & source.eqNullSafe(F.col("__source")) & (hashed == F.col("__hash")))
+    )
+    keyed = docs.withColumn("__key", key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))))
+    keyed = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    # Written as a difference, the number is no join key, and the window's partitioning serves the join.
+    used = keyed.join(uses, (F.col("__key") == F.col("__of")) & (F.col("__copy") - F.col("__number") == 0))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), 0), F.lit(1), F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") < F.col("__size"), head).otherwise(F.col("text"))
     columns = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
-    ordered = used.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), "__position", "pass")
-    return ordered.repartitionByRange("__position", "doc_id", "pass").sortWithinPartitions("__position", "doc_id", "pass").drop("__position", "pass")
+    ordered = used.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns), "__position")
+    return ordered.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").drop("__position")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,11 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3) -> DataFrame:
-    """docs with columns kept_text, n_lines and n_dropped besides their own.
+NAMES = ("kept_text", "n_lines", "n_dropped")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs with columns kept_text, n_lines and n_dropped (or as names calls them) besides their own.
 
     A line's key is the line without ASCII white space at both ends, A-Z
     lower-cased. Keys of at least min_chars code points that at least min_docs
@@ -98,7 +101,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     gone = placed.join(runs.frequent().hint("merge"), KEY).where("not (__doc <=> keep)")
     gone = gone.groupBy("__doc", "__text").agg(F.collect_set("at").alias("__gone"))
 
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    own = [c for c in docs.columns if c not in names]
     left = docs.select(*own, *row, F.split(text, "\n").alias("__lines"))
     gone = gone.select(F.col("__doc").alias("__doc2"), F.col("__text").alias("__text2"), "__gone")
     joined = left.join(gone, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__text") == F.col("__text2")), "left")
@@ -106,9 +109,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     return joined.select(
         *own,
-        F.when(F.col("__gone").isNull(), F.array_join("__lines", "\n")).otherwise(kept).alias("kept_text"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("__gone").isNull(), F.array_join("__lines", "\n")).otherwise(kept).alias(names[0]),
+        F.size("__lines").cast("long").alias(names[1]),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(names[2]),
     )
 
 

@@ -320,20 +320,27 @@ def content_groups(wrapper: Node) -> set[str]:
     return chosen
 
 
-def extract(page: str, groups: set[str]) -> str:
-    """The page's text in the content groups of its wrapper, a block after the other."""
-    root, texts = blocks(page)
-    kept: set[int] = set()
+def _kept(node: Node, path: str, groups: set[str]) -> set[int]:
+    found: set[int] = set()
+    for c in node.children:
+        if c.label != "#":
+            found |= _kept(c, f"{path}/{c.label}", groups)
+        elif path in groups:
+            found.add(id(c))
+    return found
 
-    def walk(node: Node, path: str) -> None:
-        for c in node.children:
-            if c.label == "#":
-                if path in groups:
-                    kept.add(id(c))
-            else:
-                walk(c, f"{path}/{c.label}")
 
-    walk(root, root.label)
+def extract(page: str, groups: set[str]) -> str:
+    """The page's text in the content groups of its wrapper, a block after the other.
+
+    A page that has nothing in them is of another make than its host's
+    others, and its own groups tell.
+    """
+    root, texts = blocks(page)
+    kept = _kept(root, root.label, groups)
+    if not kept and texts:
+        own = folded(root)
+        kept = _kept(root, root.label, content_groups(own))
     return "\n\n".join(text for slot, text in texts if id(slot) in kept)
 
 

@@ -62,7 +62,14 @@ def test_odd_rows(odd, nothing):
     assert curriculum.mix_sources(nothing).count() == 0
     assert curriculum.training_order(nothing).count() == 0
     mixed = curriculum.training_order(odd)
-    assert mixed.columns == odd.columns and mixed.count() > 0
+    assert mixed.columns == odd.columns
+    taken = Counter()
+    for r in curriculum.mix_sources(odd).collect():
+        taken[r.doc_id] += r.taken
+    used = Counter()
+    for r in mixed.collect():
+        used[r.doc_id] += count(r.text)
+    assert +used == +taken
 
 
 def test_reruns_agree(docs):

@@ -53,7 +53,8 @@ def test_stages(spark):
 
 def test_odd_rows_pass(spark, odd, nothing):
     for table in (odd, nothing):
-        docs = table.drop("kept_text", "toxic")
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.count()
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF))
+            if name != "packing":
+                assert docs.columns == table.columns and {(r.kept_text, r.toxic) for r in docs.collect()} <= {("k", "t")}
