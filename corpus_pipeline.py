@@ -16,14 +16,16 @@ from tessera.llm.common import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones, doesn't reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.judge(docs, model).where("not toxic").select(*docs.columns)
+    judged = toxicity.judge(docs, model, names=("__severity", "__grade", "__toxic"))
+    return judged.where("not __toxic").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that three or more share (but for the last that holds them)."""
-    kept = lines.dedup_lines(docs)
-    changed = kept.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return changed.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = lines.dedup_lines(docs, names=("__kept", "__lines_all", "__dropped"))
+    less = F.col("__dropped") > 0
+    changed = kept.withColumn("n_chars", F.when(less, F.char_length("__kept").cast("long")).otherwise(F.col("n_chars")))
+    return changed.withColumn("text", F.when(less, F.col("__kept")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

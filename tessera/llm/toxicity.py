@@ -24,7 +24,7 @@ from .shingles import word_hashes
 
 #: Labelled documents fitted on at most; least documents of the sample that a feature needs, and how many
 #: standard deviations its count in graded texts must be off what chance gives.
-SAMPLE, LEAST_DOCS, DEVIATIONS = 20_000, 3, 5.0
+SAMPLE, LEAST_DOCS, DEVIATIONS = 10_000, 3, 5.0
 #: Numbers of different toxic words from which a toxic text has grade 2 and 3.
 GRADE_CUTS = (3, 5)
 #: Strength of the L1 penalty, steps and step size of the fit.
@@ -152,6 +152,22 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), cut(keys), cut(counts.astype(np.int32))], names=["toxic", "features", "counts"])
 
 
+def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binary rows one after the other, and how many each row has."""
+    parts = [np.frombuffer(x.as_py(), kind) for x in column]
+    return np.concatenate([*parts, np.zeros(0, kind)]), np.array([len(x) for x in parts], np.int64)
+
+
+def _frequent(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features without those that fewer than LEAST_DOCS texts have."""
+    order = np.sort(keys)
+    often = order[LEAST_DOCS - 1 :][order[LEAST_DOCS - 1 :] == order[: len(order) - LEAST_DOCS + 1]] if len(order) >= LEAST_DOCS else order[:0]
+    often = np.unique(often)
+    place = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
+    keep = often[place] == keys if len(often) else np.zeros(len(keys), bool)
+    return keys[keep], counts[keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """Fit on at most sample labelled documents, those of the least hashes of doc_id.
 
@@ -162,27 +178,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # sample rows at most
-    found = texts.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary, counts binary").toPandas()
-    sets = [np.frombuffer(x, np.uint64) for x in found["features"]]
-    keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    counts = np.concatenate([*(np.frombuffer(x, np.int32) for x in found["counts"]), np.zeros(0, np.int32)])
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
-    toxic = found["toxic"].to_numpy(np.int64)
+    found = texts.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary, counts binary").toArrow()
+    toxic = found["toxic"].to_numpy().astype(np.int64)
+    (keys, lengths), (counts, _) = (_joined(found[c], kind) for c, kind in (("features", np.uint64), ("counts", np.int32)))
+    del found
+    bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    keys, counts, bounds = _frequent(keys, counts, bounds)
     return fit(keys, counts, bounds, graded(keys, bounds, toxic), len(GRADE_CUTS) + 1)
 
 
-EXTRA = [("expected_severity", T.DoubleType()), ("severity_grade", T.IntegerType()), ("toxic", T.BooleanType())]
+NAMES = ("expected_severity", "severity_grade", "toxic")
 
 
-def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
+def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs with expected_severity, severity_grade (the likeliest) and toxic: severity of reject or more, and words that raise it.
 
     Whole texts count. Null and empty texts have no features, and the
     severity of a text without any. All columns come back; theirs of the same
-    names are replaced.
+    names are replaced. names: what the three columns are called.
     """
     small_batches(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name not in {name for name, _ in EXTRA}]
+    own = [f for f in docs.schema.fields if f.name not in names]
     kept = docs.select(*(f.name for f in own))
     place = [f.name for f in own].index("text")
 
@@ -191,9 +207,9 @@ def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
             score = model.score(batch.column(place))
             severity, grade = model.severity(score), model.grades(score).argmax(1)
             more = [pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= reject) & (score > 0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in own] + [name for name, _ in EXTRA])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in own] + list(names))
 
-    return kept.mapInArrow(run, T.StructType([*own, *(T.StructField(name, kind) for name, kind in EXTRA)]))
+    return kept.mapInArrow(run, T.StructType([*own, *map(T.StructField, names, (T.DoubleType(), T.IntegerType(), T.BooleanType()))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
