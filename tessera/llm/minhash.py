@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(spark)
-    cuts = sorted(set(texts.approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n)))) if n else []
+    cuts = sorted(set(texts.approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n)))) or [0.0]
     ranges = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="place", outputCol="range", handleInvalid="keep")
     placed = ranges.transform(texts.withColumn("place", F.col("doc_id").cast("double"))).select(F.when(F.col("doc_id").isNotNull(), F.col("range").cast("int")).alias("range"), "doc_id", "text")
     # One row for each range, of which there are at most 4 * n.
