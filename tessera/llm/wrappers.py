@@ -35,7 +35,7 @@ TOKEN = re.compile(
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
-#: Words of class and id names; longer numbers are taken to differ from page to page.
+#: Words of a class or id name; longer numbers are taken to differ from page to page.
 WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+(?![a-z]))(?:\d{1,2}(?!\d))?")
 
 # Kinds of HTML elements.
@@ -67,6 +67,12 @@ AROUND_NAMES = {
     "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "recommended", "recommendations", "replies", "reply", "respond", "responses", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toc", "toolbar", "topbar", "widget", "widgets",
 }
+#: Words after which a name tells what a group is made for, not what it is.
+MADE_FOR = {"no", "has", "with", "without"}
+#: Names that sections of prose have as well, and words of names whose header is a part of the content.
+SUBJECTS = {"alert", "alerts", "copyright", "disclaimer", "discussion", "header", "login", "menu", "menus", "navigation", "notice", "notices", "notification", "notifications", "promotion", "related", "responses", "search", "social", "subscription"}
+HEADED = {"article", "entry", "post", "story", "section", "chapter"}
+HEADINGS, PROSE, HIDDEN = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "pre", "blockquote"}, {"hidden", "visually-hidden", "is-hidden"}
 CONTENT_NAMES = {"article", "content", "entry", "post", "story", "main", "body", "text"}
 #: A group is gone into while one of its children has so much of its text outside links; slots with more than LINKED in links are menus.
 HELD, LINKED = 0.6, 0.5
@@ -95,14 +101,14 @@ class Node:
 
 
 def _names(tag: str) -> tuple[str, bool]:
-    """A block's label, with its role, class and id names, and whether it is hidden."""
+    """A block's label, with its role, class and id names (their words joined by -), and whether it is hidden."""
     found = {}
     for k, a, b, c in ATTRIBUTE.findall(tag[NAME.match(tag).end() :]):
         found.setdefault(k.lower(), html.unescape(a or b or c))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
     role = found.get("role", "").lower().strip()
-    words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")
-    return ".".join(dict.fromkeys([*([f"role={role}"] if role else []), *(w.lower() for w in words)])), bool(hidden)
+    names = ("-".join(WORD.findall(x)).lower() for x in f"{found.get('class', '')} {found.get('id', '')}".split())
+    return ".".join(dict.fromkeys([*([f"role={role}"] if role else []), *filter(None, names)])), bool(hidden)
 
 
 def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -162,7 +168,7 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                     flush()
             elif not closing:
                 label, hidden = _names(token) if "=" in token or "hidden" in token else ("", False)
-                if hidden or label and _around(f"{name}.{label}", True):
+                if hidden or label and _around(Node(f"{name}.{label}"), True):
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                     at = end.end() if end else at
             continue
@@ -247,13 +253,46 @@ def folded(node: Node) -> Node:
     return Node(node.label, fold([folded(c) for c in node.children]), node.optional, node.repeated, node.plain, node.linked)
 
 
-def _around(label: str, inside: bool) -> bool:
-    """Whether a group's tag or names tell that it goes around the content."""
-    tag, *names = label.split(".")
-    names = [x.rstrip("0123456789") for x in names]
-    if tag == "header" and inside and not AROUND_NAMES.difference({"header"}).intersection(names):
+def _telling(label: str, whole: bool) -> set[str]:
+    """Words of a group's names that tell that it goes around the content; if whole, only of names that have no other words."""
+    found: set[str] = set()
+    for name in label.split(".")[1:]:
+        words = [w.rstrip("0123456789") for w in name.split("-")]
+        words = words[: next((k for k, w in enumerate(words) if w in MADE_FOR), len(words))]
+        if not whole or AROUND_NAMES.issuperset(words):
+            found |= AROUND_NAMES.intersection(words)
+    return found
+
+
+def _holds(node: Node, tags: set[str]) -> bool:
+    return any(c.label.split(".")[0] in tags or _holds(c, tags) for c in node.children)
+
+
+def _around(node: Node, inside: bool, most: bool = False) -> bool:
+    """Whether a group's tag or names tell that it goes around the content.
+
+    Single words of names don't tell it of a group with most of the page's
+    text, nor of articles; no names tell it of bodies, mains and headings.
+    """
+    tag, *names = node.label.split(".")
+    if tag == "body":
+        return False
+    if HIDDEN.intersection(names):
+        return True
+    if tag == "main" or "role=main" in names:
+        return False
+    if any(x[5:] in AROUND_ROLES for x in names if x.startswith("role=")):
+        return True
+    if tag in HEADINGS:
         return False
-    return tag in AROUND or "hidden" in names or bool(AROUND_NAMES.intersection(names)) or any(x[5:] in AROUND_ROLES for x in names if x.startswith("role="))
+    if _is_content(node.label):
+        return not most and bool(_telling(node.label, True))
+    told = _telling(node.label, most)
+    if inside and told <= {"header"} and (tag == "header" or HEADED.intersection(re.split(r"[.-]", node.label))):
+        return False
+    if inside and told and told <= SUBJECTS and (tag == "section" or tag == "div" and "section" in names) and _holds(node, HEADINGS) and _holds(node, PROSE):
+        return False
+    return tag in AROUND or bool(told)
 
 
 def _is_content(label: str) -> bool:
@@ -261,16 +300,6 @@ def _is_content(label: str) -> bool:
     return tag in ("article", "main") or "role=main" in names or "role=article" in names
 
 
-def _text(node: Node, inside: bool = False) -> tuple[int, int]:
-    """Characters of a group's slots out of and in links, without what goes around the content."""
-    plain, linked = node.plain, node.linked
-    for c in node.children:
-        if not _around(c.label, inside):
-            p, q = _text(c, inside)
-            plain, linked = plain + p, linked + q
-    return plain, linked
-
-
 def content_groups(wrapper: Node) -> set[str]:
     """Paths of the groups whose slots are content.
 
@@ -278,15 +307,33 @@ def content_groups(wrapper: Node) -> set[str]:
     which one gets by going into the child that has most of the text.
     """
     chosen: set[str] = set()
+    sums: dict[int, int] = {}
+
+    def held_by(node: Node) -> int:
+        if id(node) not in sums:
+            sums[id(node)] = node.plain + sum(map(held_by, node.children))
+        return sums[id(node)]
+
+    def around(node: Node, inside: bool) -> bool:
+        return _around(node, inside, 2 * held_by(node) > held_by(wrapper) or _holds(node, {"main"}))
+
+    def text(node: Node, inside: bool = False) -> tuple[int, int]:
+        """Characters of a group's slots out of and in links, without what goes around the content."""
+        plain, linked = node.plain, node.linked
+        for c in node.children:
+            if not around(c, inside):
+                p, q = text(c, inside)
+                plain, linked = plain + p, linked + q
+        return plain, linked
 
     def mark(node: Node, path: str) -> None:
-        if path.count("/") and _around(node.label, True):
+        if path.count("/") and around(node, True):
             return
         chosen.add(path)
         for c in node.children:
-            if c.label == "#" or _around(c.label, True):
+            if c.label == "#" or around(c, True):
                 continue
-            plain, linked = _text(c, True)
+            plain, linked = text(c, True)
             tag = c.label.split(".")[0]
             if tag in ("ul", "ol", "dl", "table", "div", "section") and linked > LINKED * (plain + linked):
                 continue
@@ -295,7 +342,7 @@ def content_groups(wrapper: Node) -> set[str]:
     def find(node: Node, path: str) -> bool:
         got = False
         for c in node.children:
-            if c.label == "#" or _around(c.label, False):
+            if c.label == "#" or around(c, False):
                 continue
             inner = f"{path}/{c.label}"
             if _is_content(c.label):
@@ -309,9 +356,9 @@ def content_groups(wrapper: Node) -> set[str]:
         return chosen
     node, path = wrapper, wrapper.label
     while True:
-        inner = [(c, _text(c)[0]) for c in node.children if c.label != "#" and not _around(c.label, False)]
-        total = _text(node)[0]
-        named = [(c, t) for c, t in inner if CONTENT_NAMES.intersection(c.label.split(".")) and t > 0]
+        inner = [(c, text(c)[0]) for c in node.children if c.label != "#" and not around(c, False)]
+        total = text(node)[0]
+        named = [(c, t) for c, t in inner if CONTENT_NAMES.intersection(re.split(r"[.-]", c.label)) and t > 0]
         best, held = max(named if len(named) == 1 else inner, key=lambda x: x[1], default=(None, 0))
         if best is None or held < HELD * total or not best.children or best.label.split(".")[0] not in ("body", "div", "section", "td", "tr", "table", "tbody", "center") or best.repeated and best.label.split(".")[0] in ("tr", "td"):
             break

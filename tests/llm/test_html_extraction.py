@@ -64,3 +64,15 @@ def test_odd_pages(spark):
 def test_broken_markup_is_no_error(page):
     root, got = wrappers.blocks(page)
     assert isinstance(root, wrappers.Node) and all(t for _, t in got)
+
+
+NAMED = """<html><body class="single no-sidebar"><div class="page-header"><p>Site</p></div><div class="layout sidebar-right"><main class="with-sidebar"><article class="post has-comments">
+  <div class="entry-header"><h1 class="section-header">Title</h1></div><p>Some long text of the article, with many words.</p><section id="discussion"><h2>Discussion</h2><p>We discuss it.</p></section>
+  <div class="share-box">Share</div><article class="comment"><p>nice</p></article></article></main><div class="sidebar"><p>side</p></div></div></body></html>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_names_that_hold_the_content(spark, tag):
+    page = NAMED if tag == "article" else f'<body class="home has-ads"><div id="main-menu">menu</div><{tag} class="content no-comments widget-area"><h2 class="related-title">Head</h2><p>Text of the page, long enough.</p></{tag}><div class="comments"><p>nice</p></div></body>'
+    want = "Title\n\nSome long text of the article, with many words.\n\nDiscussion\n\nWe discuss it." if tag == "article" else "Head\n\nText of the page, long enough."
+    assert texts(spark, [page]) == [want]
