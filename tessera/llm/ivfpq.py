@@ -3,8 +3,9 @@
 Coarse centroids part the vectors into lists; a vector's residual to its
 centroid is kept as one code for each subspace. A query probes the lists
 whose centroids have the largest inner product with it, adds up its distance
-tables over the codes there, and reranks the best on the original vectors.
-Lists of any size are dealt in blocks, and so are a list's queries.
+tables over the codes there, and reranks on the original vectors all that can
+be among the best, whatever the codes' errors; so within the lists probed the
+result is exact. Lists of any size are dealt in blocks, and so are a list's queries.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import materialize
 
 #: Vectors that the index is fitted on at most; lists at most; share of the lists that a query probes, and lists at least.
 SAMPLE, LISTS, PROBE_SHARE, PROBES = 20_000, 512, 0.75, 8
-#: Subspaces, codes of each, candidates that a block reranks for each query, vectors or queries of a block.
-SUBSPACES, CODES, RERANK, BLOCK = 16, 256, 80, 4096
+#: Subspaces, codes of each, vectors or queries of a block; pairs of a query and a vector that are reranked at once.
+SUBSPACES, CODES, BLOCK, PAIRS = 16, 256, 4096, 1 << 16
 SEED = 7
 
 
@@ -68,6 +69,11 @@ class Index:
         """Inner products of queries with each code of each subspace."""
         return [queries[:, a:b] @ book.T for (a, b), book in zip(self.spans, self.codebooks, strict=True)]
 
+    def errors(self, k: int, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of vectors of list k to what their codes stand for."""
+        told = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], 1)
+        return np.sqrt(((x - self.centroids[k] - told) ** 2).sum(1))
+
 
 def fit(sample: np.ndarray, lists: int) -> Index:
     centroids = kmeans(sample, lists)
@@ -78,13 +84,22 @@ def fit(sample: np.ndarray, lists: int) -> Index:
 
 
 def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """queries (n x d) with each one's own vectors (n x m x d), summed in the order of components, so equal vectors score equal."""
-    total = np.zeros(vectors.shape[:2])
-    for k in range(vectors.shape[2]):
-        total += queries[:, k, None] * vectors[:, :, k]
+    """Inner products of pairs (n x d each), summed in the order of components, so equal vectors score equal."""
+    total = np.zeros(len(vectors))
+    for k in range(vectors.shape[1]):
+        total += queries[:, k] * vectors[:, k]
     return total
 
 
+def reaching(score: np.ndarray, error: np.ndarray, top: int) -> np.ndarray:
+    """Which of a row's scores, each wrong by at most its error, can be among the row's top."""
+    if score.shape[1] <= top:
+        return np.isfinite(score)
+    low = score - error
+    least = -np.partition(-low, top - 1, axis=1)[:, top - 1, None]
+    return (score + error >= least) & np.isfinite(score)
+
+
 def _stacked(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
@@ -96,24 +111,29 @@ def _search(index: Index, top: int):
             vectors = vectors.sort_values("vec_id", kind="stable")
             ids, x = vectors["vec_id"].to_numpy(np.int64), _stacked(vectors["embedding"])
             codes = np.stack([np.frombuffer(c, np.uint8) for c in vectors["codes"]])
+            error, size = index.errors(int(key[0]), x, codes), np.sqrt((x * x).sum(1))
             for lo in range(0, len(queries), 256):
                 part = queries.iloc[lo : lo + 256]
                 q_ids, q = part["query_id"].to_numpy(np.int64), _stacked(part["query"])
+                long = np.sqrt((q * q).sum(1))[:, None]
+                slack = 1e-9 * long * (size + error + np.sqrt((index.centroids[int(key[0])] ** 2).sum()))  # of rounding
                 score = np.repeat((q @ index.centroids[int(key[0])])[:, None], len(ids), 1)
                 for m, table in enumerate(index.tables(q)):
                     score += table[:, codes[:, m]]
-                score[q_ids[:, None] == ids[None]] = -np.inf
-                score -= np.arange(len(ids)) * 1e-12  # equal codes: smaller vec_id first
-                n = min(RERANK, len(ids))
-                best = np.sort(np.argpartition(-score, n - 1, axis=1)[:, :n], axis=1)
-                exact = inner_products(q, x[best])
-                exact[q_ids[:, None] == ids[best]] = -np.inf
-                order = np.lexsort((ids[best], -exact), axis=1)[:, :top]
-                exact, got = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best], order, 1)
-                own = np.isfinite(exact)
-                found["query_id"].append(np.repeat(q_ids, own.sum(1)))
-                found["vec_id"].append(got[own])
-                found["score"].append(exact[own])
+                own = q_ids[:, None] == ids[None]
+                score[own] = -np.inf
+                near = reaching(score, long * error + slack, top)
+                cols = np.flatnonzero(near.any(0))
+                score = np.where(near[:, cols], q @ x[cols].T, -np.inf)
+                row, col = np.nonzero(reaching(score, slack[:, cols], top))
+                col = cols[col]
+                exact = np.concatenate([inner_products(q[row[k : k + PAIRS]], x[col[k : k + PAIRS]]) for k in range(0, max(len(row), 1), PAIRS)])
+                order = np.lexsort((ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < top
+                found["query_id"].append(q_ids[row[best]])
+                found["vec_id"].append(ids[col[best]])
+                found["score"].append(exact[best])
         kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
         return pd.DataFrame({k: np.concatenate([*v, np.zeros(0, kinds[k])]) for k, v in found.items()})
 

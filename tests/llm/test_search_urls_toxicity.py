@@ -53,6 +53,22 @@ def test_hot_vector_ranks_small_ids_first(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) > 0.97
 
 
+@pytest.mark.parametrize("noise", [0.001, 0.05])
+def test_recall_within_near_copies(spark, noise):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(8000, 16))
+    group = np.arange(8000) % 25 == 0
+    x[group] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[group] += noise * rng.normal(size=(group.sum(), 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = found(ivfpq.search(df)), exact(np.arange(8000), x)
+    share = {q: len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want}
+    assert np.mean([s for q, s in share.items() if group[q]]) > 0.99
+    assert np.mean([s for q, s in share.items() if not group[q]]) > 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (1, [2.0, 1.0]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (6, [1.0, 5.0]), (7, []), (60, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, list string")
