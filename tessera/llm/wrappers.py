@@ -74,7 +74,7 @@ SUBJECTS = {"alert", "alerts", "copyright", "disclaimer", "discussion", "header"
 HEADED = {"article", "entry", "post", "story", "section", "chapter"}
 HEADINGS, PROSE, HIDDEN = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "pre", "blockquote"}, {"hidden", "visually-hidden", "is-hidden"}
 CONTENT_NAMES = {"article", "content", "entry", "post", "story", "main", "body", "text"}
-#: A group is gone into while one of its children has so much of its text outside links; slots with more than LINKED in links are menus.
+#: A group is gone into while one of its children has so much of its text outside links; groups with more than LINKED in links and no paragraphs are menus.
 HELD, LINKED = 0.6, 0.5
 
 
@@ -300,13 +300,34 @@ def _is_content(label: str) -> bool:
     return tag in ("article", "main") or "role=main" in names or "role=article" in names
 
 
+def _prose(node: Node) -> bool:
+    """Whether a group holds a paragraph with text."""
+    own = ((c, c.label.split(".")[0] in PROSE) for c in node.children if c.label != "#" and not _around(c, True))
+    return any(is_prose and any(x.label == "#" for x in c.children) or _prose(c) for c, is_prose in own)
+
+
+def _sums(node: Node) -> tuple[int, int]:
+    """Characters of a page's group out of and in links."""
+    sums = [(node.plain, node.linked), *(_sums(c) for c in node.children if not _around(c, True))]
+    return sum(p for p, _ in sums), sum(q for _, q in sums)
+
+
+def _is_menu(node: Node, plain: int, linked: int) -> bool:
+    return node.label.split(".")[0] in ("ul", "ol", "dl", "table", "div", "section") and linked > LINKED * (plain + linked) and not _prose(node)
+
+
 def content_groups(wrapper: Node) -> set[str]:
     """Paths of the groups whose slots are content.
 
     Articles and mains hold the content if there are any; else the group to
-    which one gets by going into the child that has most of the text.
+    which one gets by going into the child that has most of the text. Paths
+    of the latter that are there with a ? before them as well are menus on the
+    host's pages as a whole: each page tells whether they are on it. In articles and
+    mains, links tell nothing.
     """
     chosen: set[str] = set()
+    menus: set[str] = set()
+    others: set[str] = set()
     sums: dict[int, int] = {}
 
     def held_by(node: Node) -> int:
@@ -326,18 +347,16 @@ def content_groups(wrapper: Node) -> set[str]:
                 plain, linked = plain + p, linked + q
         return plain, linked
 
-    def mark(node: Node, path: str) -> None:
+    def mark(node: Node, path: str, article: bool) -> None:
         if path.count("/") and around(node, True):
             return
         chosen.add(path)
         for c in node.children:
             if c.label == "#" or around(c, True):
                 continue
-            plain, linked = text(c, True)
-            tag = c.label.split(".")[0]
-            if tag in ("ul", "ol", "dl", "table", "div", "section") and linked > LINKED * (plain + linked):
-                continue
-            mark(c, f"{path}/{c.label}")
+            inner = f"{path}/{c.label}"
+            (menus if not article and _is_menu(c, *text(c, True)) else others).add(inner)
+            mark(c, inner, article)
 
     def find(node: Node, path: str) -> bool:
         got = False
@@ -346,7 +365,7 @@ def content_groups(wrapper: Node) -> set[str]:
                 continue
             inner = f"{path}/{c.label}"
             if _is_content(c.label):
-                mark(c, inner)
+                mark(c, inner, True)
                 got = True
             else:
                 got |= find(c, inner)
@@ -363,15 +382,17 @@ def content_groups(wrapper: Node) -> set[str]:
         if best is None or held < HELD * total or not best.children or best.label.split(".")[0] not in ("body", "div", "section", "td", "tr", "table", "tbody", "center") or best.repeated and best.label.split(".")[0] in ("tr", "td"):
             break
         node, path = best, f"{path}/{best.label}"
-    mark(node, path)
-    return chosen
+    mark(node, path, False)
+    return chosen | {f"?{m}" for m in menus - others}
 
 
 def _kept(node: Node, path: str, groups: set[str]) -> set[int]:
     found: set[int] = set()
     for c in node.children:
         if c.label != "#":
-            found |= _kept(c, f"{path}/{c.label}", groups)
+            inner = f"{path}/{c.label}"
+            if f"?{inner}" not in groups or not _is_menu(c, *_sums(c)):
+                found |= _kept(c, inner, groups)
         elif path in groups:
             found.add(id(c))
     return found

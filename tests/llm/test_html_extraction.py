@@ -76,3 +76,15 @@ def test_names_that_hold_the_content(spark, tag):
     page = NAMED if tag == "article" else f'<body class="home has-ads"><div id="main-menu">menu</div><{tag} class="content no-comments widget-area"><h2 class="related-title">Head</h2><p>Text of the page, long enough.</p></{tag}><div class="comments"><p>nice</p></div></body>'
     want = "Title\n\nSome long text of the article, with many words.\n\nDiscussion\n\nWe discuss it." if tag == "article" else "Head\n\nText of the page, long enough."
     assert texts(spark, [page]) == [want]
+
+
+def test_linked_references(spark):
+    page = '<body><nav><a>Home</a></nav><article><h1>T</h1><p>Text.</p><div><p>See <a>a long name of a work</a> and <a>another long name</a>.</p></div><h2>References</h2><ol><li><a>First work</a></li><li><a>Second work</a></li></ol><table><tr><td><a>cell</a></td></tr></table></article></body>'
+    only = "<body><article><div>By <a>a very long list of links</a></div></article></body>"
+    assert texts(spark, [page]) == ["T\n\nText.\n\nSee a long name of a work and another long name.\n\nReferences\n\nFirst work\n\nSecond work\n\ncell"]
+    assert texts(spark, [only]) == ["By a very long list of links"]
+
+
+def test_a_group_of_links_on_other_pages(spark):
+    made = [f'<body><div class="x2"><h1>Title {k}</h1><p>Some long text of the page, with words.</p><div class="x4">{box}</div></div></body>' for k, box in enumerate(["<a>Only links in here</a>"] * 3 + ["Plain words"])]
+    assert [t.split("\n\n")[2:] for t in texts(spark, made)] == [[], [], [], ["Plain words"]]
