@@ -56,5 +56,5 @@ def sweep(store: Store, as_of, retention_minutes: int, failed: Callable[[Excepti
             for c in columns if rows is not None else ():
                 rows = rows.join(gone.withColumnRenamed("uuid", c), c, "left_anti")
             left[name] = rows
-        store.write_all({k: v for k, v in left.items() if v is not None}, tag=f"sweep-{n}")
+        store.write_all({k: v for k, v in left.items() if v is not None})  # untagged: what was swept isn't found again
     return n

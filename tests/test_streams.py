@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import commands, index
+from tessera.operators.review import expired
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import RETENTION, as_of
 from tessera.sources import providers
@@ -40,6 +41,21 @@ def test_index_refresh_and_sweep(spark, tmp_path):
     assert feed.sweep(store, as_of(), RETENTION) == 0
 
 
+def test_two_sweeps_of_equal_size(spark, tmp_path):
+    fx, store = Fixtures(spark, SF), Store(spark, str(tmp_path / "store"))
+    late = F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))
+    first, second = (r.uuid for r in fx.units.orderBy("uuid").limit(2).collect())
+    trashed = F.col("uuid").isin(first, second)
+    units = fx.units.withColumn("status", F.when(trashed, "trashed").otherwise(F.col("status"))).withColumn("trashed_at", F.when(trashed, as_of()).otherwise(F.col("trashed_at")))
+    change = fx.changes.where("action = 'delete'").limit(1)
+    store.write_all({"units": units, "keywords": fx.keywords, "changes": change.withColumn("memory_uuid", F.lit(first))})
+    assert feed.sweep(store, late, RETENTION) == 1
+    store.write("changes", change.withColumn("memory_uuid", F.lit(second)))
+    assert feed.sweep(store, late, RETENTION) == 1
+    assert store.read("units").where(F.col("uuid").isin(first, second)).isEmpty()
+    assert store.read("keywords").where(F.col("memory_uuid").isin(first, second)).isEmpty() and store.read("changes").isEmpty()
+
+
 def test_store_without_versions(spark, tmp_path):
     failed = []
     assert feed.sweep(Store(spark, str(tmp_path / "none")), as_of(), 1, failed.append) == 0 and failed
