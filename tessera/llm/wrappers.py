@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 from .url_rules import url_host
 
+#: A quote opens a string only after = and white space; elsewhere a tag ends at its next >.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=)*+(?:>|\Z)|[^<]+|<",
     re.S,
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")

@@ -88,3 +88,8 @@ def test_linked_references(spark):
 def test_a_group_of_links_on_other_pages(spark):
     made = [f'<body><div class="x2"><h1>Title {k}</h1><p>Some long text of the page, with words.</p><div class="x4">{box}</div></div></body>' for k, box in enumerate(["<a>Only links in here</a>"] * 3 + ["Plain words"])]
     assert [t.split("\n\n")[2:] for t in texts(spark, made)] == [[], [], [], ["Plain words"]]
+
+
+def test_quotes_inside_tags():
+    page = """<p>One <img alt=John's> two three</p><p>four it isn't five</p><p title = "a > b" class='c > d' x="1">six</p><p ">seven</p><p>eight "</p>"""
+    assert [t for _, t in wrappers.blocks(page)[1]] == ["One two three", "four it isn't five", "six", "seven", 'eight "']
