@@ -93,3 +93,91 @@ def test_a_group_of_links_on_other_pages(spark):
 def test_quotes_inside_tags():
     page = """<p>One <img alt=John's> two three</p><p>four it isn't five</p><p title = "a > b" class='c > d' x="1">six</p><p ">seven</p><p>eight "</p>"""
     assert [t for _, t in wrappers.blocks(page)[1]] == ["One two three", "four it isn't five", "six", "seven", 'eight "']
+
+
+ARTICLE = "<article><h1>T</h1><p>Some long text of the article, with many words.</p><p>And more.</p></article>"
+
+
+@pytest.mark.parametrize("opening", ["<body class=no-sidebar>", "<body class=has-sidebar>", "<body class=with-header>", "<body class=search-results>", "<div class=content-sidebar-wrap>", "<div class=content-widget>", "<div class=post-social>"])
+@pytest.mark.parametrize("article", ["<article>", "<article class='post hentry comments-open'>", "<article class='post tag-social category-alert'>", "<div class='post hentry comments-open'>", "<div class=story>"])
+def test_names_of_what_holds_the_article_tell_nothing(opening, article):
+    page = opening + ARTICLE.replace("<article>", article).replace("</article>", f"</{article[1:].split()[0].strip('>').split(' ')[0]}>")
+    told = wrappers.marks(wrappers.Judge(wrappers.folded(wrappers.blocks(page)[0])).decide())
+    assert wrappers.extract(page, told) == "T\n\nSome long text of the article, with many words.\n\nAnd more."
+
+
+def test_inline_elements_and_remarks(spark):
+    page = "<article><p>Find <b class=search>good</b> words <span class=ad>Buy <span>now</span> cheap stuff</span>here.</p><div class=reviews><p>Great</p></div><div class=user-feedback><p>Nice</p></div></article>"
+    assert texts(spark, [page]) == ["Find good words here."]
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        ("<article>" + "<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>flat</p></article>", 2),
+        ("<article><p>" + "<span>word " * 100_000 + "</p>" * 100_000, 100_000),
+        ("<article><p>one</p><p>" + "<span class=ad>word " * 100_000, 1),
+        ("<article><p>" + "<table><p>" * 20_000 + "</p></li>" * 20_000 + "deep</article>", 1),
+    ],
+)
+def test_deep_and_unclosed_pages(page, words):
+    told = wrappers.marks(wrappers.Judge(wrappers.folded(wrappers.blocks(page)[0])).decide())
+    assert len(wrappers.extract(page, told).split()) == words
+
+
+def test_long_lists_are_aligned():
+    made = [wrappers.folded(wrappers.blocks("<body><article>" + "".join(f"<div class={chr(97 + i % (26 - k)) * (1 + i % 7)}{chr(97 + i // 26 % 26)}>t{i}</div>" for i in range(3000)))[0]) for k in range(2)]
+    merged = wrappers.merge(*made)
+    assert len(merged.children[0].children[0].children) <= 6000
+
+
+FILLER = "Sentences about {k} and other things, long enough to be a paragraph of the page's main text"
+#: Templates by hand: name, page of k, and the text that it should give.
+TEMPLATES = {
+    "blog": (
+        """<html><body class="home blog has-sidebar"><header class="site-header"><p class="site-title"><a href=/>My blog</a></p><ul class="menu"><li><a>Home</a><li><a>About</a></ul></header>
+        <div id="content-sidebar-wrap"><div class="hentry post type-post tag-social"><h1 class="entry-title">Post {k}</h1><div class="entry-content"><p>{f} one.</p><p>{f} <em>two</em>.</p><h2>More</h2><p>{f} three.</p>
+        <div class="sharedaddy share-buttons"><a>Tweet</a> <a>Mail</a></div></div></div><div id="comments" class="comments-area"><h2>Two remarks</h2><ol class="comment-list"><li><p>First {k}, very nice indeed, thank you for the long text.</p><li><p>Second {k}</p></ol>
+        <form><p>Your mail</p><label>Name</label><input></form></div><div class="sidebar widget-area"><h3>Archive</h3><ul><li><a>May</a></ul></div></div><footer>Powered by words</footer></body></html>""",
+        "Post {k}\n\n{f} one.\n\n{f} two.\n\nMore\n\n{f} three.",
+    ),
+    "shop": (
+        """<body><div class="topbar">Free delivery from fifty on</div><nav><a>Shirts</a><a>Shoes</a></nav><div class="breadcrumbs"><a>Home</a> &gt; <a>Shoes</a></div>
+        <main><h1>Shoe {k}</h1><div class="product-description"><p>{f}.</p><ul><li>Leather</li><li>Size {k}</li></ul><table><tr><th>Weight</th><td>{k} kg</td></tr><tr><th>Colour</th><td>red</td></tr></table></div>
+        <form><select><option>1</option></select><button>Buy now</button></form><section class="customer-reviews"><h2>Reviews</h2><div class="review"><p>Fits well, {k} times.</p></div></section>
+        <div class="related-products"><h2>You may like</h2><a>Shoe 9</a></div></main><footer><p>Imprint</p></footer></body>""",
+        "Shoe {k}\n\n{f}.\n\nLeather\n\nSize {k}\n\nWeight\n\n{k} kg\n\nColour\n\nred",
+    ),
+    "forum": (
+        """<body><table class="header-bar"><tr><td><a>Forum</a></td><td><a>Rules</a></td></tr></table><div id="wrap"><h1>Question {k}</h1><div class="thread-start"><div class="author-box"><b>user{k}</b></div><div class="message"><p>{f}?</p><p>{f}!</p></div></div>
+        <div class="replies"><div class="reply"><p>Answer {k} with quite some words in it.</p></div><div class="reply"><p>Another answer {k} with words.</p></div></div></div><div class="login-box"><form><p>Log in</p></form></div></body>""",
+        "Question {k}\n\n{f}?\n\n{f}!",
+    ),
+    "news": (
+        """<body><div class="cookie-consent"><p>We use cookies, do you agree to that?</p></div><header><nav><ul><li><a>Politics</a></li><li><a>Sports</a></li></ul></nav></header><div class="page"><article class="article--full"><header><h1>News {k}</h1><p class="byline">By Ann {k}</p></header>
+        <div class="ad-slot">Advertisement</div><p>{f}.</p><figure><img><figcaption>Picture {k}</figcaption></figure><p>{f}, <a>linked</a>.</p><aside><h3>Read on</h3><a>Other</a></aside><p>Subscribe to our paper for only one per week.</p></article>
+        <section><article class="teaser"><h3><a>Other news of the day</a></h3></article><article class="teaser"><h3><a>And more of it</a></h3></article></section></div><footer>Contact</footer></body>""",
+        "News {k}\n\nBy Ann {k}\n\n{f}.\n\nPicture {k}\n\n{f}, linked.",
+    ),
+    "docs": (
+        """<body><div><a>Manual</a> <a>API</a> <a>Search the whole manual</a></div><div><div><ul><li><a>Chapter one</a></li><li><a>Chapter two</a></li></ul></div><div><h1>Function f{k}</h1><p>{f}.</p><h2>Parameters</h2><dl><dt>x{k}</dt><dd>{f} of x.</dd></dl>
+        <pre>call f{k}(x)</pre><h2>Returns</h2><p>{f} of it.</p></div></div><div>Made with love by the docs team</div></body>""",
+        "Function f{k}\n\n{f}.\n\nParameters\n\nx{k}\n\n{f} of x.\n\ncall f{k}(x)\n\nReturns\n\n{f} of it.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_templates(spark, name):
+    page, want = TEMPLATES[name]
+    fill = lambda s: [s.replace("{f}", FILLER).replace("{k}", str(k)) for k in ("seven", "eleven", "forty", "ninety", "ninety")]
+    assert texts(spark, fill(page), f"http://{name}.example/") == fill(want)
+
+
+def test_hosts_are_merged_in_a_tree(spark, monkeypatch):
+    page, want = TEMPLATES["docs"]
+    monkeypatch.setattr(wrappers, "FAN_IN", 2)
+    made = [page.replace("{f}", FILLER).replace("{k}", f"k{k}") for k in range(12)]
+    rows = spark.createDataFrame([(k, f"http://h.example/{k}", p, "", "") for k, p in enumerate(made)], SCHEMA).repartition(9)
+    got = {r.page_id: r.text for r in wrappers.extract_pages(rows).collect()}
+    assert got == {k: want.replace("{f}", FILLER).replace("{k}", f"k{k}") for k in range(12)}
