@@ -3,7 +3,7 @@
 A sketch gives each document a row of 16-bit values that agree more often
 the more alike two sets are. Bands of values bring candidates together, an
 estimate over both sketches rules out hopeless pairs, and every link is
-confirmed on the full sets.
+confirmed on the full sets, whose shingles 128-bit hashes tell apart.
 
 Groups of any size are safe: documents with equal sets are one class, and the
 classes of a bucket are first linked with the most central one alone. Buckets
@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_buffer, materialize, might_be_in, small_batches
+from .common import by_bytes, column_buffer, materialize, might_be_in, release
 from .components import connected_components
-from .shingles import distinct_sorted, minima, mix, permutations, shingle_hashes
+from .shingles import in_common, minima, mix, permutations, wide_sets
 
-#: Values of a sketch, and the seed of their hash functions.
-VALUES, SEED = 192, 20240109
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 DOUBT = 5.0
 #: Members of a bucket in a block.
@@ -36,14 +34,18 @@ BLOCK = 256
 
 
 class Sketch(Protocol):
+    #: Values of a sketch, and the seed of their hash functions.
+    values: int
+    seed: int
+
     def encode(self, least: np.ndarray) -> np.ndarray:
-        """Values (texts x VALUES, 16 bits) from the least permuted hashes."""
+        """Values (texts x values, 16 bits) from the least permuted hashes."""
 
     def likeness(self, x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
         """Estimated Jaccard similarities of pairs of sketches; n: sizes of their sets."""
 
 
-def band_rows(threshold: float, values: int = VALUES, miss: float = 1e-6) -> int:
+def band_rows(threshold: float, values: int, miss: float = 1e-6) -> int:
     """Most values a band may hold so that a pair at the threshold is missed with at most that chance."""
     fits = [r for r in range(1, 13) if (1 - threshold**r) ** (values // r) <= miss]
     return max(fits, default=1)
@@ -54,22 +56,21 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(sketch: Sketch, ngram: int, rows: int):
-    a, b = permutations(VALUES, SEED)
-    fold = permutations(rows, SEED + 1)[0]
-    bands = VALUES // rows
+    a, b = permutations(sketch.values, sketch.seed)
+    fold = permutations(rows, sketch.seed + 1)[0]
+    bands = sketch.values // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
             data, offsets = column_buffer(batch.column(1))
-            hashes, bounds = shingle_hashes(data, offsets, ngram)
-            sets = distinct_sorted(hashes, bounds)
-            n = np.array([len(x) for x in sets], np.int64)
+            sets = wide_sets(data, offsets, ngram)
+            n = np.array([x.shape[1] for x in sets], np.int64)
             bounds = np.concatenate(([0], np.cumsum(n)))
-            hashes = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            hashes, others = (np.concatenate([*(x[k] for x in sets), np.zeros(0, np.uint64)]) for k in (0, 1))
             sums = np.zeros((2, len(n)), np.uint64)
             if len(at := np.flatnonzero(n)):
                 sums[0, at] = np.add.reduceat(mix(hashes + np.uint64(1)), bounds[at])
-                sums[1, at] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds[at])
+                sums[1, at] = np.add.reduceat(mix(others + np.uint64(1)), bounds[at])
             values = sketch.encode(minima(hashes, bounds, a, b))
             parts = values[:, : bands * rows].reshape(len(n), bands, rows).astype(np.uint64)
             keys = mix((parts * fold).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -88,24 +89,33 @@ def _sketches(sketch: Sketch, ngram: int, rows: int):
     return run
 
 
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = in_common(x, y)
+    return 100 * both >= percent * (x.shape[1] + y.shape[1] - both)
+
+
 def _full_sets(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
-            hashes, bounds = shingle_hashes(*column_buffer(batch.column(1)), ngram)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _binary(distinct_sorted(hashes, bounds))], names=["id", "shingles"])
+            sets = wide_sets(*column_buffer(batch.column(1)), ngram)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _binary(sets)], names=["id", "shingles"])
 
     return run
 
 
 def _likely(sketch: Sketch, percent: int):
-    spread = DOUBT * np.sqrt(percent / 100 * (1 - percent / 100) / VALUES)
+    spread = DOUBT * np.sqrt(percent / 100 * (1 - percent / 100) / sketch.values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b, r_a, r_b = (batch.column(k) for k in range(6))
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, VALUES) for c in (r_a, r_b))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, sketch.values) for c in (r_a, r_b))
             n_x, n_y = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (n_a, n_b))
             j = sketch.likeness(x, y, n_x, n_y)
             keep = pa.array((j >= percent / 100 - spread) & (np.minimum(n_x, n_y) * 100 >= percent * np.maximum(n_x, n_y)))
@@ -119,9 +129,7 @@ def _confirmed(percent: int):
         for batch in batches:
             keep = []
             for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_linked(_wide(p), _wide(q), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -150,12 +158,12 @@ class _Cell:
 
     def __init__(self, group: list[tuple], sketch: Sketch, rows: int, percent: int):
         self.sides = [[r for r in group if r[3] == k] for k in (0, 1)]
-        self.values = [np.frombuffer(b"".join(r[8] for r in s), np.uint16).reshape(-1, VALUES) for s in self.sides]
+        self.values = [np.frombuffer(b"".join(r[8] for r in s), np.uint16).reshape(-1, sketch.values) for s in self.sides]
         self.n = [np.array([r[7] for r in s], np.float64) for s in self.sides]
         self.ids, self.of = ([np.array([r[k] for r in s], np.int64) for s in self.sides] for k in (4, 5))
         self.band, self.main = group[0][6], group[0][9]
         self.sketch, self.rows, self.share = sketch, rows, percent / 100
-        self.cut = self.share - DOUBT * np.sqrt(self.share * (1 - self.share) / VALUES)
+        self.cut = self.share - DOUBT * np.sqrt(self.share * (1 - self.share) / sketch.values)
 
     def near(self, k: int) -> np.ndarray:
         """Members of side 1 that may be linked with the k-th of side 0 and lie in another component.
@@ -169,7 +177,7 @@ class _Cell:
         close = equal.mean(1) >= self.cut
         at, equal = at[close], equal[close]
         if len(at):
-            at = at[equal[:, : VALUES // self.rows * self.rows].reshape(len(at), -1, self.rows).all(2).argmax(1) == self.band]
+            at = at[equal[:, : self.sketch.values // self.rows * self.rows].reshape(len(at), -1, self.rows).all(2).argmax(1) == self.band]
         if len(at):
             at = at[self.sketch.likeness(np.repeat(x[None], len(at), 0), y[at], np.full(len(at), n), self.n[1][at]) >= self.cut]
         return at
@@ -202,7 +210,7 @@ def _joined(sketch: Sketch, rows: int, percent: int):
         links: list[tuple[int, int]] = []
         for group in _groups(batches):
             cell = _Cell(group, sketch, rows, percent)
-            sets = [[np.frombuffer(r[10], np.uint64) for r in s] for s in cell.sides]
+            sets = [[_wide(r[10]) for r in s] for s in cell.sides]
             up: dict[int, int] = {}
 
             def top(c: int, up=up) -> int:
@@ -215,9 +223,7 @@ def _joined(sketch: Sketch, rows: int, percent: int):
                     a, b = top(cell.sides[0][k][5]), top(cell.sides[1][m][5])
                     if a == b:
                         continue
-                    y = sets[1][m]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if _linked(x, sets[1][m], percent):
                         links.append(tuple(sorted((cell.sides[0][k][4], cell.sides[1][m][4]))))
                         up[max(a, b)] = min(a, b)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
@@ -238,9 +244,7 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     Rows that share a doc_id are one document with several texts. Other
     columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = band_rows(percent / 100)
+    rows = band_rows(percent / 100, sketch.values)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
     sketched = materialize(texts.mapInArrow(_sketches(sketch, ngram, rows), schema))
@@ -251,8 +255,11 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     banded = materialize(lone.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "key"))
+    release(banded)
     central = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(central, "id").select("key", "band", "id", "weight"))
+    weighed, plain = materialize(members.join(central, "id").select("key", "band", "id", "weight")), members
+    release(plain)
+    members = weighed
 
     ids = materialize(members.select("id").distinct())
     likely = might_be_in(texts.where("doc_id is not null"), "doc_id", ids).where("__maybe").drop("__maybe")
@@ -274,6 +281,7 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     star = members.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     links = materialize(confirmed(star.distinct()))
     component = connected_components(links)
+    release(links)
 
     now = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     unsettled = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", rank).alias("main"), F.count("*").alias("all")).where("lo <> hi")
@@ -294,7 +302,10 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
         whole = whole.select(*columns, "n", "sketch", "main", "shingles").repartition(*cells).sortWithinPartitions(*cells)
         more = materialize(whole.mapInArrow(_joined(sketch, rows, percent), "a long, b long"))
         if not more.isEmpty():
-            component = connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+            before, component = component, connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+            release(before)
+        release(possible, more)
+    release(members, ids, full, brief, now)
 
     labelled = classes.join(component, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")

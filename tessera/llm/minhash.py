@@ -3,8 +3,9 @@
 A fingerprint holds, for each of 128 universal hash permutations, 16 mixed
 bits of the least permuted hash of a text's word shingles; the share of equal
 values estimates the Jaccard similarity of two texts. Signatures are computed
-in numpy over whole Arrow columns; linking.py joins their bands in Spark and
-verifies similarities on the full sets (similar_documents).
+in numpy over whole Arrow columns, and the pairs that the query asks for are
+verified on their full sets. linking.py joins the signatures' bands in Spark
+and verifies what they bring together (similar_documents).
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_buffer, partitions, small_batches
-from .linking import SEED, near_components
-from .shingles import minima, mix, permutations, shingle_hashes
+from .common import by_bytes, column_buffer, partitions
+from .linking import near_components
+from .shingles import in_common, minima, mix, permutations, wide_sets
 
-PERMUTATIONS, SHINGLE = 128, 5
+PERMUTATIONS, SEED, SHINGLE = 128, 20240112, 5
 
 
 class MinHash:
+    values, seed = PERMUTATIONS, SEED
+
     def encode(self, least: np.ndarray) -> np.ndarray:
         return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
@@ -34,14 +37,23 @@ class MinHash:
 
 
 def similar_documents(docs: DataFrame, ngram: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept by MinHash bands and verified Jaccard; see linking.near_components."""
+    """doc_id, n_shingles, component_id, kept by the bands of documents' fingerprints and verified Jaccard; see linking.near_components."""
     return near_components(docs, MinHash(), ngram, percent)
 
 
-def signatures(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
-    """Texts x PERMUTATIONS values of 16 bits."""
-    a, b = permutations(PERMUTATIONS, SEED + 3)
-    return MinHash().encode(minima(*shingle_hashes(*column_buffer(column), size), a, b))
+def signatures(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Texts x PERMUTATIONS values of 16 bits, and the texts' sets of shingles."""
+    a, b = permutations(PERMUTATIONS, SEED)
+    sets = wide_sets(*column_buffer(column), size)
+    bounds = np.concatenate(([0], np.cumsum([x.shape[1] for x in sets], dtype=np.int64)))
+    return MinHash().encode(minima(np.concatenate([*(x[0] for x in sets), np.zeros(0, np.uint64)]), bounds, a, b)), sets
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two wide sets; that of two empty ones is 1."""
+    both = in_common(x, y)
+    every = x.shape[1] + y.shape[1] - both
+    return both / every if every else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -50,37 +62,40 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, then documents before the sentinel that follows the bucket's last."""
 
-    def made(ids: list, texts: list[str], own: np.ndarray, nexts: list[str], after: np.ndarray) -> pa.RecordBatch:
-        changed = [edited(t, f) for t, f in zip(texts, nexts, strict=True)]
-        other = signatures(pa.array(changed, pa.string()))
+    def made(ids: list, texts: list[str], sets: list, at: list[int], to: list[int], values: np.ndarray) -> pa.RecordBatch:
+        changed = [edited(texts[i], texts[j]) for i, j in zip(at, to, strict=True)]
+        other, others = signatures(pa.array(changed, pa.string()))
+        own, after = values[at], values[to]
         hexed = lambda rows: pa.array([r.astype("<u2").tobytes().hex() for r in rows], pa.string())
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
-                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([ids[i] for i in at], pa.int64()),
+                pa.array([len(texts[i]) for i in at], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
                 hexed(own),
                 hexed(other),
                 pa.array(MinHash().likeness(own, other)),
                 pa.array(MinHash().likeness(own, after)),
+                pa.array([jaccard(sets[i], o) for i, o in zip(at, others, strict=True)], pa.float64()),
+                pa.array([jaccard(sets[i], sets[j]) for i, j in zip(at, to, strict=True)], pa.float64()),
             ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            names=[f.split()[0] for f in SCHEMA.split(", ")],
         )
 
-    held = None  # the row that still lacks its next one: bucket, doc_id, text, signature
+    held = None  # the row that still lacks its next one: bucket, doc_id, text, signature, set
     for batch in by_bytes(batches, 3):
         buckets, sentinel, ids = (batch.column(k).to_pylist() for k in range(3))
         texts = [t or "" for t in batch.column(3).to_pylist()]
-        values = signatures(batch.column(3))
+        values, sets = signatures(batch.column(3))
         if held:
             buckets, sentinel, ids, texts = [held[0], *buckets], [False, *sentinel], [held[1], *ids], [held[2], *texts]
-            values = np.vstack([held[3][None], values])
+            values, sets = np.vstack([held[3][None], values]), [held[4], *sets]
         held = None
         at, to = [], []
         for i, bucket in enumerate(buckets):
@@ -93,9 +108,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     at.append(i)
                     to.append(i + 1)
             else:
-                held = (bucket, ids[i], texts[i], values[i])
+                held = (bucket, ids[i], texts[i], values[i], sets[i])
         if at:
-            yield made([ids[i] for i in at], [texts[i] for i in at], values[at], [texts[i] for i in to], values[to])
+            yield made(ids, texts, sets, at, to, values)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -104,7 +119,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A document's next one is that of the next greater doc_id, and the first
     one after the last; rows that share a doc_id follow each other in the
     order of their texts. Null texts are empty, and empty texts have the
-    fingerprint of the empty set. Rows without a doc_id have no place in the
+    fingerprint of the empty set. near_ columns are the share of equal values
+    of two fingerprints, jaccard_ columns the likeness of the full sets that
+    they estimate. Rows without a doc_id have no place in the
     order: each is its own next document. Other columns are ignored; an empty
     table gives an empty result.
 
@@ -113,7 +130,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     all that are next to each other.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(spark)
     cuts = sorted(set(texts.approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n)))) or [0.0]

@@ -13,13 +13,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import materialize, might_be_in
-from .linking import VALUES, near_components
+from .linking import near_components
 
-#: Base of the registers' logarithm, rate of the exponential values, highest register.
+#: Registers and the seed of their hash functions; base of the registers' logarithm, rate of the exponential values, highest register.
+VALUES, SEED = 192, 20240109
 BASE, RATE, TOP = 1.02, 20.0, 4000
 
 
 class SetSketch:
+    values, seed = VALUES, SEED
+
     def encode(self, least: np.ndarray) -> np.ndarray:
         unit = np.minimum((least.astype(np.float64) + 1.0) / 2.0**64, 1 - 2.0**-53)
         value = -np.log1p(-unit) / RATE

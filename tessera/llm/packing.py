@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, column_buffer, materialize, partitions, small_batches
+from .common import by_bytes, column_buffer, materialize, partitions
 from .shingles import span_hashes, word_spans
 
 #: Open windows of a partition, the least gap that is worth cutting a piece, partitions merged by one task.
@@ -46,7 +46,8 @@ class Encoder:
     and whatever another file is given for. Byte-level pre-tokenizers never
     join white space to what precedes it, so a plain text's ids are those of
     its units, of white space and the word after it, one after the other;
-    each different unit (by a 64-bit hash) of a batch is encoded once.
+    each different unit of a batch is encoded once. Units are told apart by
+    hashes, and those of equal hashes are then compared byte by byte.
     """
 
     def __init__(self, path: str | None = None):
@@ -86,6 +87,7 @@ class Encoder:
         begins[at[filled]] = offsets[filled]
         keys, first, which = np.unique(span_hashes(data, begins, stops, lower=False), return_index=True, return_inverse=True)
         lo, hi = begins[first], stops[first]
+        unlike = np.searchsorted(at, _unlike(data, begins, stops, lo[which], hi[which]), "right") - 1
         # A unit without white space before it would run into another, so it is encoded alone: one for each text at most.
         alone = np.flatnonzero(lo == starts[first])
         together = np.flatnonzero(lo != starts[first])
@@ -112,9 +114,27 @@ class Encoder:
             text = raw[offsets[k] : offsets[k + 1]].decode()
             if RARE.search(text):
                 out[k] = self._whole(text)
+        for k in np.unique(unlike).tolist():
+            out[k] = self._whole(raw[offsets[k] : offsets[k + 1]].decode())
         return out
 
 
+def _unlike(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Places of the spans, in order, whose bytes aren't those of the span lo to hi that stands for them."""
+    length = stops - starts
+    odd = length != hi - lo
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + block, "right")))
+        n = np.where(odd[at:to], 0, length[at:to])
+        own = np.repeat(starts[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        differ = data[own] != data[own + np.repeat(lo[at:to] - starts[at:to], n)]
+        if differ.any():
+            odd[at + np.repeat(np.arange(to - at), n)[differ]] = True
+        at = to
+    return np.flatnonzero(odd)
+
+
 class Packer:
     """Packs pieces (doc_id, start, ids, doc_tokens) into windows of at most size ids; full ones land in out."""
 
@@ -124,7 +144,7 @@ class Packer:
         self.out: list[tuple] = []
 
     def place(self, doc_id, start: int, ids: bytes, tokens: int) -> None:
-        whole = self.size * 4
+        whole, ids = self.size * 4, memoryview(ids)  # cuts copy nothing
         while len(ids) >= whole:
             self.emit([(doc_id, start, ids[:whole], tokens)])
             start, ids = start + self.size, ids[whole:]
@@ -165,7 +185,7 @@ class Packer:
         for k, (_, pieces) in enumerate(self.open):
             at = 0
             for doc_id, start, ids, tokens in pieces:
-                self.out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), tokens, k, at, ids, part))
+                self.out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), tokens, k, at, bytes(ids), part))
                 at += len(ids) // 4
         self.open = []
 
@@ -247,7 +267,6 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None) -> Dat
     the public one by default.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = materialize(texts.mapInArrow(_packed(tokenizer, size), SCHEMA))
     done, level = [made.where("ids is null")], 0

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import curriculum, ivfpq, lines, minhash, near, packing, ring, toxicity, url_rules, wrappers
 
+from .common import small_batches
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def settled(query: Query) -> Query:
+    """A query as a program of its own, which may settle its session's Arrow batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_html_extraction": wrappers.query,
     "op2_line_dedup": lines.query,
@@ -16,6 +35,7 @@ QUERIES = {
     "op9_sharding": ring.query,
     "op10_minhash_near_dedup": near.query,
 }
+QUERIES = {name: settled(q) for name, q in QUERIES.items()}
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op6_url_filters": url_rules.ORACLE,

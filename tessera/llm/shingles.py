@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Fixed odd multipliers of the rolling word hash and of the finaliser.
-WORD_BASE = 0x9E3779B97F4A7C15
+#: Fixed odd multipliers of shingles and of the finaliser.
 STEP = np.uint64(0xD1342543DE82EF95)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes that are hashed at a time; a longer single word is taken whole.
@@ -26,12 +25,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = np.full(n, WORD_BASE, np.uint64)
-    base[:1] = 1
-    back = np.full(n, pow(WORD_BASE, -1, 1 << 64), np.uint64)
-    back[:1] = 1
-    return np.cumprod(base, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+def _random(key: np.ndarray, table: int) -> np.ndarray:
+    """Fixed random numbers of keys, other ones for each table."""
+    return mix(mix(key.astype(np.uint64) * STEP + np.uint64(2 * table + 1)) + np.uint64(0x9E3779B97F4A7C15))
+
+
+#: Places of a word whose random numbers are tabled, for each byte and two independent hashes; later places compute theirs.
+PLACES = 64
+_TABLES = [_random(np.arange(PLACES * 256), t) for t in range(2)]
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,24 +52,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, stops, np.searchsorted(starts, offsets).astype(np.int64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of spans that are in order and don't overlap; lower: A-Z count as a-z."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True, table: int = 0) -> np.ndarray:
+    """64-bit hashes of spans that are in order and don't overlap; lower: A-Z count as a-z.
+
+    Tabulation hashing: a random number for each byte at each place of a span,
+    added up. Whatever two spans are, they collide with a chance of 2^-64
+    over the tables; hashes of the two tables (0, 1) are independent.
+    """
     out = np.empty(len(starts), np.uint64)
-    up, down = _powers(BLOCK + 1)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(stops, starts[at] + BLOCK, "right")))
         lo, hi = starts[at], stops[to - 1]
-        if hi - lo >= len(up):
-            up, down = _powers(int(hi - lo) + 1)
         piece = data[lo:hi]
-        code = piece.astype(np.uint64)
-        if lower:
-            code[(piece >= 65) & (piece <= 90)] += np.uint64(32)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((code + np.uint64(1)) * up[: hi - lo], out=total[1:])
+        code = (_LOWER[piece] if lower else piece).astype(np.int32)
         a, b = starts[at:to] - lo, stops[at:to] - lo
-        out[at:to] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        place = np.arange(hi - lo, dtype=np.int32) - np.repeat(a, np.diff(a, append=hi - lo)).astype(np.int32)
+        far = np.flatnonzero(place >= PLACES)
+        code += place << 8 if not len(far) else np.minimum(place, PLACES - 1) << 8
+        value = _TABLES[table][code]
+        if len(far):
+            value[far] = _random((place[far].astype(np.uint64) << np.uint64(8)) + (code[far] & 255).astype(np.uint64), table)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        out[at:to] = mix(total[b] - total[a])
         at = to
     return out
 
@@ -78,9 +86,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, starts, stops), at
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles (repeats kept) and the n + 1 bounds of each text's shingles."""
-    words, at = word_hashes(data, offsets)
+def _rolled(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of word hashes, and the bounds of each text's shingles."""
     count = np.diff(at)
     many = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     bounds = np.concatenate(([0], np.cumsum(many)))
@@ -109,6 +116,30 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return out, bounds
 
 
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles (repeats kept) and the n + 1 bounds of each text's shingles."""
+    return _rolled(*word_hashes(data, offsets), size)
+
+
+def wide_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each text its distinct shingles as 2 x n hashes, in order of the first ones: 128 bits that tell them apart."""
+    starts, stops, at = word_spans(data, offsets)
+    (first, bounds), (second, _) = (_rolled(span_hashes(data, starts, stops, table=t), at, size) for t in (0, 1))
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own, where = np.unique(first[a:b], return_index=True)
+        out.append(np.stack([own, second[a:b][where]]))
+    return out
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two wide sets share; both hashes count."""
+    if not x.shape[1] or not y.shape[1]:
+        return 0
+    at = np.minimum(np.searchsorted(y[0], x[0]), y.shape[1] - 1)
+    return int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+
+
 def distinct_sorted(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
 

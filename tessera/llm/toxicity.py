@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, column_buffer, small_batches
+from .common import by_bytes, column_buffer
 from .shingles import word_hashes
 
 #: Labelled documents fitted on at most; least documents of the sample that a feature needs, and how many
@@ -174,7 +174,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     Labels that are null, or whose document is missing, are left out; a null
     text has no features. Without labels every text scores as clean.
     """
-    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # sample rows at most
@@ -197,7 +196,6 @@ def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT, names: tuple[
     severity of a text without any. All columns come back; theirs of the same
     names are replaced. names: what the three columns are called.
     """
-    small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in names]
     kept = docs.select(*(f.name for f in own))
     place = [f.name for f in own].index("text")

@@ -9,8 +9,9 @@ import pytest
 
 from tessera.llm import minhash, near
 from tessera.llm.components import connected_components
-from tessera.llm.linking import VALUES, band_rows
-from tessera.llm.shingles import minima, permutations, shingle_hashes
+from tessera.llm.linking import band_rows
+from tessera.llm.near import VALUES
+from tessera.llm.shingles import minima, permutations, shingle_hashes, span_hashes, wide_sets, in_common
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,7 +99,7 @@ def test_sketches_merge_and_estimate():
     assert (sketch.merge(values[0], values[1]) == values[2]).all()
     told = sketch.likeness(values[:1], values[1:2], np.array([2000.0]), np.array([2500.0]))
     assert abs(told[0] - 1500 / 3000) < 0.12
-    assert band_rows(0.85) == 6 and band_rows(0.8) == 5
+    assert band_rows(0.85, 192) == 6 and band_rows(0.8, 192) == 5 and band_rows(0.8, 128) == 4
 
 
 def test_hashes_tell_shingles_apart():
@@ -111,6 +112,46 @@ def test_hashes_tell_shingles_apart():
         assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(len(texts)))
 
 
+def swapped(n):
+    """Two words of 2^n letters a and b that have equal polynomial hashes modulo 2^64, whatever the odd base, from n = 11 on."""
+    word, other = "a", "b"
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_words_that_polynomials_confuse(spark):
+    from tessera.llm.common import column_buffer
+
+    for n in (1, 5, 10, 11, 12):
+        x, y = swapped(n)
+        data, offsets = column_buffer(pa.array([x, y]))
+        for table in (0, 1):
+            h = span_hashes(data, offsets[:-1], offsets[1:], table=table)
+            assert h[0] != h[1]
+    x, y = swapped(12)
+    rows = [(0, f"{x} {x} {y} {x}"), (1, f"{y} {y} {x} {y}"), (2, f"{y} {y} {x} {y}")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, 3, 85)
+
+
+def test_wide_sets_against_sets_of_words():
+    from tessera.llm.common import column_buffer
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["aa", "b", "c" * 70, "C" * 70, "d" * 200, "é"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)]
+    for n in (1, 3, 5):
+        got, want = wide_sets(*column_buffer(pa.array(texts)), n), [shingles(t, n) for t in texts]
+        assert [x.shape[1] for x in got] == [len(s) for s in want]
+        assert all(in_common(got[i], got[j]) == len(want[i] & want[j]) for i in range(40) for j in range(40))
+
+
+def test_hubs_are_spread(spark):
+    links = [(0, k) for k in range(1, 400)] + [(500 + k, 1000) for k in range(300)] + [(k, k + 1) for k in range(2000, 2040)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), least_hot=20).collect()}
+    assert {got[k] for k in range(400)} == {0} and {got[500 + k] for k in range(300)} == {500} and got[1000] == 500 and {got[k] for k in range(2000, 2041)} == {2000}
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(100, 160)] + [(200, 200 + k) for k in range(50)] + [(rng.randrange(20), rng.randrange(20)) for _ in range(30)] + [(None, 1), (5, None)]
@@ -132,6 +173,9 @@ def test_fingerprints(spark, docs):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
         assert r.near_next == pytest.approx((values(r.fingerprint) == values(got[j].fingerprint)).mean())
         a, b = shingles(text, 5), shingles(changed, 5)
+        assert r.jaccard_edited == (len(a & b) / len(a | b) if a | b else 1.0)
+        c = shingles(after, 5)
+        assert r.jaccard_next == (len(a & c) / len(a | c) if a | c else 1.0)
         if a | b:
             off.append(abs(r.near_edited - len(a & b) / len(a | b)))
     assert np.mean(off) < 0.05 and max(off) < 0.25

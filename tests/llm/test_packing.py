@@ -86,3 +86,33 @@ def encoder_once():
     if not _ENCODER:
         _ENCODER.append(packing.Encoder())
     return _ENCODER[0]
+
+
+def test_words_that_polynomials_confuse(spark, encoder):
+    from .test_near import swapped
+
+    x, y = swapped(11)
+    texts = {0: [f"one {x} two {y} {x}"], 1: [f"{y} {x}\n{y}"]}
+    df = spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string").coalesce(1)
+    check(packing.pack(df).collect(), texts, encoder, 1024)
+
+
+def test_equal_hashes_are_compared(encoder, monkeypatch):
+    """Even a hash that tells nothing apart gives the tokenizer's ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["one two three", "four  five\nsix", "", "one"]
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, stops, lower: np.zeros(len(starts), np.uint64))
+    assert encoder.encode_all(pa.array(texts)) == [struct.pack(f"<{len(x)}I", *x) for x in (encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (1_000_000, 10_000_000):
+        packer, began = packing.Packer(1024, 0), time.perf_counter()
+        packer.place(1, 0, bytes(4 * n), n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1 and sum(r[2] for r in packer.out) + sum(w[0] for w in packer.open) == 10_000_000
