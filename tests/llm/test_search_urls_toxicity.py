@@ -48,7 +48,7 @@ def test_hot_vector_ranks_small_ids_first(spark):
     x = rng.normal(size=(600, 8)).astype(np.float32)
     x[::3] = x[0]
     df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
-    got, want = found(ivfpq.search(df, probe_share=1.0)), exact(np.arange(600), x.astype(np.float64))
+    got, want = found(ivfpq.search(df, recall=1.0)), exact(np.arange(600), x.astype(np.float64))
     assert [v for v, _ in got[0]] == [v for v, _ in want[0]]
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) > 0.97
 
@@ -69,6 +69,24 @@ def test_recall_within_near_copies(spark, noise):
     assert np.mean([s for q, s in share.items() if not group[q]]) > 0.9
 
 
+def test_clusters_are_probed_by_few_lists():
+    """Lists grow with the number of vectors, probes only as far as the data needs them."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (1000, 4000, 16_000):
+        x = rng.normal(size=(n // 100, 24))[np.arange(n) % (n // 100)] + 0.1 * rng.normal(size=(n, 24))
+        index = ivfpq.fit(x, round(n**0.5))
+        shares.append(ivfpq.probes_for(index, x, 20) / len(index.centroids))
+    assert shares[2] < 0.25 and shares[2] < shares[0]
+
+
+def test_each_query_gets_its_twenty(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 6)), 50 * rng.normal(size=(400, 6))[:1].repeat(400, 0)])
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert all(len(v) == 20 for v in found(ivfpq.search(df)).values())
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (1, [2.0, 1.0]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (6, [1.0, 5.0]), (7, []), (60, [0.5, 0.5])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, list string")
