@@ -3,12 +3,12 @@
 Every shard has virtual nodes on a ring of 2^32 places. A document's key is
 its text, so that equal texts belong together; it goes to the first virtual
 node at or after its place. Shards hold at most their capacity: keys that
-overflow a full shard continue clockwise, past full shards, to the next gate
-(a shard's first virtual node) of a shard that has room. Capacities add up to
-the number of documents, so all shards end up full and their counts are at
-most one apart. The walk is done on counts of virtual nodes, not on
-documents; a hot key is ranked in lanes, and only where its rank crosses a
-shard's capacity is it split. Only DataFrame functions run.
+overflow a full shard continue clockwise to the next virtual node of a shard
+that has room. Capacities add up to the number of documents, so all shards
+end up full and their counts are at most one apart. The walk is done on
+counts of virtual nodes, not on documents, in rounds of which each fills a
+shard or is the last; a hot key is ranked in lanes, and only where its rank
+crosses a shard's capacity is it split. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, release
 
 #: Places on the ring, and the places of one cell of the index of virtual nodes.
 RING, CELL = 1 << 32, 1 << 20
@@ -37,46 +37,46 @@ def ring(spark: SparkSession, shards: int, nodes: int) -> DataFrame:
     return placed.withColumn("arc", F.row_number().over(order) - 1).withColumn("after", F.lag("place", 1, -1).over(order))
 
 
-def _routes(arcs: DataFrame, shards: int, total: Column) -> DataFrame:
-    """From arcs (arc, shard, node, n) the stretches of ranks of each arc and the shards and slots they go to.
+def _routes(arcs: DataFrame, shards: int, total: int) -> DataFrame:
+    """From arcs (arc, shard, n) the stretches of ranks of each arc and the shards and slots they go to.
 
-    All windows are over the ring's nodes.
+    All windows are over the ring's nodes. In a round each stretch that is
+    still on its way goes to the next virtual node of a shard with room, where
+    the nearest ones are let in first; a round that leaves some over has
+    filled a shard, so there are no more rounds than shards.
     """
-    size = F.floor(total / shards).cast("long")
-    capacity = size + (F.col("shard") < total - size * shards).cast("long")
-    before = Window.partitionBy("shard").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("shard")
-    home = arcs.withColumn("capacity", capacity).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    home = home.withColumn("stay", F.greatest(F.lit(0), F.least("n", F.col("capacity") - F.col("ahead"))))
-    home = home.withColumn("over", F.col("n") - F.col("stay"))
-    room = F.when(F.col("node") == 0, F.col("capacity") - F.sum("stay").over(whole)).otherwise(0)
-    home = home.withColumn("room", room)
-    # The walk starts where, from there on, no gate opens before somebody overflows.
-    so_far = Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, 0)
-    level = home.withColumn("level", F.sum(F.col("over") - F.col("room")).over(so_far))
-    start = level.agg(F.min_by("arc", F.struct("level", "arc")).alias("low"))
-    count = F.count("*").over(Window.partitionBy())
-    turned = level.crossJoin(F.broadcast(start)).withColumn("turn", F.pmod(F.col("arc") - F.col("low") - 1, count))  # one row
-    past = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    turned = turned.withColumn("sent", F.coalesce(F.sum("over").over(past), F.lit(0))).withColumn("taken", F.coalesce(F.sum("room").over(past), F.lit(0)))
-    # The k-th document that overflows takes the k-th free slot: cut both sequences at each other's bounds.
-    none = F.lit(None)
-    senders = turned.where("over > 0").select(F.col("sent").alias("at"), "arc", F.col("stay").alias("skip"), F.col("sent").alias("from_at"), none.cast("int").alias("shard"))
-    takers = turned.where("room > 0").select(F.col("taken").alias("at"), none.cast("int").alias("arc"), none.cast("long").alias("skip"), none.cast("long").alias("from_at"), "shard")
-    cuts = senders.union(takers).groupBy("at").agg(*(F.max(c).alias(c) for c in ("arc", "skip", "from_at", "shard")))
-    along = Window.orderBy("at")
-    full = cuts.select(
-        "at",
-        *(F.last(c, ignorenulls=True).over(along).alias(c) for c in ("arc", "skip", "from_at", "shard")),
-        F.lead("at").over(along).alias("next"),
-    )
-    end = turned.agg(F.sum("over").alias("end"))
-    sent = full.crossJoin(F.broadcast(end)).withColumn("to_at", F.coalesce("next", "end"))  # one row
-    sent = sent.select("arc", (F.col("skip") + F.col("at") - F.col("from_at")).alias("lo"), (F.col("skip") + F.col("to_at") - F.col("from_at")).alias("hi"), "shard")
-    stays = home.where("stay > 0").select("arc", F.lit(0).cast("long").alias("lo"), F.col("stay").alias("hi"), "shard")
-    routes = stays.union(sent.where("hi > lo"))
+    size, more = divmod(total, shards)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    nodes = arcs.select("arc", "shard")
+    way = arcs.where("n > 0").select("shard", "arc", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), F.col("arc").alias("at"), F.lit(0).alias("far"))
+    room = arcs.groupBy("shard").agg((F.lit(size) + (F.first("shard") < more).cast("long")).cast("long").alias("room"))
+    taken, rounds = None, []
+    for _ in range(shards + 1):
+        # Shards without arrivals have a row with no stretch. One partition each: no shuffles.
+        arrived = way.unionByName(room.select("shard", none("int", "arc"), none("long", "lo"), none("long", "hi"), none("int", "at"), none("int", "far"))).coalesce(1)
+        arrived = arrived.join(F.broadcast(room), "shard")
+        before = Window.partitionBy("shard").orderBy("far", "at", "arc", "lo").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(before), F.lit(0))
+        placed = arrived.withColumn("fits", F.greatest(F.lit(0), F.least(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), F.col("room") - ahead)))
+        placed = materialize(placed)
+        rounds.append(placed)
+        done = placed.where("fits > 0").select("arc", "lo", (F.col("lo") + F.col("fits")).alias("hi"), "shard")
+        taken = done if taken is None else taken.union(done)
+        if placed.where("hi - lo > fits").isEmpty():
+            break
+        rest = placed.where("hi - lo > fits").select("arc", (F.col("lo") + F.col("fits")).alias("lo"), "hi", "at")
+        room = placed.coalesce(1).groupBy("shard").agg((F.first("room") - F.sum("fits")).alias("room"))
+        # The next open node after each, clockwise: the first open one ahead, or on the whole ring.
+        open_ = F.when(F.col("room") > 0, F.struct("arc", "shard"))
+        ahead_ = F.first(open_, ignorenulls=True).over(Window.orderBy("arc").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        first = F.first(open_, ignorenulls=True).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        nexts = nodes.join(F.broadcast(room), "shard").select(F.col("arc").alias("at"), F.coalesce(ahead_, first).alias("open"), F.count("*").over(Window.partitionBy()).alias("ring"))
+        moved = rest.join(F.broadcast(nexts), "at")
+        way = moved.select("open.shard", "arc", "lo", "hi", F.col("open.arc").alias("at"), F.pmod(F.col("open.arc") - F.col("at"), "ring").cast("int").alias("far"))
     slots = Window.partitionBy("shard").orderBy("arc", "lo").rowsBetween(Window.unboundedPreceding, -1)
-    return routes.withColumn("first_slot", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(slots), F.lit(0)))
+    routes = materialize(taken.coalesce(1).withColumn("first_slot", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(slots), F.lit(0))))
+    release(*rounds)
+    return routes
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, nodes: int = 64, lane_rows: int = 1000) -> DataFrame:
@@ -87,6 +87,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, nodes: int = 64, lane_rows:
     empty text; rows without or with equal doc_ids are rows like any other,
     ordered by what they hold. Other columns are ignored; an empty table
     gives an empty result.
+
+    Lanes come from doc_id, and for rows without one from the order in which
+    they are read, so that no lane grows with them.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -95,6 +98,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, nodes: int = 64, lane_rows:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         _place(text).alias("key"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("nth"),
     )
     keys = materialize(keys)
     nodes_ = ring(spark, shards, nodes)
@@ -108,17 +112,17 @@ def assign_shards(docs: DataFrame, shards: int = 24, nodes: int = 64, lane_rows:
     rows = keys.count()
     lanes = max(16, -(-rows // (shards * nodes * lane_rows)))
     part = F.floor(far * 4 / (RING / (shards * nodes)))
-    lane = F.pmod(F.xxhash64("doc_id"), F.lit(lanes))
+    lane = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(lanes))
     found = found.select("doc_id", "size", "text_crc32", "key", "arc", (part * lanes + lane).cast("long").alias("lane"))
     counts = found.groupBy("arc", "lane").agg(F.count("*").alias("n"))
     counts = materialize(counts)
     ahead = Window.partitionBy("arc").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    loads = nodes_.join(counts.groupBy("arc").agg(F.sum("n").alias("n")), "arc", "left").select("arc", "shard", "node", F.coalesce("n", F.lit(0)).alias("n"))
-    routes = materialize(_routes(loads, shards, F.lit(rows)))
+    loads = materialize(nodes_.join(counts.groupBy("arc").agg(F.sum("n").alias("n")), "arc", "left").select("arc", "shard", F.coalesce("n", F.lit(0)).alias("n")).coalesce(1))
+    routes = _routes(loads.coalesce(1), shards, rows)
     within = Window.partitionBy("arc", "lane").orderBy("key", "doc_id", "text_crc32", "size")
     ranked = found.withColumn("place", F.row_number().over(within) - 1).join(starts, ["arc", "lane"]).withColumn("rank", F.col("ahead") + F.col("place"))
-    # At most two routes for each virtual node and one for each shard.
+    # At most one route for each virtual node and round, and one for each shard.
     sent = ranked.join(F.broadcast(routes), "arc").where("rank >= lo and rank < hi")
     return sent.select(
         "doc_id",
