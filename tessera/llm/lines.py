@@ -1,11 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes (operator 2).
 
-Documents come in batches, from the highest doc_ids down. A batch's line
-keys are counted, merge-anti-joined with the keys that the runs already know
-to be frequent, and the rest become a sorted run of its own; when a level
-has enough runs they are compacted into one of the next level, adding counts
-and keeping the greatest doc_id. Keys are 128-bit hashes, and only DataFrame
-functions run.
+Documents come in batches, in any order. A batch's line keys are counted,
+merge-anti-joined with the keys that the runs already know to be frequent and
+to have a greater doc_id, and the rest become a sorted run of its own; when a
+level has enough runs they are compacted into one of the next level, adding
+counts and keeping the greatest doc_id. Keys are 128-bit hashes, and only
+DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialize
+from .common import SPACES, ascii_lower, materialize, release
 
 KEY = ["a", "b"]
+#: Most frequent keys whose lines are found by a broadcast (32 bytes each), so that none of them meets in one task.
+HOTTEST = 10_000
 
 
 class LineRuns:
@@ -26,11 +28,13 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
 
     def add(self, keys: DataFrame) -> None:
-        """keys (doc_id, a, b), once for each document, none of them higher than an earlier batch's."""
+        """keys (doc_id, a, b), once for each document; batches may come in any order."""
         run = keys.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
         for known in (r for level in self.levels for r in level):
-            # What a run knows to be frequent keeps its doc_id and needs no more counting.
-            run = run.join(known.where(F.col("n") >= self.min_docs).select(*KEY).hint("merge"), KEY, "left_anti")
+            # What a run knows to be frequent, with a greater doc_id, needs no more counting.
+            frequent = known.where(F.col("n") >= self.min_docs).select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("keep").alias("keep_"))
+            same = (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))
+            run = run.join(frequent.hint("merge"), same & (F.col("keep").isNull() | (F.col("keep") <= F.col("keep_"))), "left_anti")
         self._put(0, materialize(run.sortWithinPartitions(*KEY)))
 
     def _put(self, level: int, run: DataFrame) -> None:
@@ -40,6 +44,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._put(level + 1, materialize(self._merge(full).sortWithinPartitions(*KEY)))
+            release(*full)
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -49,8 +54,8 @@ class LineRuns:
         return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
 
     def frequent(self) -> DataFrame:
-        """Keys of at least min_docs documents: a, b, keep."""
-        return self._merge([r for level in self.levels for r in level]).where(F.col("n") >= self.min_docs).select(*KEY, "keep")
+        """Keys of at least min_docs documents: a, b, n, keep."""
+        return self._merge([r for level in self.levels for r in level]).where(F.col("n") >= self.min_docs)
 
 
 def line_key(line: Column) -> Column:
@@ -81,7 +86,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     columns of docs come back; theirs of the same names are replaced. An
     empty table gives an empty result.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = [F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__text")]
     parts = [i / batches for i in range(1, batches)]
@@ -98,7 +102,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         runs.add(hashed.where(F.col("batch") == k).select(F.col("__doc").alias("doc_id"), F.explode(own).alias("key")).select("doc_id", "key.*"))
 
     placed = hashed.select("__doc", "__text", F.posexplode("lines").alias("at", "key")).where("key is not null").select("__doc", "__text", "at", "key.*")
-    gone = placed.join(runs.frequent().hint("merge"), KEY).where("not (__doc <=> keep)")
+    frequent = materialize(runs.frequent())
+    release(*(r for level in runs.levels for r in level))
+    hot = materialize(frequent.orderBy(F.desc("n"), *KEY).limit(HOTTEST).select(*KEY, "keep"))
+    cool = frequent.select(*KEY, "keep").join(F.broadcast(hot.select(*KEY)), KEY, "left_anti")
+    of_hot = placed.join(F.broadcast(hot), KEY)
+    of_cool = placed.join(F.broadcast(hot.select(*KEY)), KEY, "left_anti").join(cool.hint("merge"), KEY)
+    gone = of_hot.unionByName(of_cool).where("not (__doc <=> keep)")
     gone = gone.groupBy("__doc", "__text").agg(F.collect_set("at").alias("__gone"))
 
     own = [c for c in docs.columns if c not in names]

@@ -57,3 +57,21 @@ def test_sql(spark):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
     rel = db.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({lines.ORACLE})")
     assert sorted(map(tuple, lines.query(spark, path).collect())) == sorted(rel.fetchall())
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_batches_in_any_order(spark, order):
+    """Later batches may hold newer documents: counts and greatest ids stay right."""
+    keys = [(d, k) for d in range(30) for k in range(12) if d % (k + 1) == 0]
+    groups = [[x for x in keys if x[0] // 6 == g] for g in range(5)]
+    groups = {"up": groups, "down": groups[::-1], "mixed": [groups[g] for g in (2, 0, 4, 1, 3)]}[order]
+    runs = lines.LineRuns(3)
+    for g in groups:
+        runs.add(spark.createDataFrame([(d, k, -k) for d, k in g], "doc_id long, a long, b long"))
+    want = {k: max(d for d, j in keys if j == k) for k in range(12) if sum(j == k for _, j in keys) >= 3}
+    assert {r.a: r.keep for r in runs.frequent().collect()} == want
+
+
+def test_few_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOTTEST", 1)
+    assert found(spark.createDataFrame(PLANTED, "doc_id long, text string")) == brute(PLANTED)
