@@ -109,7 +109,9 @@ def training_order(docs: DataFrame) -> DataFrame:
     the demand reaches them; the one document of a source in which its target
     ends keeps its first words only. A column n_chars follows the text.
     Documents of which nothing is taken are left out. Rows that repeat a
-    doc_id with its source and text are told apart by number.
+    doc_id with its source and text are told apart by number. Null texts and
+    those without words are never taken, nulls of other columns come back as
+    they are; an empty table gives an empty result.
     """
 
     def key(doc_id: Column, source: Column, text_hash: Column) -> Column:

@@ -3,9 +3,11 @@
 Severity grades 0 (clean) to 3 follow P(grade > k) = s(w x - t_k) with one
 weight vector w over sparse word features for all ordered thresholds t_k.
 Labels only say toxic or not, so a labelled toxic text is graded by how many
-different words it holds that the labelled sample ties to toxic texts. The
-model is fitted on a bounded sample of labelled documents and then scores
-every document; its output is the expected severity.
+different words it holds that the labelled sample ties to toxic texts: the
+severity of a text is how much of that it says, not how bad each word is, and
+toxic_words in the output tells the count. Copies of a labelled text count
+once. The model is fitted on a bounded sample of labelled documents and then
+scores every document; its output is the expected severity.
 """
 
 from __future__ import annotations
@@ -66,16 +68,21 @@ class Ordinal:
 
     def score(self, column: pa.Array) -> np.ndarray:
         """w x of each text."""
+        return self.told(column)[0]
+
+    def told(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """w x of each text, and how many different words it has that raise it."""
         words, at = features(column)
-        total = np.zeros(len(at) - 1)
+        total, raising = np.zeros(len(at) - 1), np.zeros(len(at) - 1, np.int64)
         if not len(self.keys) or not len(words):
-            return total
+            return total, raising
         place = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[place] == words)
         text = np.searchsorted(at, hit, "right") - 1
         cell, counts = np.unique(text * len(self.keys) + place[hit], return_counts=True)
         np.add.at(total, cell // len(self.keys), self.weights[cell % len(self.keys)] * strength(counts))
-        return total
+        np.add.at(raising, cell // len(self.keys), (self.weights[cell % len(self.keys)] > 0).astype(np.int64))
+        return total, raising
 
     def grades(self, score: np.ndarray) -> np.ndarray:
         """Probability of each grade."""
@@ -172,12 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """Fit on at most sample labelled documents, those of the least hashes of doc_id.
 
     Labels that are null, or whose document is missing, are left out; a null
-    text has no features. Without labels every text scores as clean.
+    text has no features. Equal texts count once, as toxic if one is labelled
+    so. Without labels every text scores as clean.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # sample rows at most
-    found = texts.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary, counts binary").toArrow()
+    once = texts.groupBy(F.sha2("text", 256)).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    found = once.select("toxic", "text").mapInArrow(_labelled, "toxic int, features binary, counts binary").toArrow()
     toxic = found["toxic"].to_numpy().astype(np.int64)
     (keys, lengths), (counts, _) = (_joined(found[c], kind) for c, kind in (("features", np.uint64), ("counts", np.int32)))
     del found
@@ -186,15 +195,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     return fit(keys, counts, bounds, graded(keys, bounds, toxic), len(GRADE_CUTS) + 1)
 
 
-NAMES = ("expected_severity", "severity_grade", "toxic")
+NAMES = ("expected_severity", "severity_grade", "toxic", "toxic_words")
 
 
-def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT, names: tuple[str, str, str] = NAMES) -> DataFrame:
-    """docs with expected_severity, severity_grade (the likeliest) and toxic: severity of reject or more, and words that raise it.
+def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with expected_severity, severity_grade (the likeliest), toxic (severity of reject or more, and words that raise it) and toxic_words (how many).
 
     Whole texts count. Null and empty texts have no features, and the
-    severity of a text without any. All columns come back; theirs of the same
-    names are replaced. names: what the three columns are called.
+    severity of a text without any; repeated rows are judged one by one, an
+    empty table gives an empty result. All columns come back; theirs of the
+    same names are replaced. names: what the columns are called, the first
+    ones if fewer are wanted.
     """
     own = [f for f in docs.schema.fields if f.name not in names]
     kept = docs.select(*(f.name for f in own))
@@ -202,12 +213,12 @@ def judge(docs: DataFrame, model: Ordinal, reject: float = REJECT, names: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, place):
-            score = model.score(batch.column(place))
+            score, raising = model.told(batch.column(place))
             severity, grade = model.severity(score), model.grades(score).argmax(1)
-            more = [pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= reject) & (score > 0))]
+            more = [pa.array(severity), pa.array(grade.astype(np.int32)), pa.array((severity >= reject) & (score > 0)), pa.array(raising)][: len(names)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in own] + list(names))
 
-    return kept.mapInArrow(run, T.StructType([*own, *map(T.StructField, names, (T.DoubleType(), T.IntegerType(), T.BooleanType()))]))
+    return kept.mapInArrow(run, T.StructType([*own, *map(T.StructField, names, (T.DoubleType(), T.IntegerType(), T.BooleanType(), T.LongType()))]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,30 @@ def test_toxicity_of_odd_rows(spark, odd, nothing):
     assert toxicity.judge(nothing, model).count() == 0
     none = toxicity.train(odd, labels.where("false"))
     assert not any(r.toxic for r in toxicity.judge(odd, none).select(F.col("toxic")).collect())
+
+
+def test_scores_against_brute_force(spark, docs):
+    """Words, counts, weights and probabilities, each by their formula on plain strings."""
+    model = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for r in toxicity.judge(docs, model).collect():
+        counts = {}
+        for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", r.text or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in w)
+            counts[w] = counts.get(w, 0) + 1
+        known = {w: weight[h] for w in counts if (h := int(toxicity.features(pa.array([w]))[0][0])) in weight}
+        score = sum(v * (1 + math.log(counts[w])) for w, v in known.items())
+        above = [1.0, *(sigmoid(score - t) for t in model.thresholds), 0.0]
+        grades = [a - b for a, b in zip(above, above[1:], strict=False)]
+        severity = sum(k * p for k, p in enumerate(grades))
+        assert r.expected_severity == pytest.approx(severity, abs=1e-9) and r.severity_grade == grades.index(max(grades))
+        assert r.toxic_words == sum(v > 0 for v in known.values()) and r.toxic == (severity >= toxicity.REJECT and score > 0)
+
+
+def test_copies_of_a_labelled_text_count_once(spark):
+    rows = [(k, f"word{k % 7} calm{k}") for k in range(60)] + [(100 + k, "vile words here") for k in range(40)]
+    labels = [(i, 1, int(i >= 100)) for i, _ in rows]
+    df, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    copied, single = toxicity.train(df, told), toxicity.train(df.where("doc_id <= 100"), told)
+    assert copied.keys.tolist() == single.keys.tolist() and copied.weights == pytest.approx(single.weights)
