@@ -107,7 +107,7 @@ def column_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def by_bytes(batches, column: int, most: int = 8 << 20):
+def by_bytes(batches, column: int, most: int = 4 << 20):
     """The same rows in batches whose texts have most bytes in all, or one row; keeps empty batches out."""
     for batch in batches:
         if not batch.num_rows:

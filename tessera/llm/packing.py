@@ -225,7 +225,7 @@ def _first_id(level: int) -> int:
 def _packed(tokenizer: str | None, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder(tokenizer), Packer(size, _first_id(0))
-        for batch in by_bytes(batches, 1):
+        for batch in by_bytes(batches, 1, 8 << 20):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 ids += b"\0\0\0\0"
                 packer.place(doc_id, 0, ids, len(ids) // 4)
