@@ -27,20 +27,24 @@ def contains(text: Column, part: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of a text's lower-cased words, each with two spaces before and one after it."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1))
+    """Distinct trigrams of a text's lower-cased words, each with two spaces before and one after it.
 
-    def cut(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3)))
+    Words are padded in the text itself, and one expression that looks ahead
+    at each place finds the windows of three that lie in one padded word.
+    """
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "  "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(  [^ ]| [^ ]{2}| [^ ] |[^ ]{3}|[^ ]{2} ))"), 1))
 
-    return F.array_distinct(F.flatten(F.transform(words, cut)))
+
+def jaccard(both: Column, a: Column, b: Column) -> Column:
+    """From the sizes of an intersection and of two sets; 0 if either is empty."""
+    return F.when((a == 0) | (b == 0), F.lit(0.0)).otherwise(both / (a + b - both))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two trigram arrays; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    """Jaccard similarity of two trigram arrays; 0 if either is empty. a is evaluated once (a lambda's variable is not inlined)."""
+    sizes = F.transform(F.array(a), lambda g: F.struct(F.size(F.array_intersect(g, b)).alias("both"), F.size(g).alias("own")))
+    return F.element_at(F.transform(sizes, lambda s: jaccard(s["both"], s["own"], F.size(b))), 1)
 
 
 def json_hash(json: Column) -> Column:

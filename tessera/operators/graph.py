@@ -64,30 +64,50 @@ def suggest(units: DataFrame, keywords: DataFrame, relations: DataFrame, uuid, t
     return rows.select("memory_uuid", "title_norm", "category", "shared", _weight(F.col("shared")).alias("weight"), F.concat(F.lit("shared_keywords="), F.col("shared").cast("string")).alias("note"))
 
 
-def auto_relations(units: DataFrame, keywords: DataFrame, relations: DataFrame, sources: DataFrame, top: int = TOP) -> DataFrame:
+#: Records of a category that bear a keyword, from which on it is common.
+COMMON = 1000
+
+
+def auto_relations(units: DataFrame, keywords: DataFrame, relations: DataFrame, sources: DataFrame, top: int = TOP, common: int = COMMON) -> DataFrame:
     """New related_to edges for each of sources (uuid): to the active records of its category that share most keywords.
 
-    Records without shared keywords fill up. Only keyword pairs within a
-    category meet in the join, and the ones that fill up are the category's
-    least ids, of which top + related ones + itself are enough.
+    Records without shared keywords fill up. Pairs are made by rare keywords
+    only, of which each brings at most common records together. What records
+    share in common keywords is told by the sets of these that they bear: of
+    the bearers of one set the least ids suffice, and sets, not records, are
+    held against each other. So no category's records meet in one task, and
+    the result is exact: of two records the one that shares rare keywords too
+    never ranks lower.
     """
     records = active(units).select("uuid", "category")
-    from_ = sources.select("uuid").distinct().join(records, "uuid")
-    mine = from_.join(keywords.select(F.col("memory_uuid").alias("uuid"), "keyword_norm"), "uuid").withColumnRenamed("uuid", "source")
-    theirs = records.join(keywords.select(F.col("memory_uuid").alias("uuid"), "keyword_norm"), "uuid").withColumnRenamed("uuid", "target")
-    shared = mine.join(theirs, ["category", "keyword_norm"]).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("shared"))
-    known = _related(relations).select(F.col("a").alias("source"), F.col("b").alias("target"))
-    shared = shared.join(known, ["source", "target"], "left_anti")
+    borne = records.join(keywords.select(F.col("memory_uuid").alias("uuid"), "keyword_norm"), "uuid")
+    counts = borne.groupBy("category", "keyword_norm").agg(F.count("*").alias("n"))
+    told = borne.join(counts, ["category", "keyword_norm"]).withColumn("is_common", F.col("n") > common)
+    # A window would do, but its hottest keyword's records would meet; counts are pre-aggregated, and Spark splits a hot side of the join.
+    sets = told.where("is_common").groupBy("uuid").agg(F.array_sort(F.collect_list("keyword_norm")).alias("held"))
+    held = records.join(sets, "uuid", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    from_ = sources.select(F.col("uuid").alias("source")).distinct().join(held.withColumnRenamed("uuid", "source"), "source")
+    known = _related(relations).select(F.col("a").alias("source"), F.col("b").alias("target")).join(from_.select("source"), "source", "left_semi")
+
+    rare = told.where("not is_common").select("uuid", "category", "keyword_norm")
+    mine = rare.withColumnRenamed("uuid", "source").join(from_.select("source"), "source", "left_semi")
+    pairs = mine.join(rare.withColumnRenamed("uuid", "target"), ["category", "keyword_norm"]).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("rare"))
+    pairs = pairs.join(from_.select("source", "held"), "source").join(held.select(F.col("uuid").alias("target"), F.col("held").alias("theirs")), "target")
+    near = pairs.select("source", "target", (F.col("rare") + F.size(F.array_intersect("held", "theirs"))).alias("shared"))
+
+    # Whatever is left out below, itself and what it is related to already, leaves top records.
+    reach = top + 1 + (known.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0)
+    least = Window.partitionBy("category", "held").orderBy("uuid")
+    bearers = held.withColumn("place", F.row_number().over(least)).where(F.col("place") <= reach).select("category", F.col("held").alias("theirs"), F.col("uuid").alias("target"))
+    asked = from_.select("category", "held").distinct()
+    offered = asked.join(bearers.select("category", "theirs").distinct(), "category").withColumn("shared", F.size(F.array_intersect("held", "theirs")).cast("long"))
+    best = Window.partitionBy("category", "held").orderBy(F.desc("shared"), "target")
+    offered = offered.join(bearers, ["category", "theirs"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= reach)
+    far = from_.join(offered, ["category", "held"]).where("source <> target").select("source", "target", "shared")
+
+    found = near.union(far).groupBy("source", "target").agg(F.max("shared").alias("shared")).join(known, ["source", "target"], "left_anti")
     order = Window.partitionBy("source").orderBy(F.desc("shared"), "target")
-    best = shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    # Sources with fewer partners than top: fill up from the least ids of the category.
-    short = from_.select(F.col("uuid").alias("source"), "category").join(best.groupBy("source").agg(F.count("*").alias("n")), "source", "left").where(F.coalesce("n", F.lit(0)) < top)
-    taken = known.join(short, "source", "left_semi").union(best.select("source", "target")).union(short.select("source", F.col("source").alias("target"))).distinct()
-    need = short.join(taken.groupBy("source").agg(F.count("*").alias("held")), "source").select("source", "category", (F.col("held") + top).alias("reach"))
-    ids = Window.partitionBy("category").orderBy("uuid")
-    ranked = records.join(need.select("category").distinct(), "category", "left_semi").withColumn("place", F.row_number().over(ids))
-    fill = need.join(ranked.withColumnRenamed("uuid", "target"), "category").where("place <= reach").join(taken, ["source", "target"], "left_anti").select("source", "target", F.lit(0).cast("long").alias("shared"))
-    rows = best.select("source", "target", "shared").union(fill).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    rows = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return rows.select(
         F.col("source").alias("from_memory_uuid"), F.col("target").alias("to_memory_uuid"), F.lit("related_to").alias("relation_type"),
         F.when(F.col("shared") == 0, F.lit(LONE_WEIGHT)).otherwise(_weight(F.col("shared"))).alias("weight"),

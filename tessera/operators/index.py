@@ -26,6 +26,16 @@ def with_trigrams(index: DataFrame) -> DataFrame:
     return index.select("*", *(trigrams(F.col(c)).alias(f"{c}_trigrams") for c in TEXTS))
 
 
+def gram_postings(index: DataFrame) -> DataFrame:
+    """gram, field, memory_uuid, size: which trigrams a record's fields have, and how many in all.
+
+    The inverted side of the index: stored once, sorted by gram, a query reads the postings of its own grams only.
+    """
+    fields = F.array(*(F.struct(F.lit(c.removesuffix("_text")).alias("field"), trigrams(F.col(c)).alias("grams")) for c in TEXTS))
+    rows = index.where("status <> 'trashed'").select("memory_uuid", F.inline(fields)).where(F.size("grams") > 0)
+    return rows.select(F.explode("grams").alias("gram"), "field", "memory_uuid", F.size("grams").alias("size"))
+
+
 def refresh_index(index: DataFrame, units: DataFrame, keywords: DataFrame, touched: DataFrame) -> DataFrame:
     """The index with the rows of touched (uuid) made anew, and those of records that are gone left out."""
     ids = touched.select(F.col("uuid").alias("memory_uuid")).distinct()

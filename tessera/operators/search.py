@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MATCH, contains, trigram_similarity, trigrams
+from ..functions.text import MATCH, WORD, contains, jaccard, trigram_similarity, trigrams
 from ..functions.vectors import cosine_distance
 from ..schemas import SEARCH_FIELDS
 
@@ -86,39 +86,100 @@ def _holds(search: Search) -> Column:
     return found
 
 
+def _grams(session, *texts: str) -> list[list[str]]:
+    """The trigrams of a query or its tokens, as Spark makes them: one row."""
+    return list(session.range(1).select(*(trigrams(F.lit(t)).alias(f"g{k}") for k, t in enumerate(texts))).first())
+
+
+def _scored(rows: DataFrame, search: Search) -> DataFrame:
+    """Rows with search_text and a similarity for each field: hits, with score, matched fields and preview."""
+    tokens = list(dict.fromkeys(t.lower() for t in search.query.split()))
+    hit = {}
+    for f in search.fields:
+        holds = contains(F.col(_text(f)), F.lit(search.query))
+        for token in search.query.split():
+            holds = holds | contains(F.col(_text(f)), F.lit(token))
+        hit[f] = (F.col(f"{f}_similarity") >= MATCH) | holds
+    either = F.lit(False)
+    for h in hit.values():
+        either = either | h
+    held = sum((contains(F.col("search_text"), F.lit(t)).cast("int") for t in tokens), F.lit(0))
+    best = F.greatest(F.lit(0.0), *(F.col(f"{f}_similarity") for f in search.fields))
+    fields = F.array_compact(F.array(*(F.when(hit[f], F.lit(f)) for f in SEARCH_FIELDS if f in hit)))
+    preview = F.when(hit["content"], F.left("content_text", F.lit(120))) if "content" in hit else F.lit(None).cast("string")
+    return rows.where(either).select("*", (held + best).alias("score"), fields.alias("matched_fields"), preview.alias("content_preview"))
+
+
+SHOWN = ("memory_uuid", "title_text", "status", "summary_text", "content_preview", "matched_fields", "score")
+
+
+def _first(rows: DataFrame, search: Search, limit: bool) -> DataFrame:
+    rows = rows.select(*SHOWN)
+    return rows.orderBy(F.desc("score"), "title_text", "memory_uuid").limit(search.limit) if limit else rows
+
+
+def _beginning(text: Column, most: int) -> Column:
+    """A text's first whole words."""
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.left(text, F.lit(most)), f"{WORD}$", ""))
+
+
 def literal(index: DataFrame, search: Search, limit: bool = True) -> DataFrame:
     """memory_uuid, title_text, status, summary_text, content_preview, matched_fields, score, best first.
 
     A field matches a query that it contains or is similar to, or of which it
     contains a token; records score the distinct tokens that they hold plus
-    the best similarity of a field. With terms all scores are 0.
+    the best similarity of a field. With terms all scores are 0. One pass over
+    the index, which uses its trigrams if it has them; see indexed for one
+    that reads what may match only.
     """
     rows = index.where("status <> 'trashed'").withColumn("search_text", F.concat_ws(" ", *(_text(f) for f in search.fields)))
     rows = rows.where(_holds(search))
-    if search.query:
-        tokens = list(dict.fromkeys(t.lower() for t in search.query.split()))
-        # Any hit needs a similarity or a token; similarities are made once for each field.
-        for f in search.fields:
-            grams = F.col(f"{_text(f)}_trigrams") if f"{_text(f)}_trigrams" in index.columns else trigrams(F.col(_text(f)))
-            rows = rows.withColumn(f"{f}_similarity", trigram_similarity(grams, trigrams(F.lit(search.query))))
-        hit = {}
-        for f in search.fields:
-            holds = contains(F.col(_text(f)), F.lit(search.query))
-            for token in search.query.split():
-                holds = holds | contains(F.col(_text(f)), F.lit(token))
-            hit[f] = (F.col(f"{f}_similarity") >= MATCH) | holds
-        either = F.lit(False)
-        for h in hit.values():
-            either = either | h
-        held = sum((contains(F.col("search_text"), F.lit(t)).cast("int") for t in tokens), F.lit(0))
-        best = F.greatest(F.lit(0.0), *(F.col(f"{f}_similarity") for f in search.fields))
-        fields = F.array_compact(F.array(*(F.when(hit[f], F.lit(f)) for f in SEARCH_FIELDS if f in hit)))
-        preview = F.when(hit["content"], F.left("content_text", F.lit(120))) if "content" in hit else F.lit(None).cast("string")
-        rows = rows.where(either).select("*", (held + best).alias("score"), fields.alias("matched_fields"), preview.alias("content_preview"))
-    else:
+    if not search.query:
         rows = rows.select("*", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_fields"), F.lit(None).cast("string").alias("content_preview"))
-    rows = rows.select("memory_uuid", "title_text", "status", "summary_text", "content_preview", "matched_fields", "score")
-    return rows.orderBy(F.desc("score"), "title_text", "memory_uuid").limit(search.limit) if limit else rows
+        return _first(rows, search, limit)
+    grams = _grams(index.sparkSession, search.query)[0]
+    asked = F.array(*map(F.lit, grams)).cast("array<string>")
+    own = lambda f: F.col(f"{_text(f)}_trigrams") if f"{_text(f)}_trigrams" in index.columns else trigrams(F.col(_text(f)))
+    # A similarity matters where a token is held, or if it reaches MATCH: then a field has so few grams that its first
+    # words have too many already in most texts. Left out, it is below the one for which the record is found.
+    holds = F.lit(False)
+    for t in dict.fromkeys(t.lower() for t in search.query.split()):
+        holds = holds | F.contains(F.lower("search_text"), F.lit(t))
+    few = lambda f: F.size(trigrams(_beginning(F.col(_text(f)), 2 * most))) <= most
+    most = int(len(grams) / MATCH)
+    made = {f: F.when((F.length(_text(f)) <= 2 * most) | F.col("holds") | few(f), trigram_similarity(own(f), asked)).otherwise(0.0) for f in search.fields}
+    rows = rows.select("*", F.inline(F.array(F.struct(holds.alias("holds")))))
+    # A generator's result is a column that the optimizer can't inline, so each similarity is made once.
+    once = F.inline(F.array(F.struct(*(made[f].alias(f"{f}_similarity") for f in search.fields))))
+    columns = [c for c in rows.columns if not c.endswith("_trigrams")]
+    return _first(_scored(rows.select(*columns, once), search), search, limit)
+
+
+def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool = True) -> DataFrame:
+    """literal by the postings of the query's grams (index.gram_postings): the same rows, without a pass over all texts.
+
+    Similarities come from the postings alone. A field that holds a token has
+    all grams inside the token's words, so only records that are similar or
+    have these are read and held against the tokens. Terms, and tokens
+    without such grams, take the one pass.
+    """
+    if not search.query:
+        return literal(index, search, limit)
+    grams, *of_tokens = _grams(index.sparkSession, search.query, *search.query.split())
+    inner = [{g for g in gs if " " not in g} for gs in of_tokens]
+    if not all(inner):
+        return literal(index, search, limit)
+    wanted = sorted({*grams, *(g for gs in inner for g in gs)})
+    met = postings.where(F.col("gram").isin(wanted) & F.col("field").isin(*search.fields)).groupBy("memory_uuid", "field").agg(F.collect_set("gram").alias("met"), F.first("size").alias("size"))
+    asked = F.array(*map(F.lit, grams)).cast("array<string>")
+    similar = jaccard(F.size(F.array_intersect("met", asked)), F.col("size"), F.lit(len(grams)))
+    may = F.lit(False)
+    for gs in inner:
+        may = may | (F.size(F.array_intersect("met", F.array(*map(F.lit, sorted(gs))))) == len(gs))
+    fields = met.select("memory_uuid", "field", similar.alias("similarity"), may.alias("may"))
+    wide = fields.groupBy("memory_uuid").agg(F.max(F.col("may") | (F.col("similarity") >= MATCH)).alias("may"), *(F.coalesce(F.max(F.when(F.col("field") == f, F.col("similarity"))), F.lit(0.0)).alias(f"{f}_similarity") for f in search.fields))
+    rows = index.where("status <> 'trashed'").join(wide.where("may").drop("may"), "memory_uuid")
+    return _first(_scored(rows.withColumn("search_text", F.concat_ws(" ", *(_text(f) for f in search.fields))), search), search, limit)
 
 
 def vector_fallback(index: DataFrame, embeddings: DataFrame, search: Search, vector: Sequence[float], model: str, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -135,11 +196,15 @@ def vector_fallback(index: DataFrame, embeddings: DataFrame, search: Search, vec
 
 
 def hybrid(index: DataFrame, embeddings: DataFrame, search: Search, vector: Sequence[float], model: str, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Literal results, or if there are none those by vector, as one plan."""
+    """Literal results, or if there are none those by vector, with the strategy that found them.
+
+    The literal ones are limit rows at most; vectors are read only if there are none.
+    """
     first = literal(index, search)
-    none = first.agg(F.count("*").alias("found")).where("found = 0").select("found")
-    other = vector_fallback(index, embeddings, search, vector, model, max_distance).crossJoin(F.broadcast(none)).drop("found")  # one row at most
-    return first.withColumn("strategy", F.lit("literal")).unionByName(other.withColumn("strategy", F.lit("vector")))
+    rows = first.collect()
+    if rows:
+        return index.sparkSession.createDataFrame(rows, first.schema).withColumn("strategy", F.lit("literal"))
+    return vector_fallback(index, embeddings, search, vector, model, max_distance).withColumn("strategy", F.lit("vector"))
 
 
 def rerank_merge(candidates: DataFrame, ranked: DataFrame, least: float = LEAST_RERANK) -> DataFrame:

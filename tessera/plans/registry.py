@@ -90,9 +90,10 @@ def list_trash(fx):
     return listing.trash(fx.changes, fx.units, RETENTION)
 
 
-@query(f"SELECT * FROM ({TRASH}) WHERE memory_uuid % 20 = 0", CHANGES, UNITS)
+@query(f"SELECT * FROM ({TRASH}) WHERE memory_uuid = (SELECT min(memory_uuid) FROM ({TRASH}))", CHANGES, UNITS)
 def trash_detail(fx):
-    return listing.trash(fx.changes.where("memory_uuid % 20 = 0"), fx.units, RETENTION)
+    one = listing.trash(fx.changes, fx.units, RETENTION).agg(F.min("memory_uuid").alias("id")).first()["id"]
+    return listing.trash(fx.changes.where(F.col("memory_uuid") == one), fx.units, RETENTION)
 
 
 def _states(fx):
@@ -238,7 +239,8 @@ def _index(fx):
 
 
 def _results(rows):
-    return rows.select("memory_uuid", "title_text", "status", "content_preview", F.array_join("matched_fields", ",").alias("matched_fields"), F.round(F.col("score").cast("double"), 6).alias("score"))
+    more = [c for c in rows.columns if c == "strategy"]
+    return rows.select("memory_uuid", "title_text", "status", "content_preview", F.array_join("matched_fields", ",").alias("matched_fields"), F.round(F.col("score").cast("double"), 6).alias("score"), *more)
 
 
 def _grams(text: str) -> str:
@@ -265,6 +267,12 @@ def search_basic(fx):
     return _results(search.literal(_index(fx), search.request({"query": QUERY})))
 
 
+@query("SELECT * FROM literal", UNITS, KEYWORDS, INDEX, _literal_sql(("title", "summary", "keywords", "content", "recall_when")))
+def search_indexed(fx):
+    built = _index(fx)
+    return _results(search.indexed(built, index.gram_postings(built), search.request({"query": QUERY})))
+
+
 @query("SELECT * FROM literal", UNITS, KEYWORDS, INDEX, _literal_sql(("title", "summary", "recall_when")))
 def search_fields(fx):
     return _results(search.literal(_index(fx), search.Search(query=QUERY, fields=("title", "summary", "recall_when"))))
@@ -305,7 +313,12 @@ def vector_fallback(fx):
 )
 def hybrid_search(fx):
     rows = search.hybrid(_index(fx), fx.embeddings, search.Search(query="qxqx unheardofword"), _query_vector(fx), MODEL, MAX_DISTANCE)
-    return _results(rows).withColumn("strategy", F.lit("vector"))
+    return _results(rows)
+
+
+@query("SELECT *, 'literal' AS strategy FROM literal", UNITS, KEYWORDS, INDEX, _literal_sql(("title", "summary", "keywords", "content", "recall_when")))
+def hybrid_search_literal(fx):
+    return _results(search.hybrid(_index(fx), fx.embeddings, search.request({"query": QUERY}), _query_vector(fx), MODEL, MAX_DISTANCE))
 
 
 @query(
