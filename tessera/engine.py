@@ -6,6 +6,7 @@ take one command, check it, and write the tables that change as new versions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schemas
+from .functions.text import chunks, embedding_input, normalize_keyword
+from .functions.vectors import mean_pool
 from .operators import commands, graph, index, listing, review, search
 from .sources import backup
 from .sources.store import Store
@@ -153,6 +156,12 @@ class Engine:
             raise EditError("NOT_FOUND")
         if row["error_code"]:
             raise EditError(row["error_code"])
+        if {"title_norm", "content", "summary"}.intersection(result.columns):
+            unit = self.units.where(F.col("uuid") == uuid).first()
+            sent = {f: row[f] if f in result.columns else unit[f] for f in ("title_norm", "content", "summary")}
+            asked = self._row("command_id string, uuid string, new_title_norm string, new_content string, new_summary string", command_id="1", uuid=uuid, **{f"new_{f}": v for f, v in sent.items()})
+            if field := commands.duplicates(asked, self.units, update=True).first()["duplicate_field"]:
+                raise EditError(f"DUPLICATE_{field.upper()}")
         before = self._states(self.units, self.keywords, uuid)
         fields = [c for c in result.columns if c in (*commands.FIELDS, "revision")]
         one = result.select("uuid", *(F.col(c).alias(f"next_{c}") for c in fields))
@@ -175,10 +184,73 @@ class Engine:
         return self.units.where(F.col("uuid") == uuid)
 
     def update_memory_replace(self, now: datetime, uuid: str, revision: int, hashes: dict[str, str], **new: str | None) -> None:
+        """Fields by name; each needs the hash of what the client has seen. None clears summary and recall_when."""
+        if missing := [f for f in new if f not in hashes]:
+            raise EditError(f"HASH_MISSING: {', '.join(missing)}")
         unit = self._live(uuid, revision, hashes)
         names = [f"new_{f}" for f in commands.FIELDS]
-        row = self._row("uuid string, " + ", ".join(f"{n} string" for n in names), uuid=uuid, **{n: new.get(n[4:]) for n in names})
-        self._edit(now, uuid, commands.replace_fields(row, unit))
+        cleared = [f for f in ("summary", "recall_when") if f in new and new[f] is None]
+        row = self._row("uuid string, cleared array<string>, " + ", ".join(f"{n} string" for n in names), uuid=uuid, cleared=cleared, **{n: new.get(n[4:]) for n in names})
+        self._edit(now, uuid, commands.replace_fields(row, unit, self.categories))
+
+    def edit_memory(self, now: datetime, uuid: str, revision: int, title: str, content: str, summary: str | None = None, recall_when: str | None = None, keywords: Sequence[str] | None = None) -> None:
+        """All fields of an active record at once; None clears."""
+        schema = "uuid string, expected_revision long, new_title string, new_summary string, new_recall_when string, new_content string"
+        row = self._row(schema, uuid=uuid, expected_revision=revision, new_title=title, new_summary=summary, new_recall_when=recall_when, new_content=content)
+        result = commands.full_edit(row, self.units)
+        if keywords is not None:
+            words = [F.lit(k) for k in keywords]
+            result = result.withColumn("keywords", F.array_distinct(F.transform(F.array(*words).cast("array<string>"), normalize_keyword)))
+        self._edit(now, uuid, result)
+
+    # Relations
+
+    def _relate(self, now: datetime, uuid: str, relations: DataFrame) -> None:
+        """Writes relations that change with the record they start from: its revision goes up, its change stays open."""
+        before = self._states(self.units, self.keywords, uuid).first()["state"]
+        mine = F.col("uuid") == uuid
+        units = self.units.withColumn("revision", F.when(mine, F.col("revision") + 1).otherwise(F.col("revision"))).withColumn("updated_at", F.when(mine, F.lit(now)).otherwise(F.col("updated_at")))
+        touching = relations.where((F.col("from_memory_uuid") == uuid) | (F.col("to_memory_uuid") == uuid))
+        after = listing.snapshots(units.where(mine), self.keywords.where(F.col("memory_uuid") == uuid), touching).select(listing.state_json().alias("state")).first()["state"]
+        fresh = self._row(schemas.CHANGES, memory_uuid=uuid, action="update", before_state=before, after_state=after, created_at=now, updated_at=now)
+        self._write(now, uuid, True, units=units, relations=relations, changes=commands.upsert_changes(self.changes, fresh))
+
+    def add_relation(self, now: datetime, source: str, target: str, kind: str, weight: int | None = None, note: str | None = None) -> str:
+        row = self._row("command_id string, from_memory_uuid string, to_memory_uuid string, relation_type string, weight int", command_id="1", from_memory_uuid=source, to_memory_uuid=target, relation_type=kind, weight=weight)
+        if code := graph.add_errors(row, self.units, self.relations).first()["error_code"]:
+            raise EditError(code)
+        uuid = hashlib.sha256(f"{source}|{target}|{kind}".encode()).hexdigest()
+        made = self._row(schemas.RELATIONS, uuid=uuid, from_memory_uuid=source, to_memory_uuid=target, relation_type=kind, weight=weight, note=(note or "").strip() or None, created_at=now)
+        self._relate(now, source, self.relations.unionByName(made))
+        return uuid
+
+    def _relation(self, uuid: str):
+        row = self.relations.where(F.col("uuid") == uuid).first()
+        if row is None:
+            raise EditError("NOT_FOUND")
+        return row
+
+    def patch_relation(self, now: datetime, uuid: str, kind: str | None = None, weight: int | None = None, note: str | None = None) -> None:
+        """None keeps; an empty note clears it."""
+        if kind is None and weight is None and note is None:
+            raise EditError("NO_CHANGE")
+        if kind is not None and kind not in schemas.RELATION_TYPES:
+            raise EditError("INVALID_TYPE")
+        if weight is not None and not 0 <= weight <= 100:
+            raise EditError("INVALID_WEIGHT")
+        patch = self._row("uuid string, new_type string, new_weight int, new_note string", uuid=uuid, new_type=kind, new_weight=weight, new_note=note)
+        self._relate(now, self._relation(uuid)["from_memory_uuid"], graph.patch_relations(self.relations, patch))
+
+    def delete_relation(self, now: datetime, uuid: str) -> None:
+        self._relate(now, self._relation(uuid)["from_memory_uuid"], graph.delete_relations(self.relations, self._row("uuid string", uuid=uuid)))
+
+    def rebuild_graph(self, now: datetime) -> bool:
+        """Writes the graph's vertices and edges if edits came after the last time, once for all of them; whether it did."""
+        if not self.graph_status().first()["dirty"]:
+            return False
+        meta = self._row("dirty boolean, updated_at timestamp", dirty=False, updated_at=now)
+        self.store.write_all({"graph_vertices": graph.vertices(self.units), "graph_edges": graph.edges(self.units, self.relations), "graph_meta": meta})
+        return True
 
     def update_memory_patch_content(self, now: datetime, uuid: str, revision: int, match: str, replacement: str) -> None:
         self._edit(now, uuid, commands.patch_content(self._row("uuid string, match string, replacement string", uuid=uuid, match=match, replacement=replacement), self._live(uuid, revision)))
@@ -229,6 +301,58 @@ class Engine:
             ids = F.sha2(F.concat_ws("|", "from_memory_uuid", "to_memory_uuid", "relation_type"), 256)
             tables["relations"] = self.relations.unionByName(edges.withColumn("uuid", ids).withColumn("created_at", F.lit(now)))
         self._write(now, uuid, row["dirty"], **tables)
+        if self.embed and row["action"] != "delete":
+            self.refresh_embedding(uuid)
+
+    def refresh_embedding(self, uuid: str) -> bool:
+        """Embeds a record anew, unless it changes meanwhile or the provider can't be reached; whether it did."""
+        state = lambda: self._states(self.units, self.keywords, uuid).select("uuid", F.sha2("state", 256).alias("state_hash"))
+        words = F.sort_array(F.collect_list("keyword_norm"))
+        held = self.keywords.where(F.col("memory_uuid") == uuid).agg(words.alias("words"))
+        text = embedding_input(F.col("title_norm"), F.col("summary"), F.col("content"), F.col("words"))
+        parts = self.units.where(F.col("uuid") == uuid).crossJoin(held).select(chunks(text).alias("parts")).first()  # one row each
+        seen = state().first()
+        if parts is None or seen is None:
+            return False
+        try:
+            vectors = [(uuid, [float(x) for x in self.embed(part)]) for part in parts["parts"]]
+        except OSError:
+            return False
+        pooled = mean_pool(self.store.spark.createDataFrame(vectors, "memory_uuid string, embedding array<double>"))
+        size = len(vectors[0][1])
+        fresh = pooled.select("memory_uuid", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(self.model).alias("embedding_model"), F.lit(size).alias("embedding_dimension"), F.lit(seen["state_hash"]).alias("state_hash"))
+        good = index.current_embeddings(fresh, state()).where("not conflict").drop("conflict", "state_hash")
+        if good.isEmpty():
+            return False
+        self.store.write("embeddings", index.upsert_embeddings(self.embeddings, good))
+        return True
+
+    def restore(self, now: datetime, uuid: str) -> None:
+        """Takes a record out of the trash: live again, or an open creation again."""
+        open_ = self.changes.where((F.col("memory_uuid") == uuid) & (F.col("action") == "delete"))
+        row = review.restore(open_, self.units, review.snapshot(F.col("before_state"))["memory"]["status"]).first()
+        if row is None:
+            raise EditError("NOT_FOUND")
+        if row["error_code"]:
+            raise EditError(row["error_code"])
+        back = {"status": row["next_status"], "trashed_at": None, "revision": row["revision"], "updated_at": now}
+        kinds = dict(self.units.dtypes)
+        units = self.units.select(*((F.when(F.col("uuid") == uuid, F.lit(back[c]).cast(kinds[c])).otherwise(F.col(c)) if c in back else F.col(c)).alias(c) for c in self.units.columns))
+        changes = self.changes.where(F.col("memory_uuid") != uuid)
+        if row["open_action"]:
+            changes = changes.unionByName(self._row(schemas.CHANGES, memory_uuid=uuid, action=row["open_action"], before_state=None, after_state=row["after_state"], created_at=now, updated_at=now))
+        self._write(now, uuid, row["dirty"], units=units, changes=changes)
+
+    def delete_forever(self, now: datetime, uuid: str) -> None:
+        """Deletes a record in the trash, and its rows in all tables."""
+        gone = self._row("uuid string", uuid=uuid)
+        if code := review.delete_from_trash(gone, self.changes, self.units).first()["error_code"]:
+            raise EditError(code)
+        tables = {"keywords": (self.keywords, ("memory_uuid",)), "relations": (self.relations, ("from_memory_uuid", "to_memory_uuid")), "embeddings": (self.embeddings, ("memory_uuid",)), "changes": (self.changes, ("memory_uuid",)), "units": (self.units, ("uuid",))}
+        self._write(now, uuid, True, **commands.cascade(gone, **tables))
+
+    def distinct_categories(self) -> DataFrame:
+        return self.units.where("category <> ''").select("category").distinct().orderBy("category")
 
     def reject(self, now: datetime, uuid: str) -> None:
         """Takes a creation back; gives other records their state before the open change."""
@@ -249,10 +373,13 @@ class Engine:
         edges = review.restored_relations(open_).withColumn("created_at", F.lit(now))
         self._write(now, uuid, True, units=units, keywords=others.unionByName(review.restored_keywords(open_)), relations=self.relations.where(~touching).unionByName(edges), changes=rest)
 
-    def import_memory(self, path: str) -> int:
-        """Adds the records of a backup with their ids and revisions; how many. All must be importable."""
+    def import_memory(self, now: datetime, path: str) -> int:
+        """Adds the records of a backup with their ids and revisions; how many. All must be importable, and none be there."""
         rows = backup.read(self.store.spark, path)
-        made = backup.imported_units(rows).withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.col("created_at"))
+        made = backup.imported_units(rows).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.col("created_at"))
+        if not made.join(self.units.select("uuid"), "uuid", "left_semi").isEmpty() or not made.groupBy("uuid").count().where("count > 1").isEmpty():
+            raise EditError("MEMORY_EXISTS")
         units, keywords = self.units.unionByName(made), self.keywords.unionByName(backup.imported_keywords(rows))
-        self.store.write_all({"units": units, "keywords": keywords, "search_index": index.build_search_index(units, keywords)})
+        meta = self._row("dirty boolean, updated_at timestamp", dirty=True, updated_at=now)
+        self.store.write_all({"units": units, "keywords": keywords, "search_index": index.build_search_index(units, keywords), "graph_meta": meta})
         return made.count()

@@ -82,5 +82,23 @@ def replace_unique(text: Column, part: Column, new: Column) -> Column:
     return F.when(occurrences(text, part) == 1, F.overlay(text, new, at, F.length(part)))
 
 
+def _shared_start(a: Column, b: Column) -> Column:
+    """How many code points two texts begin with in common."""
+    unequal = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(unequal, F.lit(True))
+    return F.when((a == "") | (b == ""), F.lit(0)).when(at == 0, F.length(a)).otherwise(F.least(at - 1, F.length(a), F.length(b))).cast("int")
+
+
+def text_diff(before: Column, after: Column) -> Column:
+    """prefix, old, new, suffix: what two texts begin and then end with in common, in code points, and what is between; null is empty."""
+    empty = F.lit("")
+    pair = F.struct(F.coalesce(before, empty).alias("a"), F.coalesce(after, empty).alias("b"))
+    head = F.transform(F.array(pair), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), _shared_start(p["a"], p["b"]).alias("n")))
+    rest = F.transform(head, lambda p: F.struct(F.left(p["a"], p["n"]).alias("prefix"), F.substring(p["a"], p["n"] + 1, F.length(p["a"])).alias("a"), F.substring(p["b"], p["n"] + 1, F.length(p["b"])).alias("b")))
+    tail = F.transform(rest, lambda p: F.struct(p["prefix"].alias("prefix"), p["a"].alias("a"), p["b"].alias("b"), _shared_start(F.reverse(p["a"]), F.reverse(p["b"])).alias("n")))
+    parts = F.transform(tail, lambda p: F.struct(p["prefix"].alias("prefix"), F.left(p["a"], F.length(p["a"]) - p["n"]).alias("old"), F.left(p["b"], F.length(p["b"]) - p["n"]).alias("new"), F.right(p["a"], p["n"]).alias("suffix")))
+    return F.element_at(parts, 1)
+
+
 def is_slug(text: Column) -> Column:
     return text.rlike("^[a-z][a-z0-9_]*$")

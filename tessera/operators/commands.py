@@ -95,14 +95,30 @@ def lock_errors(commands: DataFrame, units: DataFrame) -> DataFrame:
     return commands.join(now, "uuid", "left").select("command_id", "uuid", code.alias("error_code"))
 
 
-def replace_fields(commands: DataFrame, units: DataFrame) -> DataFrame:
-    """commands (uuid, new_title_norm, ... one for each field; null keeps) applied: the next state, updated_fields, error_code."""
+def replace_fields(commands: DataFrame, units: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """commands (uuid, new_title_norm, ... one for each field) applied: the next state, updated_fields, error_code.
+
+    A null keeps a field, unless it is among the names in cleared, if there is
+    such a column: summary and recall_when may be cleared. Texts that are
+    given must not be blank, a category must be one of categories.
+    """
     rows = units.join(commands, "uuid")
+    cleared = (lambda f: F.coalesce(F.array_contains("cleared", f), F.lit(False))) if "cleared" in commands.columns else lambda f: F.lit(False)
     nxt = {f: F.coalesce(normalize_title(F.trim(f"new_{f}")) if f == "title_norm" else F.trim(f"new_{f}"), F.col(f)) for f in FIELDS}
+    nxt |= {f: F.when(~cleared(f), nxt[f]) for f in ("summary", "recall_when")}
+    wrong = F.lit(None).cast("string")
+    for f in reversed(FIELDS):
+        wrong = F.when(F.col(f"new_{f}").isNotNull() & blank(F.col(f"new_{f}")), f"EMPTY_{f.removesuffix('_norm').upper()}").otherwise(wrong)
+    if categories is not None:
+        wrong = F.coalesce(wrong, F.when(F.col("new_category").isNotNull() & ~F.trim("new_category").isin(*categories), "INVALID_CATEGORY"))
     names = F.array_compact(F.array(*(F.when(~nxt[f].eqNullSafe(F.col(f)), F.lit(f)) for f in FIELDS)))
-    rows = rows.select("uuid", *(nxt[f].alias(f"next_{f}") for f in FIELDS), names.alias("updated_fields"), "revision")
-    code = F.when(F.size("updated_fields") == 0, "NO_CHANGE")
-    return rows.select("uuid", *(F.col(f"next_{f}").alias(f) for f in FIELDS), "updated_fields", (F.col("revision") + F.when(F.size("updated_fields") > 0, 1).otherwise(0)).alias("revision"), code.alias("error_code"))
+    rows = rows.select("uuid", *(nxt[f].alias(f"next_{f}") for f in FIELDS), *FIELDS, names.alias("names"), "revision", wrong.alias("wrong"))
+    rows = rows.withColumn("error_code", F.coalesce("wrong", F.when(F.size("names") == 0, "NO_CHANGE")))
+    done = F.col("error_code").isNull()
+    return rows.select(
+        "uuid", *(F.when(done, F.col(f"next_{f}")).otherwise(F.col(f)).alias(f) for f in FIELDS), F.when(done, F.col("names")).otherwise(F.array().cast("array<string>")).alias("updated_fields"),
+        (F.col("revision") + done.cast("int")).alias("revision"), "error_code",
+    )
 
 
 def patch_content(commands: DataFrame, units: DataFrame) -> DataFrame:

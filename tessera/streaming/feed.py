@@ -6,6 +6,7 @@ foreachBatch, each micro-batch written as a new version.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,15 +19,22 @@ from ..operators.review import expired
 from ..sources.store import Store
 
 
+def _name(checkpoint: str) -> str:
+    """A stream is its checkpoint: epochs of another one count anew, and must not be taken for this one's."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+
 def open_changes(store: Store, feed: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """feed (memory_uuid, order_id, action, before_state, after_state, ts): keeps one open change for each record."""
 
+    stream = _name(checkpoint)
+
     def apply(batch: DataFrame, epoch: int) -> None:
         edits = change_baseline(batch)
         times = batch.groupBy("memory_uuid").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
         fresh = edits.join(times, "memory_uuid").select("memory_uuid", "action", "before_state", "after_state", "created_at", "updated_at")
         now = store.read("changes")
-        store.write("changes", upsert_changes(now, fresh) if now is not None else fresh, tag=f"feed-{epoch}")
+        store.write("changes", upsert_changes(now, fresh) if now is not None else fresh, tag=f"feed-{stream}-{epoch}")
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -34,8 +42,10 @@ def open_changes(store: Store, feed: DataFrame, checkpoint: str, **trigger) -> S
 def index_refresh(store: Store, touched: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """touched (uuid): makes the index rows of these records anew."""
 
+    stream = _name(checkpoint)
+
     def apply(batch: DataFrame, epoch: int) -> None:
-        store.write("search_index", refresh_index(store.read("search_index"), store.read("units"), store.read("keywords"), batch), tag=f"index-{epoch}")
+        store.write("search_index", refresh_index(store.read("search_index"), store.read("units"), store.read("keywords"), batch), tag=f"index-{stream}-{epoch}")
 
     return touched.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -56,5 +66,6 @@ def sweep(store: Store, as_of, retention_minutes: int, failed: Callable[[Excepti
             for c in columns if rows is not None else ():
                 rows = rows.join(gone.withColumnRenamed("uuid", c), c, "left_anti")
             left[name] = rows
+        left["graph_meta"] = store.spark.range(1).select(F.lit(True).alias("dirty"), F.lit(as_of).cast("timestamp").alias("updated_at"))
         store.write_all({k: v for k, v in left.items() if v is not None})  # untagged: what was swept isn't found again
     return n

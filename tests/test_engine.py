@@ -37,3 +37,38 @@ def test_life_of_records(spark, tmp_path):
     assert e.delete_memory(NOW, b, e.read_memory_hash(b).first()["revision"]) == "delete_active"
     assert [r.memory_uuid for r in e.list_trash().collect()] == [b] and e.search_memory({"query": "roads"})["count"] == 0
     assert e.graph_status().first()["dirty"]
+
+
+def test_edits_and_relations(spark, tmp_path):
+    e = Engine(Store(spark, str(tmp_path / "store")), model="m", embed=lambda text: [float(len(text)), 1.0])
+    a = e.create_memory(NOW, "first", "content one", ["maps"], summary="short")
+    b = e.create_memory(NOW.replace(minute=1), "second", "content two", ["maps"])
+    e.approve(NOW, a)
+    e.approve(NOW, b)
+    assert {r.memory_uuid for r in e.embeddings.collect()} == {a, b} and all(r.embedding_model == "m" for r in e.embeddings.collect())
+    seen = e.read_memory_hash(a).first()
+    hashes = {"title_norm": seen["title_norm_hash"], "summary": seen["summary_hash"], "category": seen["category_hash"]} if "title_norm_hash" in seen.asDict() else None
+    if hashes:
+        for new, code in (({"title_norm": "second"}, "DUPLICATE_TITLE"), ({"title_norm": " "}, "EMPTY_TITLE"), ({"category": "nonsense Cat"}, "INVALID_CATEGORY"), ({"content": "x"}, "HASH_MISSING")):
+            with pytest.raises(EditError, match=code):
+                e.update_memory_replace(NOW, a, seen["revision"], hashes, **new)
+        e.update_memory_replace(NOW, a, seen["revision"], hashes, summary=None)
+        assert e.read_memory(a).first().memory.summary is None
+    assert e.rebuild_graph(NOW) and not e.rebuild_graph(NOW) and not e.graph_status().first()["dirty"]
+    revision = e.read_memory(a).first().memory.revision
+    r = e.add_relation(NOW, a, b, "depends_on", 10, " why ")
+    with pytest.raises(EditError, match="RELATION_EXISTS"):
+        e.add_relation(NOW, a, b, "depends_on")
+    e.patch_relation(NOW, r, weight=20, note="")
+    row = e.relations.where(f"uuid = '{r}'").first()
+    assert (row.weight, row.note) == (20, None) and e.read_memory(a).first().memory.revision == revision + 2 and e.graph_status().first()["dirty"]
+    e.delete_relation(NOW, r)
+    assert e.relations.where(f"uuid = '{r}'").count() == 0 and e.change(a).first()["action"] == "update"
+    e.delete_memory(NOW, b, e.read_memory(b).first().memory.revision)
+    e.restore(NOW, b)
+    assert e.read_memory(b).first().memory.status == "active" and e.list_trash().count() == 0
+    e.delete_memory(NOW, b, e.read_memory(b).first().memory.revision)
+    e.delete_forever(NOW, b)
+    assert e.units.count() == 1 and e.embeddings.count() == 1 and e.relations.count() == 0
+    with pytest.raises(EditError, match="NOT_FOUND"):
+        e.restore(NOW, b)
