@@ -74,7 +74,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Bounds the bytes of Arrow batches, so that Python workers fit into small executors.
 
     A setting of the whole session, so for programs only; operators take
@@ -107,7 +107,7 @@ def column_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def by_bytes(batches, column: int, most: int = 4 << 20):
+def by_bytes(batches, column: int, most: int = 2 << 20):
     """The same rows in batches whose texts have most bytes in all, or one row; keeps empty batches out."""
     for batch in batches:
         if not batch.num_rows:

@@ -13,6 +13,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,6 @@ class Encoder:
     """
 
     def __init__(self, path: str | None = None):
-        from tokenizers import Tokenizer
-
         self.plain = None
         if path is None:
             import public_tokenizers
@@ -65,7 +64,14 @@ class Encoder:
             self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
             for token, rank in ranks.items():
                 self.bytes_of[rank] = len(token)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer file itself, loaded only for texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0]
@@ -225,7 +231,7 @@ def _first_id(level: int) -> int:
 def _packed(tokenizer: str | None, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder(tokenizer), Packer(size, _first_id(0))
-        for batch in by_bytes(batches, 1, 8 << 20):
+        for batch in by_bytes(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 ids += b"\0\0\0\0"
                 packer.place(doc_id, 0, ids, len(ids) // 4)
