@@ -47,13 +47,12 @@ def test_edits_and_relations(spark, tmp_path):
     e.approve(NOW, b)
     assert {r.memory_uuid for r in e.embeddings.collect()} == {a, b} and all(r.embedding_model == "m" for r in e.embeddings.collect())
     seen = e.read_memory_hash(a).first()
-    hashes = {"title_norm": seen["title_norm_hash"], "summary": seen["summary_hash"], "category": seen["category_hash"]} if "title_norm_hash" in seen.asDict() else None
-    if hashes:
-        for new, code in (({"title_norm": "second"}, "DUPLICATE_TITLE"), ({"title_norm": " "}, "EMPTY_TITLE"), ({"category": "nonsense Cat"}, "INVALID_CATEGORY"), ({"content": "x"}, "HASH_MISSING")):
-            with pytest.raises(EditError, match=code):
-                e.update_memory_replace(NOW, a, seen["revision"], hashes, **new)
-        e.update_memory_replace(NOW, a, seen["revision"], hashes, summary=None)
-        assert e.read_memory(a).first().memory.summary is None
+    hashes = {"title_norm": seen["title_hash"], "summary": seen["summary_hash"], "category": seen["category_hash"]}
+    for new, code in (({"title_norm": "second"}, "DUPLICATE_TITLE"), ({"title_norm": " "}, "EMPTY_TITLE"), ({"category": "nonsense Cat"}, "INVALID_CATEGORY"), ({"content": "x"}, "HASH_MISSING")):
+        with pytest.raises(EditError, match=code):
+            e.update_memory_replace(NOW, a, seen["revision"], hashes, **new)
+    e.update_memory_replace(NOW, a, seen["revision"], hashes, summary=None)
+    assert e.read_memory(a).first().memory.summary is None
     assert e.rebuild_graph(NOW) and not e.rebuild_graph(NOW) and not e.graph_status().first()["dirty"]
     revision = e.read_memory(a).first().memory.revision
     r = e.add_relation(NOW, a, b, "depends_on", 10, " why ")
