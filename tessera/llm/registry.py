@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, ivfpq, lines, minhash, near, packing, ring, toxicity, url_rules, wrappers
+from . import curriculum, ivfpq, language, lines, merkle, minhash, near, packing, ring, toxicity, url_rules, variants, wrappers
 
 from .common import small_batches
 
@@ -34,10 +34,15 @@ QUERIES = {
     "op8_source_mixing": curriculum.query,
     "op9_sharding": ring.query,
     "op10_minhash_near_dedup": near.query,
+    "op11_language_id": language.query,
+    "op12_spelling_variants": variants.query,
+    "op13_merkle_manifest": merkle.query,
 }
 QUERIES = {name: settled(q) for name, q in QUERIES.items()}
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op6_url_filters": url_rules.ORACLE,
     "op8_source_mixing": curriculum.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
