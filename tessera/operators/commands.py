@@ -51,7 +51,9 @@ def duplicates(commands: DataFrame, units: DataFrame, update: bool = False) -> D
     rows = commands
     for column, name in field.items():
         own = units.where("status <> 'trashed'") if update else units
-        seen = own.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("uuid").alias(f"{name}_lo"), F.max("uuid").alias(f"{name}_hi"))
+        # Only texts that are asked for are grouped: commands are few, so most records go no further than this join.
+        asked = commands.select(F.col(f"new_{column}").alias(column)).where(F.col(column).isNotNull()).distinct()
+        seen = own.join(asked, column, "left_semi").groupBy(column).agg(F.min("uuid").alias(f"{name}_lo"), F.max("uuid").alias(f"{name}_hi"))
         rows = rows.join(seen.withColumnRenamed(column, f"new_{column}"), f"new_{column}", "left")
 
     def borne(name: str) -> Column:
@@ -146,7 +148,7 @@ def change_keywords(commands: DataFrame, units: DataFrame, keywords: DataFrame,
     held = keyword_lists(keywords).select(F.col("memory_uuid").alias("uuid"), F.col("keywords.keyword_norm").alias("held"))
     rows = units.select("uuid", "revision").join(commands, "uuid").join(held, "uuid", "left")
     rows = rows.withColumn("held", F.coalesce("held", F.array().cast("array<string>"))).withColumn("words", F.transform("words", normalize_keyword))
-    code = F.when(F.size("words") == 0, "NO_KEYWORDS").when(F.exists("words", lambda k: k == ""), "EMPTY_KEYWORD").when(F.size(F.array_distinct("words")) < F.size("words"), "DUPLICATE_KEYWORD")
+    code = keyword_errors(F.col("words"))
     if add:
         code = code.when(F.size(F.array_intersect("words", "held")) > 0, "KEYWORD_EXISTS")
         after = F.array_union("held", "words")
@@ -158,17 +160,32 @@ def change_keywords(commands: DataFrame, units: DataFrame, keywords: DataFrame,
     return rows.select("uuid", F.array_sort(F.when(done, after).otherwise(F.col("held"))).alias("keywords"), (F.col("revision") + done.cast("int")).alias("revision"), "error_code")
 
 
-def full_edit(commands: DataFrame, units: DataFrame) -> DataFrame:
-    """commands (uuid, expected_revision, new_title, new_summary, new_recall_when, new_content) on active records: all replaced, null clears."""
-    rows = units.join(commands, "uuid")
-    code = F.when(F.col("status") != "active", "NOT_ACTIVE").when(F.col("expected_revision") != F.col("revision"), "REVISION_CONFLICT")
-    rows = rows.withColumn("error_code", code.when(blank(F.col("new_title")), "EMPTY_TITLE").when(blank(F.col("new_content")), "EMPTY_CONTENT"))
+def keyword_errors(words: Column) -> Column:
+    """What is wrong with normalised keywords, or null: there must be some, none blank, each once."""
+    empty = F.array().cast("array<string>")
+    return F.when(F.size(F.coalesce(words, empty)) == 0, "NO_KEYWORDS").when(F.exists(words, lambda k: k == ""), "EMPTY_KEYWORD").when(F.size(F.array_distinct(words)) < F.size(words), "DUPLICATE_KEYWORD")
+
+
+def full_edit(commands: DataFrame, units: DataFrame, keywords: DataFrame) -> DataFrame:
+    """commands (uuid, expected_revision, new_title, new_summary, new_recall_when, new_content, new_keywords) on active records:
+    all fields and keywords replaced. uuid, the fields, keywords, revision, error_code; a null clears summary and recall_when.
+
+    What is given is checked first: no text may be blank, and keywords must
+    be right. Title and keywords are normalised, other texts stay as they are.
+    """
+    held = keyword_lists(keywords).select(F.col("memory_uuid").alias("uuid"), F.col("keywords.keyword_norm").alias("held"))
+    words = F.transform("new_keywords", normalize_keyword)
+    rows = units.join(commands, "uuid").join(held, "uuid", "left").withColumn("words", words)
+    given = lambda c: F.col(c).isNotNull() & blank(F.col(c))
+    code = F.when(blank(F.col("new_title")), "EMPTY_TITLE").when(blank(F.col("new_content")), "EMPTY_CONTENT").when(given("new_summary"), "EMPTY_SUMMARY").when(given("new_recall_when"), "EMPTY_RECALL_WHEN")
+    late = F.when(F.col("status") != "active", "NOT_ACTIVE").when(F.col("expected_revision") != F.col("revision"), "REVISION_CONFLICT")
+    rows = rows.withColumn("error_code", F.coalesce(code, keyword_errors(F.col("words")), late))
     done = F.col("error_code").isNull()
     pick = lambda new, old: F.when(done, new).otherwise(F.col(old))
-    tidy = lambda c: F.nullif(F.trim(c), F.lit(""))
     return rows.select(
-        "uuid", pick(normalize_title(F.trim("new_title")), "title_norm").alias("title_norm"), pick(tidy("new_summary"), "summary").alias("summary"),
-        pick(tidy("new_recall_when"), "recall_when").alias("recall_when"), pick(F.col("new_content"), "content").alias("content"),
+        "uuid", pick(normalize_title(F.trim("new_title")), "title_norm").alias("title_norm"), pick(F.col("new_summary"), "summary").alias("summary"),
+        pick(F.col("new_recall_when"), "recall_when").alias("recall_when"), pick(F.col("new_content"), "content").alias("content"),
+        F.when(done, F.array_sort("words")).otherwise(F.coalesce("held", F.array().cast("array<string>"))).alias("keywords"),
         (F.col("revision") + done.cast("int")).alias("revision"), "error_code",
     )
 

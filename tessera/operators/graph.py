@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import RELATION_TYPES
+from ..sources.shared import materialize, release
 
 #: Suggestions for a record at most; weight of one without shared keywords.
 TOP, LONE_WEIGHT = 3, 40
@@ -64,48 +65,75 @@ def suggest(units: DataFrame, keywords: DataFrame, relations: DataFrame, uuid, t
     return rows.select("memory_uuid", "title_norm", "category", "shared", _weight(F.col("shared")).alias("weight"), F.concat(F.lit("shared_keywords="), F.col("shared").cast("string")).alias("note"))
 
 
-#: Records of a category that bear a keyword, from which on it is common.
-COMMON = 1000
+#: Records of a category that bear a keyword, from which on it is common; common keywords of a record at most (its most
+#: frequent ones); relations of a record from which on it is held against its whole category; such records that are broadcast.
+COMMON, HELD, RELATED, BROADCAST = 64, 8, 60, 10_000
 
 
-def auto_relations(units: DataFrame, keywords: DataFrame, relations: DataFrame, sources: DataFrame, top: int = TOP, common: int = COMMON) -> DataFrame:
+def subsets(values: Column) -> Column:
+    """All subsets of an array without repeats, each in the array's order."""
+    empty = F.array(F.array().cast("array<string>"))
+    return F.aggregate(values, empty, lambda made, x: F.concat(made, F.transform(made, lambda s: F.concat(s, F.array(x)))))
+
+
+def auto_relations(units: DataFrame, keywords: DataFrame, relations: DataFrame, sources: DataFrame, top: int = TOP, common: int = COMMON, held: int = HELD, related: int = RELATED) -> DataFrame:
     """New related_to edges for each of sources (uuid): to the active records of its category that share most keywords.
 
-    Records without shared keywords fill up. Pairs are made by rare keywords
-    only, of which each brings at most common records together. What records
-    share in common keywords is told by the sets of these that they bear: of
-    the bearers of one set the least ids suffice, and sets, not records, are
-    held against each other. So no category's records meet in one task, and
-    the result is exact: of two records the one that shares rare keywords too
-    never ranks lower.
+    Ties go to the least id; records without shared keywords fill up. Exact, and no category's records are held against
+    each other:
+
+    - Records that share a rare keyword meet by it; it has at most common bearers.
+    - What is shared in common keywords is some subset of a record's. Of the bearers of a subset the least ids suffice, as
+      many as are wanted, so these lists are short, and a source looks up those of its own subsets.
+    - Only the held most frequent common keywords of a record make subsets; by its others it meets all their bearers.
+    - A source with more than related relations, which would make all lists longer, is held against its category.
     """
     records = active(units).select("uuid", "category")
-    borne = records.join(keywords.select(F.col("memory_uuid").alias("uuid"), "keyword_norm"), "uuid")
+    borne = records.join(keywords.select(F.col("memory_uuid").alias("uuid"), "keyword_norm").distinct(), "uuid")
     counts = borne.groupBy("category", "keyword_norm").agg(F.count("*").alias("n"))
-    told = borne.join(counts, ["category", "keyword_norm"]).withColumn("is_common", F.col("n") > common)
-    # A window would do, but its hottest keyword's records would meet; counts are pre-aggregated, and Spark splits a hot side of the join.
-    sets = told.where("is_common").groupBy("uuid").agg(F.array_sort(F.collect_list("keyword_norm")).alias("held"))
-    held = records.join(sets, "uuid", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
-    from_ = sources.select(F.col("uuid").alias("source")).distinct().join(held.withColumnRenamed("uuid", "source"), "source")
-    known = _related(relations).select(F.col("a").alias("source"), F.col("b").alias("target")).join(from_.select("source"), "source", "left_semi")
-
-    rare = told.where("not is_common").select("uuid", "category", "keyword_norm")
-    mine = rare.withColumnRenamed("uuid", "source").join(from_.select("source"), "source", "left_semi")
-    pairs = mine.join(rare.withColumnRenamed("uuid", "target"), ["category", "keyword_norm"]).where("source <> target").groupBy("source", "target").agg(F.count("*").alias("rare"))
-    pairs = pairs.join(from_.select("source", "held"), "source").join(held.select(F.col("uuid").alias("target"), F.col("held").alias("theirs")), "target")
-    near = pairs.select("source", "target", (F.col("rare") + F.size(F.array_intersect("held", "theirs"))).alias("shared"))
+    place = F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("n"), "keyword_norm"))  # a record's keywords
+    told = borne.join(counts, ["category", "keyword_norm"]).withColumn("is_common", (F.col("n") > common) & (place <= held))
+    words = lambda only: F.coalesce(F.array_sort(F.collect_list(only)), F.array().cast("array<string>"))
+    sets = told.groupBy("uuid").agg(words(F.when(F.col("is_common"), F.col("keyword_norm"))).alias("held"), words(F.col("keyword_norm")).alias("all"))
+    none = F.array().cast("array<string>")
+    sets = materialize(records.join(sets, "uuid", "left").select("uuid", "category", F.coalesce("held", none).alias("held"), F.coalesce("all", none).alias("all")))
+    told = materialize(told.select("uuid", "category", "keyword_norm", "n", "is_common"))
+
+    known = _related(relations).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    asked = sources.select(F.col("uuid").alias("source")).distinct()
+    degree = known.join(asked, "source", "left_semi").groupBy("source").agg(F.count("*").alias("known"))
+    from_ = materialize(asked.join(sets.withColumnRenamed("uuid", "source"), "source").join(degree, "source", "left").withColumn("known", F.coalesce("known", F.lit(0))))
+    some = from_.where(F.col("known") <= related)
+    many = from_.where(F.col("known") > related)
+
+    mine = told.withColumnRenamed("uuid", "source").join(some.select("source"), "source", "left_semi")
+    theirs = told.select("category", "keyword_norm", F.col("uuid").alias("target"), F.col("is_common").alias("common_there"), "n")
+    met = mine.where("not is_common").drop("n").join(theirs.drop("n"), ["category", "keyword_norm"]).select("source", "target")
+    # A keyword that is common for the source, but not among the target's most frequent ones.
+    beyond = theirs.where((F.col("n") > common) & ~F.col("common_there")).drop("n", "common_there")
+    met = met.union(mine.where("is_common").drop("n").join(beyond, ["category", "keyword_norm"]).select("source", "target"))
+    pairs = met.where("source <> target").distinct().join(some.select("source", F.col("all").alias("own")), "source")
+    near = pairs.join(sets.select(F.col("uuid").alias("target"), "all"), "target").select("source", "target", F.size(F.array_intersect("own", "all")).cast("long").alias("shared"))
 
     # Whatever is left out below, itself and what it is related to already, leaves top records.
-    reach = top + 1 + (known.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0)
-    least = Window.partitionBy("category", "held").orderBy("uuid")
-    bearers = held.withColumn("place", F.row_number().over(least)).where(F.col("place") <= reach).select("category", F.col("held").alias("theirs"), F.col("uuid").alias("target"))
-    asked = from_.select("category", "held").distinct()
-    offered = asked.join(bearers.select("category", "theirs").distinct(), "category").withColumn("shared", F.size(F.array_intersect("held", "theirs")).cast("long"))
+    reach = top + 1 + (some.agg(F.max("known").alias("n")).first()["n"] or 0)
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("target")) <= reach
+    bearers = sets.select("category", "held", F.col("uuid").alias("target"))
+    bearers = bearers.withColumn("first", first("category", "held")).where("first").select("category", F.explode(subsets(F.col("held"))).alias("part"), "target")
+    lists = bearers.withColumn("first", first("category", "part")).where("first").drop("first")
+    looked = some.select("category", "held").distinct().select("category", "held", F.explode(subsets(F.col("held"))).alias("part"))
+    offered = looked.join(lists, ["category", "part"]).groupBy("category", "held", "target").agg(F.max(F.size("part")).cast("long").alias("shared"))
     best = Window.partitionBy("category", "held").orderBy(F.desc("shared"), "target")
-    offered = offered.join(bearers, ["category", "theirs"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= reach)
-    far = from_.join(offered, ["category", "held"]).where("source <> target").select("source", "target", "shared")
+    offered = offered.withColumn("place", F.row_number().over(best)).where(F.col("place") <= reach)
+    far = some.join(offered, ["category", "held"]).where("source <> target").select("source", "target", "shared")
 
-    found = near.union(far).groupBy("source", "target").agg(F.max("shared").alias("shared")).join(known, ["source", "target"], "left_anti")
+    hubs = many.select("source", "category", F.col("all").alias("own"))
+    if (n := many.count()) <= BROADCAST:
+        hubs = F.broadcast(hubs)
+    whole = sets.select(F.col("uuid").alias("target"), "category", "all").join(hubs, "category").where("source <> target").select("source", "target", F.size(F.array_intersect("own", "all")).cast("long").alias("shared"))
+
+    found = near.union(far).groupBy("source", "target").agg(F.max("shared").alias("shared"))
+    found = (found.union(whole) if n else found).join(known, ["source", "target"], "left_anti")
     order = Window.partitionBy("source").orderBy(F.desc("shared"), "target")
     rows = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return rows.select(
@@ -132,8 +160,23 @@ def add_errors(commands: DataFrame, units: DataFrame, relations: DataFrame) -> D
     return rows.select("command_id", "from_memory_uuid", "to_memory_uuid", "relation_type", "weight", code.alias("error_code"))
 
 
+def patch_errors(patches: DataFrame, relations: DataFrame) -> DataFrame:
+    """patches (uuid, new_type, new_weight, new_note) with the first rule each breaks, or null; a pair has a relation of a kind once."""
+    rows = patches.join(relations.select("uuid", "from_memory_uuid", "to_memory_uuid", "relation_type"), "uuid", "left")
+    others = relations.select(F.col("uuid").alias("other"), "from_memory_uuid", "to_memory_uuid", F.col("relation_type").alias("new_type"))
+    rows = rows.join(others.groupBy("from_memory_uuid", "to_memory_uuid", "new_type").agg(F.min("other").alias("first"), F.max("other").alias("last")), ["from_memory_uuid", "to_memory_uuid", "new_type"], "left")
+    code = (
+        F.when(F.col("new_type").isNull() & F.col("new_weight").isNull() & F.col("new_note").isNull(), "NO_CHANGE")
+        .when(~F.col("new_type").isin(*RELATION_TYPES), "INVALID_TYPE")
+        .when((F.col("new_weight") < 0) | (F.col("new_weight") > 100), "INVALID_WEIGHT")
+        .when(F.col("from_memory_uuid").isNull(), "NOT_FOUND")
+        .when((F.col("first") != F.col("uuid")) | (F.col("last") != F.col("uuid")), "RELATION_EXISTS")
+    )
+    return rows.select("uuid", "new_type", "new_weight", "new_note", code.alias("error_code"))
+
+
 def patch_relations(relations: DataFrame, patches: DataFrame) -> DataFrame:
-    """relations after patches (uuid, new_type, new_weight, new_note): null keeps, an empty note clears."""
+    """relations after patches (uuid, new_type, new_weight, new_note): null keeps, an empty note clears. See patch_errors, which a batch has none of."""
     rows = relations.join(patches, "uuid", "left")
     note = F.when(F.col("new_note").isNull(), F.col("note")).when(F.trim("new_note") != "", F.trim("new_note"))
     changed = {"relation_type": F.coalesce("new_type", "relation_type"), "weight": F.coalesce("new_weight", "weight"), "note": note}
@@ -163,6 +206,60 @@ def edges(units: DataFrame, relations: DataFrame) -> DataFrame:
     return both_active(relations, units).select("from_memory_uuid", "to_memory_uuid", F.upper("relation_type").alias("label"), F.col("uuid").alias("relation_uuid"), "weight", "note", "created_at")
 
 
+def refresh(units: DataFrame, relations: DataFrame, stored: DataFrame, touched: DataFrame, changed: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """What the graph's edges (stored) and vertices lack after edits of records (touched: uuid) and relations (changed: uuid).
+
+    The vertices of touched records, and the edges that take the place of
+    those of changed relations and at touched records, with the keys
+    (relation_uuid) of all that must go first.
+    """
+    fresh = vertices(units.join(touched, "uuid", "left_semi"))
+    at = lambda rows, end: rows.join(touched.select(F.col("uuid").alias(end)), end, "left_semi")
+    ends = ("from_memory_uuid", "to_memory_uuid")
+    ids = changed.select("uuid")
+    for end in ends:
+        ids = ids.union(at(relations, end).select("uuid"))
+    gone = ids.withColumnRenamed("uuid", "relation_uuid")
+    for end in ends:
+        gone = gone.union(at(stored, end).select("relation_uuid"))
+    return fresh, (edges(units, relations.join(ids.distinct(), "uuid", "left_semi")), gone.distinct())
+
+
+#: Edges that a record has from which on they are dealt to SPREAD tasks in a search by steps.
+HUB, SPREAD = 10_000, 64
+
+
+def reachable(units: DataFrame, relations: DataFrame, sources: DataFrame, depth: int, kinds: tuple[str, ...] = RELATION_TYPES) -> DataFrame:
+    """source, uuid, steps: the active records that relations of some kinds lead to from each of sources (uuid), in either direction,
+    in at most depth steps, with the least number of these; a source reaches itself in none.
+
+    Each round joins only what the last one has newly reached with the edges,
+    and takes away what was reached before; it ends when nothing is new.
+    Edges of records that have very many are dealt out, so that no record's meet in one task.
+    """
+    live = both_active(relations.where(F.col("relation_type").isin(*kinds)), units).select(F.col("from_memory_uuid").alias("a"), F.col("to_memory_uuid").alias("b"))
+    both = live.union(live.select("b", "a")).where("a <> b").distinct()
+    hubs = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= HUB).select("a", F.lit(SPREAD).alias("ways"))
+    salt = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    hubs = materialize(hubs)
+    edges_ = materialize(both.join(hubs, "a", "left").select("a", "b", salt.alias("salt")))
+    seen = [materialize(active(units).select("uuid").join(sources.select("uuid").distinct(), "uuid").select(F.col("uuid").alias("source"), "uuid", F.lit(0).alias("steps")))]
+    for k in range(1, depth + 1):
+        last = seen[-1].join(hubs.withColumnRenamed("a", "uuid"), "uuid", "left")
+        dealt = last.select("source", F.col("uuid").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)).alias("salt"))
+        new = dealt.join(edges_, ["a", "salt"]).select("source", F.col("b").alias("uuid")).distinct()
+        for old in seen:
+            new = new.join(old.select("source", "uuid"), ["source", "uuid"], "left_anti")
+        seen.append(materialize(new.withColumn("steps", F.lit(k))))
+        if seen[-1].isEmpty():
+            break
+    found = seen[0]
+    for more in seen[1:]:
+        found = found.union(more)
+    release(hubs, edges_)
+    return found
+
+
 def layout(nodes: DataFrame, radius: float = 240.0) -> DataFrame:
     """uuid, x, y: the nodes of an overview evenly on a circle, the first one at its top."""
     order, whole = Window.orderBy(F.desc("updated_at"), "uuid"), Window.partitionBy()  # an overview's rows

@@ -57,19 +57,24 @@ def restored_relations(changes: DataFrame) -> DataFrame:
     return rows.distinct().withColumn("uuid", F.sha2(F.concat_ws("|", "from_memory_uuid", "to_memory_uuid", "relation_type"), 256))
 
 
-def restore(trashed: DataFrame, units: DataFrame, status: Column) -> DataFrame:
-    """trashed (memory_uuid, before_state) taken out of the trash; status: that of the state before.
-
-    An active one is live again; a pending one is a creation again, whose
-    state after is what was before; others can't be restored.
+def restore(trashed: DataFrame, units: DataFrame) -> DataFrame:
+    """trashed (memory_uuid, before_state) taken out of the trash as they were before: uuid, their fields, next_status, trashed_at,
+    open_action, after_state, revision, dirty, error_code.
+
+    The state before tells all fields, keywords and relations (see
+    restored_keywords, restored_relations), so that what was edited without
+    review before the deletion isn't live again. An active record has no open
+    change any more; a pending one is a creation again, whose state after is
+    the state before. Others can't be restored and stay as they are.
     """
-    rows = trashed.withColumn("was", status).join(units.select(F.col("uuid").alias("memory_uuid"), "revision", F.col("status").alias("now")), "memory_uuid").where("now = 'trashed'")
-    code = F.when(~F.col("was").isin("active", "pending"), "STATE_ERROR")
-    pending = F.col("was") == "pending"
+    rows = trashed.select("memory_uuid", "before_state", snapshot(F.col("before_state"))["memory"].alias("old")).join(units.withColumnRenamed("uuid", "memory_uuid"), "memory_uuid").where("status = 'trashed'")
+    was = F.coalesce(F.col("old.status"), F.lit(""))
+    code = F.when(~was.isin("active", "pending"), "STATE_ERROR")
+    done, pending = code.isNull(), was == "pending"
     return rows.select(
-        F.col("memory_uuid").alias("uuid"), F.when(code.isNull(), F.col("was")).otherwise(F.col("now")).alias("next_status"), F.when(pending, "create").alias("open_action"),
-        F.when(pending, F.col("before_state")).alias("after_state"), (F.col("revision") + code.isNull().cast("int")).alias("revision"),
-        (F.col("was") == "active").alias("dirty"), code.alias("error_code"),
+        F.col("memory_uuid").alias("uuid"), *(F.when(done, F.col(f"old.{f}")).otherwise(F.col(f)).alias(f) for f in RESTORED), F.when(done, was).otherwise(F.col("status")).alias("next_status"),
+        F.when(~done, F.col("trashed_at")).alias("trashed_at"), F.when(pending, "create").alias("open_action"), F.when(pending, F.col("before_state")).alias("after_state"),
+        (F.col("revision") + done.cast("int")).alias("revision"), (was == "active").alias("dirty"), code.alias("error_code"),
     )
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MATCH, WORD, contains, jaccard, trigram_similarity, trigrams
+from ..functions.text import MATCH, WORD, contains, trigram_similarity, trigrams
 from ..functions.vectors import cosine_distance
 from ..schemas import SEARCH_FIELDS
+from ..sources.providers import ProviderError
 
 #: Results at most, distance up to which a vector counts as related, score under which a reranked result goes.
 LIMIT, MAX_DISTANCE, LEAST_RERANK = 8, 0.55, 0.1
@@ -155,31 +157,53 @@ def literal(index: DataFrame, search: Search, limit: bool = True) -> DataFrame:
     return _first(_scored(rows.select(*columns, once), search), search, limit)
 
 
-def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool = True) -> DataFrame:
-    """literal by the postings of the query's grams (index.gram_postings): the same rows, without a pass over all texts.
+def _inner(grams: Sequence[str]) -> set[str]:
+    """The grams that any text that holds the word has too, whatever is around it there."""
+    return {g for g in grams if " " not in g}
 
-    Similarities come from the postings alone. A field that holds a token has
-    all grams inside the token's words, so only records that are similar or
-    have these are read and held against the tokens. Terms, and tokens
-    without such grams, take the one pass.
+
+def _wanted(search: Search, session, known: Callable[[list[str]], dict[str, int]]) -> tuple[list[str], list[str]] | None:
+    """Grams of which a record that matches has one: of words that it holds, and of a field that is like the query.
+
+    known tells in how many fields grams are. Of a word that must be held the
+    rarest inner gram will do. A field that is like the query has a share of
+    MATCH of its grams at least, so it has one of the rarest ones that
+    remain when one gram less than that share is left out. None if some word has no inner grams.
     """
-    if not search.query:
-        return literal(index, search, limit)
-    grams, *of_tokens = _grams(index.sparkSession, search.query, *search.query.split())
-    inner = [{g for g in gs if " " not in g} for gs in of_tokens]
-    if not all(inner):
+    texts = [*search.query.split(), *search.any, *search.all]
+    found = _grams(session, search.query, *texts)
+    similar, of_texts = found[0], [_inner(g) for g in found[1:]]
+    optional = of_texts[: len(texts) - len(search.all)]
+    must = of_texts[len(optional) :]
+    if not all(optional) or not optional and not any(must):
+        return None
+    n = known(sorted({*similar, *(g for gs in of_texts for g in gs)}))
+    rare = lambda gs: sorted(gs, key=lambda g: (n.get(g, 0), g))
+    held = [rare(gs)[0] for gs in optional] if optional else [rare({g for gs in must for g in gs})[0]]
+    least = max(1, math.ceil(MATCH * len(similar) - 1e-9))
+    return held, rare(similar)[: len(similar) - least + 1] if search.query else []
+
+
+def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool = True, grams: DataFrame | None = None) -> DataFrame:
+    """literal by the postings of a few of the query's or terms' grams (index.gram_postings): the same rows, without a pass over all texts.
+
+    Only records with one of these grams are read, and held against the
+    search like any others. grams (gram, n), if given, tells how frequent grams
+    were when postings were stored; whatever it says, the result is the same.
+    Words without inner grams, and excluded terms alone, take the one pass.
+    """
+
+    def known(of: list[str]) -> dict[str, int]:
+        return {r["gram"]: r["n"] for r in grams.where(F.col("gram").isin(of)).collect()} if grams is not None else {}  # a row a gram of the request
+
+    wanted = _wanted(search, index.sparkSession, known)
+    if wanted is None:
         return literal(index, search, limit)
-    wanted = sorted({*grams, *(g for gs in inner for g in gs)})
-    met = postings.where(F.col("gram").isin(wanted) & F.col("field").isin(*search.fields)).groupBy("memory_uuid", "field").agg(F.collect_set("gram").alias("met"), F.first("size").alias("size"))
-    asked = F.array(*map(F.lit, grams)).cast("array<string>")
-    similar = jaccard(F.size(F.array_intersect("met", asked)), F.col("size"), F.lit(len(grams)))
-    may = F.lit(False)
-    for gs in inner:
-        may = may | (F.size(F.array_intersect("met", F.array(*map(F.lit, sorted(gs))))) == len(gs))
-    fields = met.select("memory_uuid", "field", similar.alias("similarity"), may.alias("may"))
-    wide = fields.groupBy("memory_uuid").agg(F.max(F.col("may") | (F.col("similarity") >= MATCH)).alias("may"), *(F.coalesce(F.max(F.when(F.col("field") == f, F.col("similarity"))), F.lit(0.0)).alias(f"{f}_similarity") for f in search.fields))
-    rows = index.where("status <> 'trashed'").join(wide.where("may").drop("may"), "memory_uuid")
-    return _first(_scored(rows.withColumn("search_text", F.concat_ws(" ", *(_text(f) for f in search.fields))), search), search, limit)
+    held, similar = wanted
+    most = int(len(_grams(index.sparkSession, search.query)[0]) / MATCH + 1e-9) if similar else 0
+    may = F.col("gram").isin(held) | (F.col("gram").isin(similar) & (F.col("size") <= most))
+    found = postings.where(F.col("gram").isin([*held, *similar]) & F.col("field").isin(*search.fields) & may).select("memory_uuid").distinct()
+    return literal(index.join(found, "memory_uuid", "left_semi"), search, limit)
 
 
 def vector_fallback(index: DataFrame, embeddings: DataFrame, search: Search, vector: Sequence[float], model: str, max_distance: float = MAX_DISTANCE) -> DataFrame:
@@ -229,24 +253,26 @@ class Retrieval:
     embed: Callable[[str], Sequence[float]] | None = None
     rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None
     max_distance: float = MAX_DISTANCE
-    flags: dict = field(default_factory=dict)
+    postings: DataFrame | None = None
+    grams: DataFrame | None = None
 
     def search(self, given: dict) -> dict:
         wanted = request(given)
-        rows = [r.asDict() for r in literal(self.index, wanted).collect()]
+        first = indexed(self.index, self.postings, wanted, grams=self.grams) if self.postings is not None else literal(self.index, wanted)
+        rows = [r.asDict() for r in first.collect()]
         fallback = reranked = False
         if not rows and wanted.semantic and self.embed:
             try:
                 vector = self.embed(wanted.semantic)
                 rows = [r.asDict() for r in vector_fallback(self.index, self.embeddings, wanted, vector, self.model, self.max_distance).collect()]
                 fallback = True
-            except OSError:  # the provider can't be reached
+            except (OSError, ProviderError):  # the provider can't be reached, or its answer can't be used
                 rows = []
         if len(rows) > 1 and self.rerank:
             texts = ["\n".join(filter(None, [r["title_text"], r["summary_text"], r["content_preview"]])) for r in rows]
             try:
                 rows, reranked = merge_ranks(rows, self.rerank(wanted.semantic, texts))
-            except OSError:
+            except (OSError, ProviderError):
                 reranked = False
         shown = ("memory_uuid", "title_text", "status", "summary_text", "matched_fields")
         results = [{k: r[k] for k in shown} | ({"score": r["score"]} if fallback or reranked else {}) | ({"content_preview": r["content_preview"]} if r["content_preview"] else {}) for r in rows]

@@ -13,6 +13,15 @@ RELATIONS = "uuid string, from_memory_uuid string, to_memory_uuid string, relati
 EMBEDDINGS = "memory_uuid string, embedding array<float>, embedding_model string, embedding_dimension int"
 CHANGES = "memory_uuid string, action string, before_state string, after_state string, created_at timestamp, updated_at timestamp"
 USAGE = "memory_uuid string, use_count long, last_used_at timestamp"
+SEARCH_INDEX = "memory_uuid string, status string, title_text string, summary_text string, keywords_text string, content_text string, recall_when_text string, all_text string"
+POSTINGS = "gram string, field string, memory_uuid string, size int"
+GRAPH_META = "dirty boolean, updated_at timestamp, revision long"
+#: Records whose embedding is to be made: how often that was tried in vain, and why.
+EMBEDDING_REQUESTS = "memory_uuid string, attempts int, error string, requested_at timestamp"
+TABLES = {
+    "units": UNITS, "keywords": KEYWORDS, "relations": RELATIONS, "changes": CHANGES, "embeddings": EMBEDDINGS, "usage": USAGE, "search_index": SEARCH_INDEX,
+    "postings": POSTINGS, "graph_meta": GRAPH_META, "embedding_requests": EMBEDDING_REQUESTS,
+}
 SNAPSHOT = (
     "memory struct<uuid: string, category: string, title_norm: string, content: string, summary: string, revision: long, status: string, recall_when: string, trashed_at: timestamp>, "
     "keywords array<struct<keyword_norm: string, weight: int>>, "
