@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -24,7 +23,7 @@ from . import schemas
 from .functions.text import normalize_keyword
 from .operators import commands, graph, index, listing, review, search
 from .sources import backup
-from .sources.store import ConflictError, Delta, Snapshot, Store
+from .sources.store import ConflictError, Delta, Snapshot, Store, side_by_side
 from .streaming import embedding
 
 #: Rows that go with a record: table and the column that names it. Relations go by their own keys.
@@ -44,9 +43,8 @@ def local(spark: SparkSession, schema: str, rows: Sequence[dict]) -> DataFrame:
 
 
 def gather(*frames: DataFrame) -> list[list[Row]]:
-    """The rows of small frames, whose jobs run side by side."""
-    with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(lambda df: df.collect(), frames))
+    """The rows of small frames."""
+    return side_by_side(lambda df: df.collect(), frames)
 
 
 @dataclass(frozen=True)
@@ -79,6 +77,7 @@ class Record:
     changes: DataFrame
     unit: dict | None
     change: dict | None
+    words: list[dict]
 
     def state(self) -> DataFrame:
         return listing.snapshots(self.units, self.keywords, self.relations).select("uuid", listing.state_json().alias("state"))
@@ -116,7 +115,7 @@ class Engine:
         units, words, edges, open_ = gather(view.units.where(F.col("uuid") == uuid), view.keywords.where(mine), view.touching(uuid), view.changes.where(mine))
         rows = [[r.asDict() for r in part] for part in (units, words, edges, open_)]
         frames = [self._rows(n, r) for n, r in zip(("units", "keywords", "relations", "changes"), rows, strict=True)]
-        return Record(*frames, rows[0][0] if rows[0] else None, rows[3][0] if rows[3] else None)
+        return Record(*frames, rows[0][0] if rows[0] else None, rows[3][0] if rows[3] else None, rows[1])
 
     # Reading
 
@@ -253,57 +252,59 @@ class Engine:
             raise EditError(f"DUPLICATE_{field.upper()}")
         uuid = unit["uuid"]
         held = self._rows("keywords", [{"memory_uuid": uuid, "keyword_norm": w["keyword_norm"], "weight": None} for w in words])
-        record = Record(self._rows("units", [{k: unit[k] for k in unit if k != "command_id"}]), held, self._rows("relations", []), self._rows("changes", []), unit, None)
+        record = Record(self._rows("units", [{k: unit[k] for k in unit if k != "command_id"}]), held, self._rows("relations", []), self._rows("changes", []), unit, None, [])
         change = self._opened(now, record, uuid, "create", None, record.state().first()["state"])
         self._commit(view, now, False, {"keywords": Delta(held), "changes": change}, record.units, held)
         return uuid
 
-    def _edit(self, now: datetime, view: View, record: Record, result: DataFrame, always_dirty: bool = False) -> None:
-        """Commits a record's next state; result: fields by name, revision, error_code, and keywords if they change.
+    def _edit(self, now: datetime, view: View, record: Record, locks: DataFrame | None, result: DataFrame, whole: bool = False) -> None:
+        """Commits a record's next state; locks: what the client hasn't seen of it; result: fields by name, revision, error_code, and
+        keywords if they change. whole: a full edit, which replaces keywords with their weights.
 
-        Records that are active are in the graph, which is behind then.
+        Active records are in the graph, which is behind then; after a full edit always.
         """
-        row = result.first()
-        if row is None or record.unit is None:
+        if record.unit is None:
             raise EditError("NOT_FOUND")
-        if row["error_code"]:
-            raise EditError(row["error_code"])
-        uuid = record.unit["uuid"]
-        if {"title_norm", "content", "summary"}.intersection(result.columns):
-            sent = {f"new_{f}": row[f] if f in result.columns else record.unit[f] for f in ("title_norm", "content", "summary")}
-            asked = self._row("command_id string, uuid string, new_title_norm string, new_content string, new_summary string", command_id="1", uuid=uuid, **sent)
-            if field := commands.duplicates(asked, view.units, update=True).first()["duplicate_field"]:
-                raise EditError(f"DUPLICATE_{field.upper()}")
+        errors, rows, old = gather(locks if locks is not None else self._row("error_code string", error_code=None), result, record.state())
+        for row in (*errors, *rows):
+            if row["error_code"]:
+                raise EditError(row["error_code"])
+        row, uuid = rows[0], record.unit["uuid"]
         unit = record.unit | {c: row[c] for c in result.columns if c in (*commands.FIELDS, "revision")} | {"updated_at": now}
-        after = Record(self._rows("units", [unit]), record.keywords, record.relations, record.changes, unit, record.change)
+        after = Record(self._rows("units", [unit]), record.keywords, record.relations, record.changes, unit, record.change, record.words)
         changes: dict[str, Delta] = {}
         if "keywords" in result.columns:
-            weights = {r["keyword_norm"]: r["weight"] for r in record.keywords.collect()} if not always_dirty else {}
+            weights = {} if whole else {w["keyword_norm"]: w["weight"] for w in record.words}
             after.keywords = self._rows("keywords", [{"memory_uuid": uuid, "keyword_norm": w, "weight": weights.get(w)} for w in row["keywords"]])
             changes["keywords"] = Delta(after.keywords, self._row("memory_uuid string", memory_uuid=uuid))
-        old, new = (part[0]["state"] for part in gather(record.state(), after.state()))
-        changes["changes"] = self._opened(now, record, uuid, "update", old, new)
-        self._commit(view, now, always_dirty or unit["status"] == "active", changes, after.units, after.keywords)
+        checks = [after.state()]
+        if {"title_norm", "content", "summary"}.intersection(result.columns):
+            sent = {f"new_{f}": unit[f] for f in ("title_norm", "content", "summary")}
+            asked = self._row("command_id string, uuid string, new_title_norm string, new_content string, new_summary string", command_id="1", uuid=uuid, **sent)
+            checks.append(commands.duplicates(asked, view.units, update=True))
+        new, *found = gather(*checks)
+        if found and (field := found[0][0]["duplicate_field"]):
+            raise EditError(f"DUPLICATE_{field.upper()}")
+        changes["changes"] = self._opened(now, record, uuid, "update", old[0]["state"], new[0]["state"])
+        self._commit(view, now, whole or unit["status"] == "active", changes, after.units, after.keywords)
 
-    def _live(self, uuid: str, revision: int, fields: dict[str, str] | None = None) -> tuple[View, Record]:
-        """The record, unless it has another revision, or another hash of a field, than the client has seen."""
+    def _live(self, uuid: str, revision: int, fields: dict[str, str] | None = None) -> tuple[View, Record, DataFrame]:
+        """The record, and whether it has another revision, or another hash of a field, than the client has seen."""
         view = self._editable()
         record = self._record(view, uuid)
         sent = [{"command_id": str(k), "uuid": uuid, "revision": revision, "field": field or "content", "hash": seen} for k, (field, seen) in enumerate((fields or {"": ""}).items())]
-        for row in commands.lock_errors(local(self.store.spark, "command_id string, uuid string, revision long, field string, hash string", sent), record.units).orderBy("command_id").collect():
-            if row["error_code"] and (fields or row["error_code"] != "HASH_CONFLICT"):
-                raise EditError(row["error_code"])
-        return view, record
+        locks = commands.lock_errors(local(self.store.spark, "command_id string, uuid string, revision long, field string, hash string", sent), record.units)
+        return view, record, (locks if fields else locks.where("error_code <> 'HASH_CONFLICT'")).orderBy("command_id")
 
     def update_memory_replace(self, now: datetime, uuid: str, revision: int, hashes: dict[str, str], **new: str | None) -> None:
         """Fields by name; each needs the hash of what the client has seen. None clears summary and recall_when."""
         if missing := [f for f in new if f not in hashes]:
             raise EditError(f"HASH_MISSING: {', '.join(missing)}")
-        view, record = self._live(uuid, revision, hashes)
+        view, record, locks = self._live(uuid, revision, hashes)
         names = [f"new_{f}" for f in commands.FIELDS]
         cleared = [f for f in ("summary", "recall_when") if f in new and new[f] is None]
         row = self._row("uuid string, cleared array<string>, " + ", ".join(f"{n} string" for n in names), uuid=uuid, cleared=cleared, **{n: new.get(n[4:]) for n in names})
-        self._edit(now, view, record, commands.replace_fields(row, record.units, self.categories))
+        self._edit(now, view, record, locks, commands.replace_fields(row, record.units, self.categories))
 
     def edit_memory(self, now: datetime, uuid: str, revision: int, title: str, content: str, keywords: Sequence[str], summary: str | None = None, recall_when: str | None = None) -> None:
         """All fields and keywords of an active record at once; None clears."""
@@ -311,20 +312,20 @@ class Engine:
         row = self._row(schema, uuid=uuid, expected_revision=revision, new_title=title, new_summary=summary, new_recall_when=recall_when, new_content=content, new_keywords=list(keywords))
         view = self._editable()
         record = self._record(view, uuid)
-        self._edit(now, view, record, commands.full_edit(row, record.units, record.keywords), always_dirty=True)
+        self._edit(now, view, record, None, commands.full_edit(row, record.units, record.keywords), whole=True)
 
     def update_memory_patch_content(self, now: datetime, uuid: str, revision: int, match: str, replacement: str) -> None:
-        view, record = self._live(uuid, revision)
-        self._edit(now, view, record, commands.patch_content(self._row("uuid string, match string, replacement string", uuid=uuid, match=match, replacement=replacement), record.units))
+        view, record, locks = self._live(uuid, revision)
+        self._edit(now, view, record, locks, commands.patch_content(self._row("uuid string, match string, replacement string", uuid=uuid, match=match, replacement=replacement), record.units))
 
     def update_memory_append(self, now: datetime, uuid: str, revision: int, content: str | None = None, recall_when: str | None = None) -> None:
-        view, record = self._live(uuid, revision)
+        view, record, locks = self._live(uuid, revision)
         row = self._row("uuid string, append_content string, append_recall_when string", uuid=uuid, append_content=content, append_recall_when=recall_when)
-        self._edit(now, view, record, commands.append_text(row, record.units))
+        self._edit(now, view, record, locks, commands.append_text(row, record.units))
 
     def _change_keywords(self, now: datetime, uuid: str, revision: int, words: Sequence[str], add: bool) -> None:
-        view, record = self._live(uuid, revision)
-        self._edit(now, view, record, commands.change_keywords(self._row("uuid string, words array<string>", uuid=uuid, words=list(words)), record.units, record.keywords, add))
+        view, record, locks = self._live(uuid, revision)
+        self._edit(now, view, record, locks, commands.change_keywords(self._row("uuid string, words array<string>", uuid=uuid, words=list(words)), record.units, record.keywords, add))
 
     def update_memory_add_keywords(self, now: datetime, uuid: str, revision: int, words: Sequence[str]) -> None:
         self._change_keywords(now, uuid, revision, words, True)
@@ -342,7 +343,7 @@ class Engine:
         gone = [d for d in (changed.rows, changed.gone) if d is not None][0].select("uuid")
         edges = record.relations.join(gone, "uuid", "left_anti")
         edges = edges.unionByName(changed.rows) if changed.rows is not None else edges
-        after = Record(units.where(F.col("uuid") == source), record.keywords, edges, record.changes, None, record.change)
+        after = Record(units.where(F.col("uuid") == source), record.keywords, edges, record.changes, None, record.change, record.words)
         old, new = (part[0]["state"] for part in gather(record.state(), after.state()))
         # Revisions aren't in the index.
         self._commit(view, now, True, {"units": Delta(units), "relations": changed, "changes": self._opened(now, record, source, "update", old, new)})
@@ -417,7 +418,7 @@ class Engine:
             return case
         row = commands.apply_deletes(cases, record.units, F.lit(now)).first()
         unit = record.unit | {"status": "trashed", "trashed_at": row["trashed_at"], "revision": row["revision"], "updated_at": now}
-        after = Record(self._rows("units", [unit]), record.keywords, record.relations, record.changes, unit, record.change)
+        after = Record(self._rows("units", [unit]), record.keywords, record.relations, record.changes, unit, record.change, record.words)
         old, new = (part[0]["state"] for part in gather(record.state(), after.state()))
         before = record.change["before_state"] if case == "delete_changed" else old
         change = Delta(self._row(schemas.CHANGES, memory_uuid=uuid, action="delete", before_state=before, after_state=new, created_at=now, updated_at=now))
@@ -445,8 +446,8 @@ class Engine:
             return
         unit = record.unit | {"status": row["next_status"], "revision": row["revision"], "updated_at": now}
         units = self._rows("units", [unit])
-        everyone = view.units.where(F.col("uuid") != uuid).unionByName(units)
-        found = graph.auto_relations(everyone, view.keywords, view.relations, self._row("uuid string", uuid=uuid)).collect()
+        words = [w["keyword_norm"] for w in record.words]
+        found = graph.relate_one(view.units, view.keywords, record.relations, uuid, unit["category"], words).collect()
         ids = lambda r: hashlib.sha256("|".join((r["from_memory_uuid"], r["to_memory_uuid"], r["relation_type"])).encode()).hexdigest()
         if found:
             changes["relations"] = Delta(self._rows("relations", [r.asDict() | {"uuid": ids(r), "created_at": now} for r in found]))

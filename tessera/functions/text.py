@@ -82,11 +82,20 @@ def replace_unique(text: Column, part: Column, new: Column) -> Column:
     return F.when(occurrences(text, part) == 1, F.overlay(text, new, at, F.length(part)))
 
 
+#: A text's length is below 2 to this power.
+LENGTH_BITS = 31
+
+
 def _shared_start(a: Column, b: Column) -> Column:
-    """How many code points two texts begin with in common."""
-    unequal = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
-    at = F.array_position(unequal, F.lit(True))
-    return F.when((a == "") | (b == ""), F.lit(0)).when(at == 0, F.length(a)).otherwise(F.least(at - 1, F.length(a), F.length(b))).cast("int")
+    """How many code points two texts begin with in common: the number is found bit by bit, by comparing beginnings of that length."""
+    most = F.least(F.length(a), F.length(b))
+    powers = [F.lit(1 << bit) for bit in reversed(range(LENGTH_BITS))]
+
+    def longer(n: Column, power: Column) -> Column:
+        alike = (power <= most - n) & (F.left(a, n + power) == F.left(b, n + power))
+        return F.when(alike, n + power).otherwise(n)
+
+    return F.aggregate(F.array(*powers), F.lit(0), longer)
 
 
 def text_diff(before: Column, after: Column) -> Column:

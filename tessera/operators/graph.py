@@ -65,6 +65,27 @@ def suggest(units: DataFrame, keywords: DataFrame, relations: DataFrame, uuid, t
     return rows.select("memory_uuid", "title_norm", "category", "shared", _weight(F.col("shared")).alias("weight"), F.concat(F.lit("shared_keywords="), F.col("shared").cast("string")).alias("note"))
 
 
+def _edges(rows: DataFrame) -> DataFrame:
+    """New related_to edges from source, target and the number of keywords that both bear."""
+    return rows.select(
+        F.col("source").alias("from_memory_uuid"), F.col("target").alias("to_memory_uuid"), F.lit("related_to").alias("relation_type"),
+        F.when(F.col("shared") == 0, F.lit(LONE_WEIGHT)).otherwise(_weight(F.col("shared"))).alias("weight"),
+        F.when(F.col("shared") == 0, F.lit("auto: same_category")).otherwise(F.concat(F.lit("auto: shared_keywords="), F.col("shared").cast("string"))).alias("note"),
+    )
+
+
+def relate_one(units: DataFrame, keywords: DataFrame, relations: DataFrame, uuid, category: str, words: list[str], top: int = TOP) -> DataFrame:
+    """auto_relations for one record that bears words, whatever its status is: a pass over its category's ids, and a few rows kept.
+
+    relations: those that touch it.
+    """
+    shared = keywords.where(F.col("keyword_norm").isin(words)).groupBy(F.col("memory_uuid").alias("target")).agg(F.count_distinct("keyword_norm").alias("shared"))
+    known = _related(relations).where(F.col("a") == uuid).select(F.col("b").alias("target"))
+    rows = active(units).where((F.col("category") == category) & (F.col("uuid") != uuid)).select(F.col("uuid").alias("target"))
+    rows = rows.join(known, "target", "left_anti").join(shared, "target", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return _edges(rows.orderBy(F.desc("shared"), "target").limit(top).withColumn("source", F.lit(uuid)))
+
+
 #: Records of a category that bear a keyword, from which on it is common; common keywords of a record at most (its most
 #: frequent ones); relations of a record from which on it is held against its whole category; such records that are broadcast.
 COMMON, HELD, RELATED, BROADCAST = 64, 8, 60, 10_000
@@ -135,12 +156,7 @@ def auto_relations(units: DataFrame, keywords: DataFrame, relations: DataFrame,
     found = near.union(far).groupBy("source", "target").agg(F.max("shared").alias("shared"))
     found = (found.union(whole) if n else found).join(known, ["source", "target"], "left_anti")
     order = Window.partitionBy("source").orderBy(F.desc("shared"), "target")
-    rows = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    return rows.select(
-        F.col("source").alias("from_memory_uuid"), F.col("target").alias("to_memory_uuid"), F.lit("related_to").alias("relation_type"),
-        F.when(F.col("shared") == 0, F.lit(LONE_WEIGHT)).otherwise(_weight(F.col("shared"))).alias("weight"),
-        F.when(F.col("shared") == 0, F.lit("auto: same_category")).otherwise(F.concat(F.lit("auto: shared_keywords="), F.col("shared").cast("string"))).alias("note"),
-    )
+    return _edges(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top))
 
 
 def add_errors(commands: DataFrame, units: DataFrame, relations: DataFrame) -> DataFrame:

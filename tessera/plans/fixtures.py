@@ -129,4 +129,5 @@ CHANGES = """memory_changes AS (
 def sql(body: str, *views: str) -> str:
     """One SELECT: the fixture views that it reads, then its own."""
     head, _, rest = body.strip().partition("WITH ")
-    return "WITH " + ", ".join([*views, rest]) if not head and rest else f"WITH {', '.join(views)} {body}"
+    start = "WITH RECURSIVE" if any(v.startswith("reached AS") for v in views) else "WITH"
+    return f"{start} " + ", ".join([*views, rest]) if not head and rest else f"{start} {', '.join(views)} {body}"

@@ -124,16 +124,31 @@ def _hash(c: str) -> str:
     return f"concat('0x', sha256(coalesce(CAST(to_json({c}) AS VARCHAR), 'null')))"
 
 
+def _json(c: str) -> str:
+    return f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+
+
+#: A record's state as compact JSON, its fields in order and nulls written.
+JSON_STATES = f"""json_states AS (SELECT u.*, k.words, concat('{{"memory":{{"uuid":', u.uuid, ',"category":', {_json('category')}, ',"title_norm":', {_json('title_norm')}, ',"content":', {_json('content')},
+    ',"summary":', {_json('summary')}, ',"revision":', revision, ',"status":', {_json('status')}, ',"recall_when":', {_json('recall_when')},
+    ',"trashed_at":', CASE WHEN trashed_at IS NULL THEN 'null' ELSE concat('"', strftime(trashed_at, '%Y-%m-%dT%H:%M:%S.%g'), '"') END, '}},"keywords":[', coalesce(k.items, ''), '],"relations":[', coalesce(r.items, ''), ']}}') AS state
+  FROM memory_units u LEFT JOIN (
+    SELECT memory_uuid, string_agg(concat('{{"keyword_norm":', {_json('keyword_norm')}, ',"weight":', coalesce(CAST(weight AS VARCHAR), 'null'), '}}'), ',' ORDER BY keyword_norm) AS items,
+           concat('[', string_agg({_json('keyword_norm')}, ',' ORDER BY keyword_norm), ']') AS words FROM memory_keywords GROUP BY 1) k ON k.memory_uuid = u.uuid
+  LEFT JOIN (
+    SELECT m, string_agg(concat('{{"relation_uuid":', uuid, ',"from_memory_uuid":', from_memory_uuid, ',"to_memory_uuid":', to_memory_uuid, ',"relation_type":', {_json('relation_type')},
+           ',"weight":', coalesce(CAST(weight AS VARCHAR), 'null'), ',"note":', {_json('note')}, '}}'), ',' ORDER BY created_at, uuid) AS items
+    FROM (SELECT from_memory_uuid AS m, * FROM memory_relations UNION ALL SELECT to_memory_uuid AS m, * FROM memory_relations) GROUP BY 1) r ON r.m = u.uuid)"""
+
+
 @query(
-    f"""SELECT u.uuid, title_norm, revision, {_hash('title_norm')} AS title_hash, {_hash('content')} AS content_hash,
+    f"""SELECT uuid, title_norm, revision, {_hash('title_norm')} AS title_hash, {_hash('content')} AS content_hash,
        {_hash('summary')} AS summary_hash, {_hash('recall_when')} AS recall_when_hash, {_hash('category')} AS category_hash,
-       concat('0x', sha256(coalesce(k.words, '[]'))) AS keywords_hash
-       FROM memory_units u LEFT JOIN (SELECT memory_uuid, concat('[', string_agg(CAST(to_json(keyword_norm) AS VARCHAR), ',' ORDER BY keyword_norm), ']') AS words FROM memory_keywords GROUP BY 1) k
-       ON k.memory_uuid = u.uuid WHERE status <> 'trashed'""",
-    UNITS, KEYWORDS,
+       concat('0x', sha256(coalesce(words, '[]'))) AS keywords_hash, concat('0x', sha256(state)) AS state_hash FROM json_states WHERE status <> 'trashed'""",
+    UNITS, KEYWORDS, RELATIONS, JSON_STATES,
 )
 def memory_hashes(fx):
-    return listing.memory_hashes(_states(fx)).drop("state_hash")
+    return listing.memory_hashes(_states(fx))
 
 
 @query(
@@ -153,16 +168,39 @@ def distinct_categories(fx):
     return fx.units.where("category <> ''").select("category").distinct().orderBy("category")
 
 
+#: Edits of all fields of a record: the state before is its own, the one after has other texts, one keyword less and a relation more.
+EDITED = """edited AS (SELECT u.uuid, u.title_norm || ' bis' AS title_norm, 'xx' AS category, CASE WHEN uuid % 4 = 0 THEN NULL ELSE coalesce(summary, 'é new') END AS summary,
+    substring(content, 1, 10) || '<' || substring(content, 15) AS content, recall_when FROM memory_units u)"""
+
+
+#: How many leading entries two lists share.
+ALIKE = "coalesce(list_position(list_transform(list_zip({a}, {b}), lambda x: x[1] IS DISTINCT FROM x[2]), true) - 1, least(len({a}), len({b})))"
+
+
 @query(
-    """SELECT uuid, field, coalesce(o, '-') AS old, coalesce(n, '-') AS new FROM (
-         SELECT uuid, unnest(['title_norm', 'summary', 'status']) AS field, unnest([title_norm, summary, status]) AS o,
-                unnest([title_norm, 'now ' || summary, CASE WHEN status = 'pending' THEN 'active' ELSE status END]) AS n FROM memory_units) WHERE o IS DISTINCT FROM n""",
-    UNITS,
-)
+    f"""SELECT memory_uuid, field, old, new, left(old, p) AS prefix, substring(old, p + 1, length(old) - p - n) AS removed, substring(new, p + 1, length(new) - p - n) AS added, right(old, n) AS suffix
+        FROM (SELECT *, CAST({ALIKE.format(a='list_reverse(x[p + 1:])', b='list_reverse(y[p + 1:])')} AS INT) AS n
+              FROM (SELECT *, CAST({ALIKE.format(a='x', b='y')} AS INT) AS p
+                    FROM (SELECT *, string_split(old, '') AS x, string_split(new, '') AS y
+                          FROM (SELECT uuid AS memory_uuid, field, coalesce(o, '-') AS old, coalesce(n, '-') AS new FROM (
+                            SELECT u.uuid, unnest(['title_norm', 'category', 'summary', 'content', 'recall_when', 'keywords']) AS field,
+                                   unnest([u.title_norm, u.category, u.summary, u.content, u.recall_when, k.words]) AS o, unnest([e.title_norm, e.category, e.summary, e.content, e.recall_when, k.fewer]) AS n
+                            FROM memory_units u JOIN edited e USING (uuid)
+                            JOIN (SELECT memory_uuid, string_agg(keyword_norm, chr(10) ORDER BY keyword_norm) AS words, string_agg(keyword_norm, chr(10) ORDER BY keyword_norm) FILTER (WHERE keyword_norm NOT LIKE 'src%') AS fewer FROM memory_keywords GROUP BY 1) k ON k.memory_uuid = u.uuid
+                            ) WHERE o IS DISTINCT FROM n))))""",
+    UNITS, KEYWORDS, EDITED,
+)
 def change_field_diff(fx):
-    fields = lambda *cs: F.map_from_arrays(F.array(*map(F.lit, ("title_norm", "summary", "status"))), F.array(*cs)).alias("fields")
-    after = F.when(F.col("status") == "pending", "active").otherwise(F.col("status"))
-    return listing.field_diff(fx.units.select("uuid", fields("title_norm", "summary", "status")), fx.units.select("uuid", fields(F.col("title_norm"), F.concat(F.lit("now "), "summary"), after)))
+    """What a review shows of edits of all records: each field that they touch, with the parts that differ."""
+    before = _states(fx).drop("updated_at")
+    m = lambda f: F.col(f"memory.{f}")
+    new = {
+        "title_norm": F.concat(m("title_norm"), F.lit(" bis")), "category": F.lit("xx"), "summary": F.when(F.col("uuid") % 4 != 0, F.coalesce(m("summary"), F.lit("é new"))),
+        "content": F.concat(F.substring(m("content"), 1, 10), F.lit("<"), F.substr(m("content"), F.lit(15))),
+    }
+    after = before.withColumn("memory", F.struct(*(new[f].alias(f) if f in new else m(f).alias(f) for f in listing.MEMORY))).withColumn("keywords", F.filter("keywords", lambda k: ~k["keyword_norm"].startswith("src")))
+    states = lambda rows, name: rows.select(F.col("uuid").alias("memory_uuid"), listing.state_json().alias(name))
+    return listing.change_fields(states(before, "before_state").join(states(after, "after_state"), "memory_uuid"))
 
 
 # Sources and sinks
@@ -433,6 +471,42 @@ def relation_patch(fx):
     return graph.patch_relations(fx.relations, patches)
 
 
+TWICE = """twice AS (SELECT uuid, from_memory_uuid, to_memory_uuid, relation_type FROM memory_relations
+  UNION ALL SELECT uuid + 1000000000, from_memory_uuid, to_memory_uuid, 'applies_to' FROM memory_relations WHERE weight < 30 AND relation_type <> 'applies_to')"""
+
+
+@query(
+    """SELECT p.uuid, new_type, new_weight, new_note, CASE WHEN new_type IS NULL AND new_weight IS NULL AND new_note IS NULL THEN 'NO_CHANGE' WHEN new_type = 'likes' THEN 'INVALID_TYPE' WHEN new_weight > 100 THEN 'INVALID_WEIGHT'
+              WHEN t.uuid IS NULL THEN 'NOT_FOUND' WHEN EXISTS (SELECT 1 FROM twice o WHERE o.uuid <> p.uuid AND o.from_memory_uuid = t.from_memory_uuid AND o.to_memory_uuid = t.to_memory_uuid AND o.relation_type = new_type) THEN 'RELATION_EXISTS' END AS error_code
+       FROM (SELECT CASE WHEN weight = 50 THEN -uuid ELSE uuid END AS uuid, CASE WHEN weight = 7 THEN 'likes' WHEN weight > 15 THEN 'applies_to' END AS new_type, CASE WHEN weight > 15 THEN CAST(weight + 10 AS INT) END AS new_weight,
+                    CASE WHEN weight = 3 THEN '' END AS new_note FROM memory_relations) p LEFT JOIN twice t ON t.uuid = p.uuid""",
+    RELATIONS, TWICE,
+)
+def relation_patch_errors(fx):
+    """Patches to a kind that some pairs have already by another relation."""
+    w = F.col("weight")
+    own = fx.relations.select("uuid", "from_memory_uuid", "to_memory_uuid", "relation_type")
+    more = fx.relations.where((w < 30) & (F.col("relation_type") != "applies_to")).select((F.col("uuid") + 1_000_000_000).alias("uuid"), "from_memory_uuid", "to_memory_uuid", F.lit("applies_to").alias("relation_type"))
+    patches = fx.relations.select(
+        F.when(w == 50, -F.col("uuid")).otherwise(F.col("uuid")).alias("uuid"), F.when(w == 7, "likes").when(w > 15, "applies_to").alias("new_type"),
+        F.when(w > 15, (w + 10).cast("int")).alias("new_weight"), F.when(w == 3, "").alias("new_note"),
+    )
+    return graph.patch_errors(patches, own.union(more))
+
+
+@query(
+    """SELECT source, uuid, min(steps) AS steps FROM reached GROUP BY ALL""",
+    UNITS, RELATIONS, "live AS (SELECT uuid FROM memory_units WHERE status = 'active')",
+    """ways AS (SELECT from_memory_uuid AS a, to_memory_uuid AS b FROM memory_relations WHERE from_memory_uuid IN (FROM live) AND to_memory_uuid IN (FROM live)
+       UNION SELECT to_memory_uuid, from_memory_uuid FROM memory_relations WHERE from_memory_uuid IN (FROM live) AND to_memory_uuid IN (FROM live))""",
+    CHANGES, """reached AS (SELECT memory_uuid AS source, memory_uuid AS uuid, 0 AS steps FROM memory_changes WHERE memory_uuid IN (FROM live)
+       UNION SELECT source, b, steps + 1 FROM reached JOIN ways ON a = reached.uuid WHERE steps < 3)""",
+)
+def graph_reach(fx):
+    """Records that relations lead to in at most three steps from those with an open change."""
+    return graph.reachable(fx.units, fx.relations, fx.changes.select(F.col("memory_uuid").alias("uuid")), 3)
+
+
 @query("SELECT * FROM memory_relations WHERE uuid % 3 <> 0", RELATIONS)
 def relation_delete(fx):
     return graph.delete_relations(fx.relations, fx.relations.where("uuid % 3 = 0"))
@@ -496,15 +570,16 @@ def update_duplicates(fx):
 
 
 @query(
-    """SELECT uuid AS command_id, uuid, CASE WHEN status = 'trashed' THEN 'NOT_FOUND' WHEN uuid % 3 = 1 THEN 'REVISION_CONFLICT' WHEN uuid % 5 = 1 THEN 'HASH_CONFLICT' END AS error_code FROM memory_units""",
+    f"""SELECT c.uuid AS command_id, c.uuid, CASE WHEN u.status = 'trashed' THEN 'NOT_FOUND' WHEN c.revision <> u.revision THEN 'REVISION_CONFLICT' WHEN c.hash <> {_hash('u.content')} THEN 'HASH_CONFLICT' END AS error_code
+        FROM memory_units u JOIN (SELECT uuid, CASE WHEN category = 'fr' THEN 2 ELSE revision END AS revision, {_hash("replace(content, 'worthless', 'worthy')")} AS hash FROM memory_units) c USING (uuid)""",
     UNITS,
 )
 def optimistic_lock_check(fx):
+    """Clients that have seen revision 2 of all records of a category, and that of all others; and their contents before a word was replaced."""
     from ..functions.text import json_hash, json_string
 
-    u = F.col("uuid")
-    own = json_hash(F.coalesce(json_string(F.col("content")), F.lit("null")))
-    sent = fx.units.select(u.alias("command_id"), "uuid", (F.col("revision") + F.when(u % 3 == 1, 1).otherwise(0)).alias("revision"), F.lit("content").alias("field"), F.when(u % 5 == 1, "0x0").otherwise(own).alias("hash"))
+    seen = json_hash(F.coalesce(json_string(F.replace("content", F.lit("worthless"), F.lit("worthy"))), F.lit("null")))
+    sent = fx.units.select(F.col("uuid").alias("command_id"), "uuid", F.when(F.col("category") == "fr", 2).otherwise(F.col("revision")).alias("revision"), F.lit("content").alias("field"), seen.alias("hash"))
     return commands.lock_errors(sent, fx.units)
 
 
@@ -602,17 +677,23 @@ def apply_delete(fx):
 
 @query(
     """SELECT uuid, CASE WHEN e IS NULL THEN concat('edited ', uuid) ELSE title_norm END AS title_norm, CASE WHEN e IS NULL THEN NULL ELSE summary END AS summary,
-       CASE WHEN e IS NULL THEN 'later' ELSE recall_when END AS recall_when, CASE WHEN e IS NULL THEN ' kept as is ' ELSE content END AS content, revision + CASE WHEN e IS NULL THEN 1 ELSE 0 END AS revision, e AS error_code
-       FROM (SELECT *, CASE WHEN status <> 'active' THEN 'NOT_ACTIVE' WHEN uuid % 6 = 2 THEN 'REVISION_CONFLICT' END AS e FROM memory_units)""",
-    UNITS,
-)
+       CASE WHEN e IS NULL THEN 'later ' ELSE recall_when END AS recall_when, CASE WHEN e IS NULL THEN ' kept as is ' ELSE content END AS content,
+       CASE WHEN e IS NULL THEN 'a word,src1' ELSE coalesce(held, '') END AS keywords, revision + CASE WHEN e IS NULL THEN 1 ELSE 0 END AS revision, e AS error_code
+       FROM (SELECT u.*, h.held, CASE WHEN category = 'fr' AND summary IS NOT NULL THEN 'EMPTY_SUMMARY' WHEN recall_when = 'when src2' THEN 'NO_KEYWORDS' WHEN recall_when = 'when src3' THEN 'EMPTY_KEYWORD'
+                    WHEN recall_when = 'when src4' THEN 'DUPLICATE_KEYWORD' WHEN status <> 'active' THEN 'NOT_ACTIVE' WHEN revision <> greatest(2, revision) THEN 'REVISION_CONFLICT' END AS e
+             FROM memory_units u LEFT JOIN (SELECT memory_uuid, string_agg(keyword_norm, ',' ORDER BY keyword_norm) AS held FROM memory_keywords GROUP BY 1) h ON h.memory_uuid = u.uuid)""",
+    UNITS, KEYWORDS,
+)
 def apply_full_edit(fx):
-    u = F.col("uuid")
+    """Edits whose summaries are blank in a category, whose keywords are missing, blank or doubled in some, and whose revision is 2 at least."""
+    words = lambda *ws: F.array(*map(F.lit, ws)).cast("array<string>")
+    when = F.col("recall_when")
+    keywords = F.when(when == "when src2", words()).when(when == "when src3", words(" ", "x")).when(when == "when src4", words("x", " X ")).otherwise(words("SRC1", "a  Word"))
     sent = fx.units.select(
-        "uuid", (F.col("revision") + F.when(u % 6 == 2, 1).otherwise(0)).alias("expected_revision"), F.concat(F.lit(" Edited  "), u.cast("string")).alias("new_title"), F.lit(" ").alias("new_summary"),
-        F.lit("later ").alias("new_recall_when"), F.lit(" kept as is ").alias("new_content"),
+        "uuid", F.greatest(F.lit(2), "revision").alias("expected_revision"), F.concat(F.lit(" Edited  "), F.col("uuid").cast("string")).alias("new_title"),
+        F.when((F.col("category") == "fr") & F.col("summary").isNotNull(), " ").alias("new_summary"), F.lit("later ").alias("new_recall_when"), F.lit(" kept as is ").alias("new_content"), keywords.alias("new_keywords"),
     )
-    return commands.full_edit(sent, fx.units)
+    return commands.full_edit(sent, fx.units, fx.keywords).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query(
@@ -659,16 +740,47 @@ def apply_reject(fx):
     return review.reject(_with_states(fx), fx.units)
 
 
+#: The state that trashed records had before: active without a recall text, else pending; one category was in the trash already.
+WERE = "CASE WHEN u.category = 'de' THEN 'trashed' WHEN u.recall_when IS NULL AND u.summary IS NULL THEN 'pending' ELSE 'active' END"
+
+
+def _trashed_states(fx):
+    """Deletions of the trashed records: the state before has their keywords and relations, other texts, and the status before."""
+    own = _states(fx).where("memory.status = 'trashed'")
+    m = lambda f: F.col(f"memory.{f}")
+    was = F.when(m("category") == "de", "trashed").when(m("recall_when").isNull() & m("summary").isNull(), "pending").otherwise("active")
+    old = F.col("memory").withField("title_norm", F.concat(F.lit("before "), m("title_norm"))).withField("content", F.lit("before")).withField("status", was).withField("trashed_at", F.lit(None).cast("timestamp_ntz"))
+    return own.withColumn("memory", old).select(F.col("uuid").alias("memory_uuid"), F.lit("delete").alias("action"), listing.state_json().alias("before_state"))
+
+
 @query(
-    """SELECT uuid, CASE WHEN w = 'trashed' THEN 'trashed' ELSE w END AS next_status, CASE WHEN w = 'pending' THEN 'create' END AS open_action, revision + CASE WHEN w = 'trashed' THEN 0 ELSE 1 END AS revision, w = 'active' AS dirty,
-       CASE WHEN w = 'trashed' THEN 'STATE_ERROR' END AS error_code
-       FROM (SELECT u.uuid, u.revision, CASE u.uuid % 30 WHEN 0 THEN 'active' WHEN 10 THEN 'pending' ELSE 'trashed' END AS w FROM memory_units u WHERE u.status = 'trashed')""",
+    f"""SELECT uuid, category, CASE WHEN w = 'trashed' THEN title_norm ELSE 'before ' || title_norm END AS title_norm, CASE WHEN w = 'trashed' THEN content ELSE 'before' END AS content, summary, recall_when,
+        w AS next_status, CASE WHEN w = 'trashed' THEN trashed_at END AS trashed_at, CASE WHEN w = 'pending' THEN 'create' END AS open_action, CASE WHEN w = 'pending' THEN 'before' END AS after_content,
+        revision + CASE WHEN w = 'trashed' THEN 0 ELSE 1 END AS revision, w = 'active' AS dirty, CASE WHEN w = 'trashed' THEN 'STATE_ERROR' END AS error_code
+        FROM (SELECT u.*, {WERE} AS w FROM memory_units u WHERE u.status = 'trashed')""",
     UNITS,
 )
 def apply_trash_restore(fx):
-    held = fx.units.where("status = 'trashed'").select(F.col("uuid").alias("memory_uuid"), F.lit("{}").alias("before_state"))
-    way = F.col("memory_uuid") % 30
-    return review.restore(held, fx.units, F.when(way == 0, "active").when(way == 10, "pending").otherwise("trashed")).drop("after_state")
+    rows = review.restore(_trashed_states(fx), fx.units)
+    return rows.withColumn("after_content", F.get_json_object("after_state", "$.memory.content")).drop("after_state")
+
+
+@query(
+    """SELECT memory_uuid, keyword_norm, weight FROM memory_keywords JOIN memory_units u ON u.uuid = memory_uuid WHERE status = 'trashed'""",
+    UNITS, KEYWORDS,
+)
+def restored_keywords(fx):
+    return review.restored_keywords(_trashed_states(fx)).select(F.col("memory_uuid").cast("long").alias("memory_uuid"), "keyword_norm", "weight")
+
+
+@query(
+    """SELECT CAST(from_memory_uuid AS VARCHAR) AS from_memory_uuid, CAST(to_memory_uuid AS VARCHAR) AS to_memory_uuid, relation_type, weight, note,
+       sha256(concat(from_memory_uuid, '|', to_memory_uuid, '|', relation_type)) AS uuid FROM memory_relations
+       WHERE from_memory_uuid IN (SELECT uuid FROM memory_units WHERE status = 'trashed') OR to_memory_uuid IN (SELECT uuid FROM memory_units WHERE status = 'trashed')""",
+    UNITS, RELATIONS,
+)
+def restored_relations(fx):
+    return review.restored_relations(_trashed_states(fx))
 
 
 @query(

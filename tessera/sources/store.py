@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -32,8 +32,14 @@ KEYS = {
 SORTED = {"postings": ("gram", "field", "size"), "graph_edges": ("from_memory_uuid",)}
 #: Deltas of a table that are merged into one, share of the base's rows at which deltas go into it, rows of deltas up to
 #: which their keys are broadcast to the base.
-DELTAS, SHARE, BROADCAST = 12, 0.25, 500_000
+DELTAS, SHARE, BROADCAST = 8, 0.25, 500_000
 REVISION, GONE = "_revision", "_gone"
+#: Small jobs, which needn't wait for each other, run in these threads.
+_POOL = ThreadPoolExecutor(16)
+
+
+def side_by_side[A, B](work: Callable[[A], B], items: Iterable[A]) -> list[B]:
+    return list(_POOL.map(work, items))
 
 
 class ConflictError(ValueError):
@@ -55,6 +61,7 @@ class Snapshot:
     revision: int
     tables: dict = field(default_factory=dict)
     marks: dict = field(default_factory=dict)
+    held: dict = field(default_factory=dict, compare=False, repr=False)
 
     def _parquet(self, name: str, segments: list[dict]) -> DataFrame:
         schema = T.StructType.fromJson(self.tables[name]["schema"])
@@ -83,6 +90,11 @@ class Snapshot:
 
     def read(self, name: str) -> DataFrame | None:
         """A table's rows: those of the base whose key no delta has, and the deltas' last ones."""
+        if name not in self.held:
+            self.held[name] = self._read(name)
+        return self.held[name]
+
+    def _read(self, name: str) -> DataFrame | None:
         segments = self.segments(name)
         if not segments:
             return None
@@ -203,8 +215,7 @@ class Store:
             schema = T.StructType.fromJson(known["schema"]) if known else change.rows.schema
             return name, {"schema": json.loads(schema.json()), "segments": [*seen.segments(name), self._delta(name, change, schema, revision)]}
 
-        with ThreadPoolExecutor(8) as pool:  # small jobs, which needn't wait for each other
-            made = {name: table for name, table in pool.map(put, changes.items()) if table}
+        made = {name: table for name, table in side_by_side(put, changes.items()) if table}
         self._publish(revision, seen.tables | made, seen.marks | (dict([mark]) if mark else {}))
         self._tidy(Snapshot(self.spark, revision, seen.tables | made, seen.marks))
         return revision
@@ -232,28 +243,31 @@ class Store:
 
     def _tidy(self, now: Snapshot) -> None:
         """Compacts tables of which a read would merge too much; another commit may forestall it."""
-        for name in now.tables:
-            deltas = [s for s in now.segments(name) if not s["base"]]
-            if len(deltas) >= DELTAS:
-                try:
-                    self.compact(name)
-                except ConflictError:
-                    return
-
-    def compact(self, name: str, whole: bool = False) -> None:
-        """Merges a table's deltas: into the base if whole, or if they have a share of its rows, else into one delta.
-
-        So a base is rewritten only after edits of a fixed share of it, and a row is rewritten a number of times that doesn't grow with the table.
+        due = [name for name in now.tables if sum(not s["base"] for s in now.segments(name)) >= DELTAS]
+        if due:
+            try:
+                self.compact(*due)
+            except ConflictError:
+                return
+
+    def compact(self, *names: str, whole: bool = False) -> None:
+        """Merges the deltas of tables: into the base if whole, or if they have a share of its rows, else into one delta.
+
+        So a base is rewritten only after edits of a fixed share of it. What tables hold doesn't change.
         """
         now = self.snapshot()
-        base, deltas = ([s for s in now.segments(name) if s["base"] is b] for b in (True, False))
-        if not deltas:
-            return
-        if whole or not base or sum(s["rows"] for s in deltas) >= SHARE * sum(s["rows"] for s in base):
-            made = [self._base(name, now.read(name), now.revision + 1)]
-        else:
-            made = [*base, self._written(name, now.latest(name, deltas), now.revision + 1, False)]
-        self._publish(now.revision + 1, now.tables | {name: {"schema": now.tables[name]["schema"], "segments": made}}, now.marks)
+
+        def merged(name: str) -> tuple[str, dict]:
+            base, deltas = ([s for s in now.segments(name) if s["base"] is b] for b in (True, False))
+            if not deltas:
+                return name, now.tables[name]
+            if whole or not base or sum(s["rows"] for s in deltas) >= SHARE * sum(s["rows"] for s in base):
+                made = [self._base(name, now.read(name), now.revision + 1)]
+            else:
+                made = [*base, self._written(name, now.latest(name, deltas), now.revision + 1, False)]
+            return name, now.tables[name] | {"segments": made}
+
+        self._publish(now.revision + 1, now.tables | dict(side_by_side(merged, names)), now.marks)
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the files that none of the last keep revisions needs, and the lists of the others; how many folders.

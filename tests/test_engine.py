@@ -233,7 +233,7 @@ def test_two_writers_at_one_revision(pair):
     e.update_memory_append(NOW, b, revision(e, b), content="!")
     row = e._row("uuid string, append_content string, append_recall_when string", uuid=a, append_content="?", append_recall_when=None)
     with pytest.raises(EditError, match="STORE_CONFLICT"):
-        e._edit(NOW, view, record, commands.append_text(row, record.units))
+        e._edit(NOW, view, record, None, commands.append_text(row, record.units))
     assert e.units.where("content like '%?'").count() == 0 and e.changes.count() == 1
 
 
