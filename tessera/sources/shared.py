@@ -30,6 +30,20 @@ def scratch(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path and the file system that it lies in, as the driver sees them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A new file of a few lines."""
+    place, fs = file_system(spark, path)
+    out = fs.create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Spark's file systems, so wherever it lies."""
     jvm = spark.sparkContext._jvm

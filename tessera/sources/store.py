@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import file_system, write_small
+
 #: What a row belongs to: a delta replaces all earlier rows of the same key. Other tables have no deltas.
 KEYS = {
     "units": ("uuid",), "keywords": ("memory_uuid",), "relations": ("uuid",), "changes": ("memory_uuid",), "embeddings": ("memory_uuid",), "usage": ("memory_uuid",),
@@ -125,9 +127,7 @@ class Store:
         return f"{self.root.rstrip('/')}/_log"
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return file_system(self.spark, path)
 
     def _files(self, path: str) -> list[str]:
         place, fs = self._fs(path)
@@ -157,9 +157,7 @@ class Store:
         """Writes a commit's file beside its place and moves it there, which fails if there is one."""
         jvm = self.spark.sparkContext._jvm
         draft, fs = self._fs(f"{self._log}/draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps({"tables": tables, "marks": marks}).encode()))
-        out.close()
+        write_small(self.spark, draft.toString(), json.dumps({"tables": tables, "marks": marks}))
         final, _ = self._fs(f"{self._log}/{revision:012d}.json")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)

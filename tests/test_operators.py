@@ -1,5 +1,7 @@
 """Small cases of functions and operators that the fixture tables don't show."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,10 +61,39 @@ def test_term_may_cross_fields(spark):
 
 def test_backup_round_trip(spark, tmp_path):
     fx = Fixtures(spark, SF)
-    path = str(tmp_path / "b")
-    backup.write(fx.units, fx.keywords, fx.relations, path, "p")
-    rows = backup.read(spark, path)
-    assert backup.imported_units(rows).count() == fx.units.where("status = 'active'").count()
+    path = tmp_path / "b"
+    n = backup.write(fx.units, fx.keywords, fx.relations, str(path), "p")
+    rows = backup.read(spark, str(path))
+    live = fx.units.where("status = 'active'")
+    assert rows.count() == n == live.count()
+    want = backup.snapshot_rows(fx.units, fx.keywords, fx.relations).orderBy("updated_at", "uuid").collect()
+    files = sorted(f for f in path.iterdir() if f.name.endswith((".txt", ".json")) and not f.name.startswith("."))
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert (whole["format"], whole["profile"], whole["count"]) == (backup.FORMAT, "p", n)
+    assert [(m["memory"]["uuid"], m["memory"]["content"], len(m["keywords"]), len(m["relations"])) for m in whole["memories"]] == [(r.uuid, r.memory.content, len(r.keywords), len(r.relations)) for r in want]
+    assert {f.stat().st_mode & 0o777 for f in files} == {0o600} and path.stat().st_mode & 0o777 == 0o700
+    with pytest.raises(backup.BackupError, match="there already"):
+        backup.write(fx.units, fx.keywords, fx.relations, str(path), "p")
+    assert [f.name for f in tmp_path.iterdir()] == ["b"]
+
+
+def test_only_whole_backups_are_read(spark, tmp_path):
+    fx = Fixtures(spark, SF)
+    for name in ("no end", "fewer", "other", "trashed", "empty"):
+        units = fx.units.where("uuid < 0") if name == "empty" else fx.units.where("uuid < 50")
+        backup.write(units, fx.keywords, fx.relations, str(tmp_path / name), "p")
+    (tmp_path / "no end" / backup.TAIL).unlink()
+    next((tmp_path / "fewer").glob("part*")).unlink()
+    head = tmp_path / "other" / backup.HEAD
+    head.write_text(head.read_text().replace(backup.FORMAT, "records-0"))
+    (tmp_path / "other" / f".{backup.HEAD}.crc").unlink()
+    head = tmp_path / "trashed" / backup.HEAD
+    head.write_text(head.read_text().replace('"status":"active"', '"status":"trashed"'))
+    (tmp_path / "trashed" / f".{backup.HEAD}.crc").unlink()
+    for name, why in (("no end", "whole"), ("fewer", "missing"), ("other", "format"), ("trashed", "active")):
+        with pytest.raises(backup.BackupError, match=why):
+            backup.read(spark, str(tmp_path / name))
+    assert backup.read(spark, str(tmp_path / "empty")).count() == 0
     spark.createDataFrame([("x",)], "format string").write.json(str(tmp_path / "c"))
     with pytest.raises(backup.BackupError):
         backup.read(spark, str(tmp_path / "c"))
