@@ -53,8 +53,9 @@ BLOCK = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Parts of forms: what they hold is no text.
-CONTROLS = {"button", "select", "option", "optgroup", "datalist", "label", "output", "meter", "progress"}
+#: Parts of forms: what they hold is no text; the latter ones are words of a text where they stand in one outside any form.
+CONTROLS = {"select", "option", "optgroup", "datalist", "meter", "progress"}
+WORDED, TEXTS = {"button", "label", "output"}, {"p", "li", "td", "th", "dt", "dd", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption"}
 #: What an opening tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -109,6 +110,8 @@ HELD, LINKED = 0.6, 0.5
 #: Pages with different texts (a slot remembers so many) from which on an equal text of so many words is template, and the
 #: least share of a host's text that has to vary for that; in a content group template is less than half of the text.
 ALIKE, ALIKE_WORDS, VARYING = 3, 4, 1 / 3
+#: Words up to which a text that is the same on all pages is short.
+SHORT = 12
 #: Deepest block of a tree, as browsers bound it too: what is deeper stays as blocks side by side.
 DEEPEST = 100
 #: Children of a group from which on those of one page only are told by their tags alone; cells of an exact alignment.
@@ -116,21 +119,22 @@ WIDEST, CELLS = 256, 1 << 22
 
 
 class Node:
-    """label, children, whether it is optional or repeated; for its own slots: characters in and out of links, the
-    checksum of their text (None if it varies), and some pages that have them (by checksums of all that they say)."""
+    """label, children, whether it is optional or repeated, and how many turns it has on a page, at least and at most, and
+    the checksum and words of its last turn's text (None if it varies, or isn't a block's own); for its own slots: characters in and out of links, the checksum of their text (None if it varies), and some pages that have
+    them (by checksums of all that they say)."""
 
-    __slots__ = ("children", "label", "linked", "mark", "optional", "plain", "repeated", "same", "seen", "words")
+    __slots__ = ("children", "label", "linked", "mark", "optional", "plain", "repeated", "same", "seen", "tail", "turns", "words")
 
-    def __init__(self, label: str, children=None, optional=False, repeated=False, plain=0, linked=0, same=0, seen=(), words=0):
+    def __init__(self, label: str, children=None, optional=False, repeated=False, plain=0, linked=0, same=0, seen=(), words=0, turns=(1, 1), tail=None):
         self.label, self.children, self.optional, self.repeated, self.plain, self.linked = label, children if children is not None else [], optional, repeated, plain, linked
-        self.same, self.seen, self.words, self.mark = same, seen, words, 0
+        self.same, self.seen, self.words, self.turns, self.tail, self.mark = same, seen, words, turns, tail, 0
 
     def dump(self) -> list:
-        return [self.label, int(self.optional), int(self.repeated), self.plain, self.linked, self.same, list(self.seen), self.words, [c.dump() for c in self.children]]
+        return [self.label, int(self.optional), int(self.repeated), self.plain, self.linked, self.same, list(self.seen), self.words, [c.dump() for c in self.children], list(self.turns), self.tail]
 
     @staticmethod
     def load(x: list) -> Node:
-        return Node(x[0], [Node.load(c) for c in x[8]], bool(x[1]), bool(x[2]), x[3], x[4], x[5], tuple(x[6]), x[7])
+        return Node(x[0], [Node.load(c) for c in x[8]], bool(x[1]), bool(x[2]), x[3], x[4], x[5], tuple(x[6]), x[7], tuple(x[9]), x[10] and tuple(x[10]))
 
     def expression(self) -> str:
         """The wrapper as a regular expression; # is a text slot."""
@@ -233,7 +237,8 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                         out_name = ""
                 continue
             if not closing:
-                hidden = name in CONTROLS or len(token) > len(name) + 2 and any(_names(token)[1:])
+                control = name in CONTROLS or name in WORDED and (opened["form"] or opened["fieldset"] or stack[-1][0] not in TEXTS)
+                hidden = control or len(token) > len(name) + 2 and any(_names(token)[1:])
                 if hidden:
                     out_name, out_open, out_depth = name, 1, len(stack)
                     run.append(" ")
@@ -283,13 +288,13 @@ def _union(a: tuple, b: tuple) -> tuple:
 def merge(a: Node, b: Node) -> Node:
     """The wrapper that fits whatever a or b, of the same label, fits on different pages."""
     same = a.same if a.same == b.same else None
-    return Node(a.label, align(a.children, b.children), a.optional or b.optional, a.repeated or b.repeated, a.plain + b.plain, a.linked + b.linked, same, _union(a.seen, b.seen), max(a.words, b.words))
+    return Node(a.label, align(a.children, b.children), a.optional or b.optional, a.repeated or b.repeated, a.plain + b.plain, a.linked + b.linked, same, _union(a.seen, b.seen), max(a.words, b.words), (min(a.turns[0], b.turns[0]), max(a.turns[1], b.turns[1])), a.tail if a.tail == b.tail else None)
 
 
 def join(a: Node, b: Node) -> Node:
     """The wrapper that fits a or b, which follow each other on a page: their texts are the same if both are."""
     same = zlib.crc32(f"{a.same} {b.same}".encode()) if a.same is not None and b.same is not None else None
-    return Node(a.label, align(a.children, b.children, join), a.optional or b.optional, a.repeated or b.repeated, a.plain + b.plain, a.linked + b.linked, same, _union(a.seen, b.seen), a.words + b.words)
+    return Node(a.label, align(a.children, b.children, join), a.optional or b.optional, a.repeated or b.repeated, a.plain + b.plain, a.linked + b.linked, same, _union(a.seen, b.seen), a.words + b.words, (a.turns[0] + b.turns[0], a.turns[1] + b.turns[1]), b.tail)
 
 
 def alike(a: Node, b: Node) -> bool:
@@ -402,13 +407,15 @@ def _narrow(children: list[Node]) -> list[Node]:
 
 
 def folded(node: Node) -> Node:
+    if node.children and all(c.label == "#" for c in node.children):
+        node.tail = zlib.crc32(" ".join(str(c.same) for c in node.children).encode()), sum(c.words for c in node.children)
     node.children = fold([folded(c) for c in node.children])
     return node
 
 
 #: What a group's place in the host's wrapper tells of a page's group: its slots are content, or it is left out; if
-#: it is a menu on the host's pages as a whole, each page's own links decide.
-KEPT, OUT, MENU = 1, 2, 4
+#: it is a menu on the host's pages as a whole, each page's own links decide; its last turn on a page may be template.
+KEPT, OUT, MENU, TAIL = 1, 2, 4, 8
 
 
 class Judge:
@@ -479,7 +486,7 @@ class Judge:
             return not most and (inside == "article" or bool(_hints(names)[0] & (REMARKS | ADVERTS)))
         if any(x[5:] in AROUND_ROLES for x in names if x.startswith("role=")):
             return True
-        if tag in HEADINGS:
+        if tag in HEADINGS or inside and tag in PROSE and not _hints(names)[0] & ADVERTS:
             return False
         titled = bool(self.tags[id(node)] & TITLES or "role=main" in self.tags[id(node)])
         section = self.tags[id(node)] & HEADINGS and self.tags[id(node)] & PROSE and self.prose(node)
@@ -488,12 +495,18 @@ class Judge:
             return False
         if tag in AROUND and not (tag == "footer" and inside == "blockquote"):
             return tag in ("nav", "aside", "head") or not (most or titled and tag == "form")
+        if inside and sure and sure <= SUBJECTS - REMARKS - {"related", "promotion"} and self.varied(node):
+            return False
         if inside and section and sure and sure <= SUBJECTS and (tag == "section" or tag == "div" and "section" in names):
             return False
         if sure:
             return not titled and (not most or bool(sure & (REMARKS | ADVERTS | {"sidebar", "cookie", "cookies", "consent", "gdpr"})))
         return bool(maybe) and not titled and not section and 4 * held <= self.total
 
+    def varied(self, node: Node) -> bool:
+        """Whether a group holds a paragraph that differs from page to page, and not by its links."""
+        return self.varies and any(c.label != "#" and (c.tag in PROSE and any(x.label == "#" and x.same is None and x.plain > x.linked and x.words >= ALIKE_WORDS for x in c.children) or self.varied(c)) for c in node.children)
+
     def prose(self, node: Node) -> bool:
         """Whether a group holds a paragraph with text."""
         key = (id(node), None)
@@ -518,21 +531,68 @@ class Judge:
         plain, linked = self.text(node, "body")
         return linked > LINKED * (plain + linked) and not self.prose(node)
 
+    def fixed(self, node: Node) -> bool:
+        """Whether all that a group or slot says is the same on all of the host's pages."""
+        if node.label == "#":
+            return self.varies and node.same is not None and len(node.seen) >= ALIKE
+        return bool(node.children) and all(map(self.fixed, node.children))
+
+    def said(self, node: Node) -> int:
+        return node.words if node.label == "#" else sum(map(self.said, node.children))
+
+    def paragraphs(self, node: Node) -> bool:
+        """Whether a group is or holds a run of paragraphs."""
+        return node.tag in PROSE and node.repeated or node.label != "#" and any(map(self.paragraphs, node.children))
+
+    def titled(self, node: Node) -> bool:
+        return not node.repeated and node.label != "#" and (node.tag == "h1" or "h1" in self.tags[id(node)])
+
+    def remarks(self, node: Node) -> bool:
+        """Whether a group is, or holds little else than, like blocks without headings, more on one page than on another."""
+        item = lambda c: c.repeated and c.tag in ("div", "article", "section") and not self.tags[id(c)] & HEADINGS and (c.optional or c.turns[0] != c.turns[1] or c.turns[0] > ALIKE)
+        if node.label == "#" or node.tag not in ("div", "section", "article") or "h1" in self.tags[id(node)]:
+            return False
+        if item(node):
+            return True
+        told = [(sum(self.text(c, "body")), item(c)) for c in node.children if c.label != "#" and c.tag not in AROUND | HEADINGS and not self.fixed(c)]
+        every = sum(t for t, _ in told)
+        return every > 0 and 4 * sum(t for t, is_item in told if is_item) >= 3 * every
+
     def keep(self, node: Node, inside: str, strict: bool | None = None) -> None:
-        """Marks a content group and what it holds. In articles and mains links tell nothing; strict: whether template goes."""
+        """Marks a content group and what it holds. In articles and mains links tell nothing; strict: whether template goes.
+
+        A text that is the same on all pages goes only if it stands apart, in
+        no paragraph, heading or list, or if it is short and nothing that varies
+        follows it, also as the last turn of a repeated group. Remarks go that follow a run of paragraphs or a title's group, with nothing but their like after them.
+        """
         if strict is None:
             varying, every = self._varying(node)
             strict = 2 * varying >= every
         node.mark = KEPT
-        for c in node.children:
-            if c.label == "#":
-                c.mark = OUT if strict and self.template(c, node) else KEPT
-            elif self.around(c, "blockquote" if node.tag == "blockquote" else inside):
+        own = "blockquote" if node.tag == "blockquote" else inside
+        groups = node.tag not in TEXTS
+        out = {id(c) for c in node.children if c.label != "#" and self.around(c, own)}
+        if self.varies and groups:
+            for k in range(len(node.children) - 1, 0, -1):
+                c = node.children[k]
+                if id(c) in out or self.fixed(c):
+                    continue
+                if not self.remarks(c) or not any(id(e) not in out and (self.paragraphs(e) or self.titled(e) and e.tag != "h1" and self.prose(e)) for e in node.children[:k]):
+                    break
+                out.add(id(c))
+        last = max((k for k, c in enumerate(node.children) if id(c) not in out and not self.fixed(c)), default=-1)
+        for k, c in enumerate(node.children):
+            apart = c.label == "#" or c.tag not in TEXTS | {"ul", "ol", "dl", "table", "figure"}
+            if id(c) in out or strict and groups and self.fixed(c) and (apart or k > last and self.said(c) <= SHORT):
                 c.mark = OUT
+            elif c.label == "#":
+                c.mark = KEPT
             else:
                 self.keep(c, inside, strict)
                 if inside == "body" and self.is_menu(c):
                     c.mark = KEPT | MENU
+                if k == last and strict and groups and self.varies and c.repeated and c.tail and c.tail[1] <= SHORT and any(len(x.seen) >= ALIKE for x in c.children):
+                    c.mark |= TAIL
 
     def _named(self, node: Node, found: list[Node]) -> list[Node]:
         for c in node.children:
@@ -579,6 +639,10 @@ class Judge:
             while True:
                 inner = [(c, self.text(c, "body")[0]) for c in node.children if c.label != "#" and not self.around(c, "")]
                 total = self.text(node, "body")[0]
+                if sum(t > 0 and self.titled(c) and c.tag != "h1" and self.prose(c) for c, t in inner) == 1:
+                    # The title's group is the article, whatever is said about it beside it.
+                    total -= sum(t for c, t in inner if self.remarks(c))
+                    inner = [(c, t) for c, t in inner if not self.remarks(c)]
                 named = [(c, t) for c, t in inner if CONTENT_NAMES.intersection(re.split(r"[.-]", c.label)) and 10 * t >= total > 0]
                 best, most = max(named if len(named) == 1 else inner, key=lambda x: x[1], default=(None, 0))
                 if best is None or most < HELD * total and len(named) != 1 or not best.children or best.tag not in ("body", "div", "section", "td", "tr", "table", "tbody", "center", "form") or best.repeated and best.tag in ("tr", "td"):
@@ -615,30 +679,36 @@ def marks(node: Node) -> list:
 
 
 def _matched(children: list[Node], told: list) -> Iterator[tuple[Node, list | None]]:
-    """A page's nodes with those of the wrapper that they are turns of: of several with one label the next that holds much the same."""
+    """A page's nodes with those of the wrapper that they are turns of: of several with one label the next that holds much the
+    same, in the wrapper's order; a repeated group goes on as long as nothing has come that follows it just once."""
     by_label: dict[str, list[int]] = {}
     for k, t in enumerate(told):
         by_label.setdefault(t[0], []).append(k)
     last: dict[str, int] = {}
+    once = [0]  # how many nodes that aren't repeated come before each
+    for t in told:
+        once.append(once[-1] + (not t[1]))
+    reached = -1
     for c in children:
         places = by_label.get(c.label) or by_label.get(c.tag)
         if not places:
             yield c, None
             continue
         best = 0
-        if len(places) > 1 and c.label != "#":
+        if len(places) > 1:
             own = {x.label for x in c.children}
 
             def fit(k: int) -> float:
                 other = {x[0] for x in told[places[k]][3]}
-                return len(own & other) / max(1, len(own | other)) if told[places[k]][2] != OUT else 0.5
+                return len(own & other) / max(1, len(own | other)) if told[places[k]][2] != OUT or c.label == "#" else 0.5
 
             now = last.get(c.label, -1)
-            ahead = [k for k in range(max(0, now + (now < 0 or not told[places[now]][1])), len(places))] or [len(places) - 1]
-            best = max(ahead, key=lambda k: (fit(k) >= 0.5, -k)) if len(ahead) > 1 else ahead[0]
-        elif len(places) > 1:
-            best = min(last.get(c.label, -1) + 1, len(places) - 1)
+            stays = now >= 0 and told[places[now]][1] and once[max(reached, places[now]) + 1] == once[places[now]]
+            ahead = [*([now] if stays else []), *(k for k in range(now + 1, len(places)) if places[k] > reached)]
+            ahead = ahead or [*range(max(0, now + (now < 0 or not told[places[now]][1])), len(places))] or [len(places) - 1]
+            best = max(ahead, key=lambda k: (fit(k) >= 0.5, -k)) if len(ahead) > 1 and c.label != "#" else ahead[0]
         last[c.label] = best
+        reached = max(reached, places[best])
         yield c, told[places[best]]
 
 
@@ -657,8 +727,10 @@ def _has_prose(node: Node) -> bool:
 
 
 def _kept(node: Node, told: list, found: set[int]) -> set[int]:
-    for c, t in _matched(node.children, told[3]):
-        if t is None or t[2] == OUT:
+    turns = list(_matched(node.children, told[3]))
+    tails = {id(t): c for c, t in turns if t is not None and t[2] & TAIL}
+    for c, t in turns:
+        if t is None or t[2] == OUT or tails.get(id(t)) is c:
             continue
         if c.label == "#":
             if t[2] & KEPT and told[2] & KEPT:
@@ -682,8 +754,8 @@ def extract(page: str, told: list | None) -> str:
     return "\n\n".join(text for slot, text in texts if id(slot) in kept)
 
 
-#: Hosts whose wrappers a task holds at a time, and parts of a host's streams that one task merges.
-HOSTS, FAN_IN = 2000, 64
+#: Hosts whose wrappers a task holds at a time, bytes of pages after which it passes them on, and parts of a host's streams that one task merges.
+HOSTS, PASSED, FAN_IN = 2000, 32 << 20, 64
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -693,13 +765,16 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(v.dump()) for v in found.values()], pa.string())], names=["host", "stream"])
 
+    held = 0
     for batch in by_bytes(batches, 1):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             node = folded(blocks(page or "")[0])
             found[host] = merge(found[host], node) if host in found else node
-        if len(found) >= HOSTS:
+        held += batch.nbytes
+        if len(found) >= HOSTS or held >= PASSED:
             yield out()
             found.clear()
+            held = 0
     yield out()
 
 

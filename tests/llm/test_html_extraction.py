@@ -181,3 +181,77 @@ def test_hosts_are_merged_in_a_tree(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"http://h.example/{k}", p, "", "") for k, p in enumerate(made)], SCHEMA).repartition(9)
     got = {r.page_id: r.text for r in wrappers.extract_pages(rows).collect()}
     assert got == {k: want.replace("{f}", FILLER).replace("{k}", f"k{k}") for k in range(12)}
+
+
+WORDS = ["river", "stone", "market", "winter", "garden", "letter", "bridge", "copper", "signal", "harvest", "morning", "village"]
+
+
+def said(k, n, start=0):
+    """n words that differ from page to page."""
+    return " ".join(WORDS[(5 * k + 7 * i * (k + 1) + start) % len(WORDS)] + str((k + 1) * (i + 1) % 89) for i in range(n))
+
+
+def host(template, pages=6):
+    """Pages of one host and their texts: template(k) gives a page's html and the blocks that are its text."""
+    made = [template(k) for k in range(pages)]
+    return [f"<html><body><nav><a>Home</a></nav>{page}<footer>Site of pages</footer></body></html>" for page, _ in made], ["\n\n".join(blocks) for _, blocks in made]
+
+
+def lead(k):
+    """A lead that all pages have stays; what stands apart and short words at the end go."""
+    same = "This lead of the column is the same on each of its pages."
+    return f"<article><h1>{said(k, 3)}</h1><p>{same}</p><p>{said(k, 30)}</p><p>{said(k, 20, 5)}</p><div>NOTICE Share this</div><p>Thanks for reading</p></article>", [said(k, 3), same, said(k, 30), said(k, 20, 5)]
+
+
+def named(k):
+    """Names drop no paragraph, nor a group whose paragraphs vary; but adverts and remarks."""
+    return (
+        f'<article><h1>{said(k, 3)}</h1><p class="related">{said(k, 20)}</p><div class="social"><p>{said(k, 20, 3)}</p></div><p>{said(k, 9, 4)}</p><p class="ad">{said(k, 5, 6)}</p>'
+        f'<div class="comments"><p>{said(k, 20, 7)}</p></div></article>',
+        [said(k, 3), said(k, 20), said(k, 20, 3), said(k, 9, 4)],
+    )
+
+
+def controls(k):
+    """Words of labels and buttons in a text outside any form stay, those of forms and of lone buttons go."""
+    a, b = said(k, 20), said(k, 20, 4)
+    return f"<article><h1>{said(k, 2)}</h1><p>{a} Set <label>X{k}</label> it <output>by{k}</output></p><p>{b}</p><form><p>Your <label>name</label></p><button>Send</button></form><div><button>Like</button></div></article>", [said(k, 2), f"{a} Set X{k} it by{k}", b]
+
+
+def voices(k):
+    """Readers' remarks under names that tell nothing: repeated blocks after the article's paragraphs, more on one page than on another."""
+    body = [said(k, 25, i) for i in range(2 + k % 2)]
+    remarks = "".join(f'<div class="v"><b>Reader {i}</b> {said(k + i, 15, 2)}</div>' for i in range(1 + k % 3))
+    return f"<article><h1>{said(k, 3)}</h1>{''.join(f'<p>{p}</p>' for p in body)}<section class=voices><h2>Voices</h2>{remarks}</section></article>", [said(k, 3), *body]
+
+
+def beside(k):
+    """A short article and long remarks beside it, neither told by its name."""
+    remarks = "".join(f'<div class="cc"><p>{said(k + i, 60, 2)}</p></div>' for i in range(8 - k % 3))
+    return f'<div class="m"><h1>{said(k, 3)}</h1><p>{said(k, 12)}</p><p>{said(k, 9, 3)}</p></div><div class="n">{remarks}</div>', [said(k, 3), said(k, 12), said(k, 9, 3)]
+
+
+def sections(k):
+    """Repeated sections with headings, blocks that stand for paragraphs, and a list at the end are the article's."""
+    parts = [(said(k + i, 2), said(k + i, 25, i)) for i in range(2 + k % 3)]
+    blocks = [said(k, 15, i) for i in range(2 + k % 2)]
+    items = [said(k, 4, i) for i in range(2 + k % 4)]
+    html_ = "".join(f"<section><h2>{h}</h2><p>{p}</p></section>" for h, p in parts) + "<div class=t>" + "".join(f"<div class=u>{b}</div>" for b in blocks) + "</div>"
+    return f"<article><h1>{said(k, 3)}</h1><p>{said(k, 9)}</p>{html_}<h2>Sources</h2><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul></article>", [said(k, 3), said(k, 9), *(x for part in parts for x in part), *blocks, "Sources", *items]
+
+
+@pytest.mark.parametrize("template", [lead, named, controls, voices, beside, sections])
+def test_hosts_of_six_pages(spark, template):
+    pages, want = host(template)
+    assert texts(spark, pages) == want
+
+
+def test_streams_are_passed_on_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    pages, _ = host(lead, 9)
+    column = [pa.array(["h"] * 9), pa.array(pages)]
+    batches = [pa.RecordBatch.from_arrays([c.slice(k, 1) for c in column], names=["host", "html"]) for k in range(9)]
+    assert len(list(wrappers._streams(iter(batches)))) == 1
+    monkeypatch.setattr(wrappers, "PASSED", 2 * len(pages[0]))
+    assert len(list(wrappers._streams(iter(batches)))) >= 4
