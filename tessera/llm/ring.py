@@ -6,9 +6,9 @@ node at or after its place. Shards hold at most their capacity: keys that
 overflow a full shard continue clockwise to the next virtual node of a shard
 that has room. Capacities add up to the number of documents, so all shards
 end up full and their counts are at most one apart. The walk is done on
-counts of virtual nodes, not on documents, in rounds of which each fills a
-shard or is the last; a hot key is ranked in lanes, and only where its rank
-crosses a shard's capacity is it split. Only DataFrame functions run.
+counts of virtual nodes, not on documents, by prefix sums along the ring; a
+hot key is ranked in lanes, and only where its rank crosses a shard's
+capacity is it split. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -40,42 +40,47 @@ def ring(spark: SparkSession, shards: int, nodes: int) -> DataFrame:
 def _routes(arcs: DataFrame, shards: int, total: int) -> DataFrame:
     """From arcs (arc, shard, n) the stretches of ranks of each arc and the shards and slots they go to.
 
-    All windows are over the ring's nodes. In a round each stretch that is
-    still on its way goes to the next virtual node of a shard with room, where
-    the nearest ones are let in first; a round that leaves some over has
-    filled a shard, so there are no more rounds than shards.
+    Shards take their own arcs' keys first, in ring order, up to their
+    capacity; what room is left to a shard goes to its virtual nodes that
+    are asked for some, in ring order, and the rest to all evenly. Keys over capacity continue clockwise, and a place that is free takes
+    those that came last: so most stay near, and what changes somewhere on the
+    ring changes little elsewhere. From where none are under way, the number of
+    those under way goes up and down along the ring; a key gets the next place
+    at which that number falls below what it was when the key set out. All
+    windows are over the ring's nodes.
     """
     size, more = divmod(total, shards)
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    nodes = arcs.select("arc", "shard")
-    way = arcs.where("n > 0").select("shard", "arc", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), F.col("arc").alias("at"), F.lit(0).alias("far"))
-    room = arcs.groupBy("shard").agg((F.lit(size) + (F.first("shard") < more).cast("long")).cast("long").alias("room"))
-    taken, rounds = None, []
-    for _ in range(shards + 1):
-        # Shards without arrivals have a row with no stretch. One partition each: no shuffles.
-        arrived = way.unionByName(room.select("shard", none("int", "arc"), none("long", "lo"), none("long", "hi"), none("int", "at"), none("int", "far"))).coalesce(1)
-        arrived = arrived.join(F.broadcast(room), "shard")
-        before = Window.partitionBy("shard").orderBy("far", "at", "arc", "lo").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(before), F.lit(0))
-        placed = arrived.withColumn("fits", F.greatest(F.lit(0), F.least(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), F.col("room") - ahead)))
-        placed = materialize(placed)
-        rounds.append(placed)
-        done = placed.where("fits > 0").select("arc", "lo", (F.col("lo") + F.col("fits")).alias("hi"), "shard")
-        taken = done if taken is None else taken.union(done)
-        if placed.where("hi - lo > fits").isEmpty():
-            break
-        rest = placed.where("hi - lo > fits").select("arc", (F.col("lo") + F.col("fits")).alias("lo"), "hi", "at")
-        room = placed.coalesce(1).groupBy("shard").agg((F.first("room") - F.sum("fits")).alias("room"))
-        # The next open node after each, clockwise: the first open one ahead, or on the whole ring.
-        open_ = F.when(F.col("room") > 0, F.struct("arc", "shard"))
-        ahead_ = F.first(open_, ignorenulls=True).over(Window.orderBy("arc").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        first = F.first(open_, ignorenulls=True).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        nexts = nodes.join(F.broadcast(room), "shard").select(F.col("arc").alias("at"), F.coalesce(ahead_, first).alias("open"), F.count("*").over(Window.partitionBy()).alias("ring"))
-        moved = rest.join(F.broadcast(nexts), "at")
-        way = moved.select("open.shard", "arc", "lo", "hi", F.col("open.arc").alias("at"), F.pmod(F.col("open.arc") - F.col("at"), "ring").cast("int").alias("far"))
+    own = Window.partitionBy("shard").orderBy("arc")
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shard = Window.partitionBy("shard")
+    held = arcs.coalesce(1).withColumn("most", F.lit(size) + (F.col("shard") < more).cast("long")).withColumn("kept", F.greatest(F.lit(0), F.least("n", F.col("most") - ahead("n", own))))
+    held = held.withColumn("over", F.col("n") - F.col("kept")).withColumn("free", F.col("most") - F.sum("kept").over(shard))
+    held = held.withColumn("nodes", F.count("*").over(shard)).withColumn("turn", F.row_number().over(own) - 1)
+    # A node's own demand is what comes from the full nodes right before it, back to the last one with room.
+    ring_, open_ = Window.partitionBy(), (F.col("free") > 0).cast("int")
+    gap = F.pmod(F.coalesce(F.sum(open_).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.greatest(F.lit(1), F.sum(open_).over(ring_)))
+    held = held.withColumn("gap", gap).withColumn("asked", F.when(F.col("free") > 0, F.sum("over").over(Window.partitionBy("gap"))).otherwise(0))
+    held = held.withColumn("first", F.greatest(F.lit(0), F.least("asked", F.col("free") - ahead("asked", own)))).withColumn("rest", F.col("free") - F.sum("first").over(shard))
+    held = held.withColumn("room", F.col("first") + F.floor(F.col("rest") / F.col("nodes")) + (F.col("turn") < F.col("rest") % F.col("nodes")).cast("long"))
+    # How many are under way after a node, if none were before the first: least where the line begins.
+    step = F.col("over") - F.col("room")
+    held = held.withColumn("under_way", F.sum(step).over(Window.orderBy("arc")))
+    held = held.withColumn("begin", F.min_by("arc", F.struct("under_way", "arc")).over(ring_)).withColumn("at", F.pmod(F.col("arc") - F.col("begin") - 1, F.count("*").over(ring_)))
+    held = materialize(held.withColumn("after", F.sum(step).over(Window.orderBy("at"))).select("arc", "shard", "kept", "over", "room", "at", F.least("after", F.col("after") - step).alias("low"), F.greatest("after", F.col("after") - step).alias("high")))
+    # A node either sends keys on or has room. Between two of the numbers that are met along the line, keys and places take turns.
+    met = held.select(F.explode(F.array("low", "high")).alias("p")).distinct().coalesce(1)
+    met = materialize(met.select("p", (F.row_number().over(Window.orderBy("p")) - 1).alias("band"), F.lead("p").over(Window.orderBy("p")).alias("end")))
+    band = lambda name, end: F.broadcast(met.select(F.col("p").alias(end), F.col("band").alias(name)))
+    turns = held.where("low < high").join(band("first", "low"), "low").join(band("last", "high"), "high")
+    turns = turns.select("arc", "shard", "kept", "room", "at", "low", F.explode(F.sequence("first", F.col("last") - 1)).alias("band"))
+    sent = F.lag(F.struct("arc", "kept", "low")).over(Window.partitionBy("band").orderBy("at"))
+    moved = turns.withColumn("sent", sent).where("room > 0").join(F.broadcast(met), "band")
+    since = F.col("sent.kept") - F.col("sent.low")
+    moved = moved.groupBy("sent.arc", "shard", "at").agg(F.min(since + F.col("p")).alias("lo"), F.max(since + F.col("end")).alias("hi")).select("arc", "lo", "hi", "shard")
+    taken = held.where("kept > 0").select("arc", F.lit(0).cast("long").alias("lo"), F.col("kept").alias("hi"), "shard").unionByName(moved)
     slots = Window.partitionBy("shard").orderBy("arc", "lo").rowsBetween(Window.unboundedPreceding, -1)
     routes = materialize(taken.coalesce(1).withColumn("first_slot", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(slots), F.lit(0))))
-    release(*rounds)
+    release(held, met)
     return routes
 
 
@@ -122,7 +127,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, nodes: int = 64, lane_rows:
     routes = _routes(loads.coalesce(1), shards, rows)
     within = Window.partitionBy("arc", "lane").orderBy("key", "doc_id", "text_crc32", "size")
     ranked = found.withColumn("place", F.row_number().over(within) - 1).join(starts, ["arc", "lane"]).withColumn("rank", F.col("ahead") + F.col("place"))
-    # At most one route for each virtual node and round, and one for each shard.
+    # At most three routes for each virtual node.
     sent = ranked.join(F.broadcast(routes), "arc").where("rank >= lo and rank < hi")
     return sent.select(
         "doc_id",
