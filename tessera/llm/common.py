@@ -2,74 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import logging
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, release, scratch
+
+__all__ = ["ascii_lower", "by_bytes", "column_buffer", "materialize", "might_be_in", "partitions", "release", "scratch", "small_batches"]
+
 #: ASCII white space, as the contracts write it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Folders of intermediate tables, by application.
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder of intermediate tables, which the driver and all executors share.
-
-    It lies in the folder that a cluster names in spark.checkpoint.dir; only
-    in local mode, where that is unset, in a temporary one. It is removed
-    when Python ends, since results may be read until then.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _OWN[app] = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/tessera-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _OWN[app])
-    return _OWN[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder by Spark's file systems, so wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
-    except Exception as e:  # what is left over costs only room
-        logging.getLogger(__name__).warning("can't remove %s: %s", path, e)
-
-
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    This cuts lineage in a way that outlives executors, and later readers
-    still get column pruning. release deletes it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.written_to = path
-    return made
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes what materialize wrote for these tables, once nothing reads them any more."""
-    for table in tables:
-        _remove(table.sparkSession, table.written_to)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
