@@ -20,6 +20,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +56,8 @@ def _binary(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in rows], pa.binary())
 
 
-def _sketches(sketch: Sketch, ngram: int, rows: int):
+def _sketches(sketch: Sketch, ngram: int):
     a, b = permutations(sketch.values, sketch.seed)
-    fold = permutations(rows, sketch.seed + 1)[0]
-    bands = sketch.values // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
@@ -72,25 +71,28 @@ def _sketches(sketch: Sketch, ngram: int, rows: int):
                 sums[0, at] = np.add.reduceat(mix(hashes + np.uint64(1)), bounds[at])
                 sums[1, at] = np.add.reduceat(mix(others + np.uint64(1)), bounds[at])
             values = sketch.encode(minima(hashes, bounds, a, b))
-            parts = values[:, : bands * rows].reshape(len(n), bands, rows).astype(np.uint64)
-            keys = mix((parts * fold).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(n),
-                    pa.array(sums[0].view(np.int64)),
-                    pa.array(sums[1].view(np.int64)),
-                    pa.ListArray.from_arrays(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
-                    _binary(list(values)),
-                ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
-            )
+            columns = [batch.column(0).cast(pa.int64()), pa.array(n), *(pa.array(x.view(np.int64)) for x in sums), _binary(list(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
 
     return run
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+def _bands(sketch: Sketch, rows: int):
+    """(id, sketch) to (id, band, key): bands of values as 64 bits, made anew where they are needed, since they take as much room as the sketch."""
+    fold = permutations(rows, sketch.seed + 1)[0]
+    bands = sketch.values // rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 12):
+                ids, raw = (batch.column(k).slice(lo, 1 << 12) for k in range(2))
+                values = np.frombuffer(b"".join(raw.to_pylist()), np.uint16).reshape(-1, sketch.values)
+                parts = values[:, : bands * rows].reshape(len(values), bands, rows).astype(np.uint64)
+                keys = mix((parts * fold).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                columns = [pa.array(np.repeat(ids.to_numpy(), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(values))), pa.array(keys.view(np.int64).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "band", "key"])
+
+    return run
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -98,13 +100,33 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (x.shape[1] + y.shape[1] - both)
 
 
-def _full_sets(ngram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1):
-            sets = wide_sets(*column_buffer(batch.column(1)), ngram)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), _binary(sets)], names=["id", "shingles"])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: a sixth of the room of their sets, which are made anew where they are compared."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in by_bytes(batches, 1):
+        data, offsets = column_buffer(batch.column(1))
+        raw = data.tobytes()
+        rows = [pack.compress(raw[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.binary())], names=["id", "text"])
 
-    return run
+
+def _sets(packed: list[bytes], ngram: int) -> list[np.ndarray]:
+    """Full sets of compressed texts, some bytes of text at a time."""
+    unpack, out, held, size = zstandard.ZstdDecompressor(), [], [], 0
+
+    def flush() -> None:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in held], dtype=np.int64)))
+        out.extend(wide_sets(np.frombuffer(b"".join(held), np.uint8), offsets, ngram))
+        held.clear()
+
+    for row in packed:
+        held.append(unpack.decompress(row))
+        size += len(held[-1])
+        if size >= 1 << 20:
+            flush()
+            size = 0
+    flush()
+    return out
 
 
 def _likely(sketch: Sketch, percent: int):
@@ -124,14 +146,14 @@ def _likely(sketch: Sketch, percent: int):
     return run
 
 
-def _confirmed(percent: int):
+def _confirmed(ngram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(_linked(_wide(p), _wide(q), percent))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                sides = (_sets(batch.column(k).to_pylist(), ngram) for k in (2, 3))
+                mask = pa.array([_linked(p, q, percent) for p, q in zip(*sides, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
@@ -203,14 +225,14 @@ def _possible(sketch: Sketch, rows: int, percent: int):
     return run
 
 
-def _joined(sketch: Sketch, rows: int, percent: int):
+def _joined(sketch: Sketch, rows: int, ngram: int, percent: int):
     """Links between members of different components, confirmed on their full sets; at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
         for group in _groups(batches):
             cell = _Cell(group, sketch, rows, percent)
-            sets = [[_wide(r[10]) for r in s] for s in cell.sides]
+            sets = [_sets([r[10] for r in s], ngram) for s in cell.sides]
             up: dict[int, int] = {}
 
             def top(c: int, up=up) -> int:
@@ -246,16 +268,21 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     """
     rows = band_rows(percent / 100, sketch.values)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
-    sketched = materialize(texts.mapInArrow(_sketches(sketch, ngram, rows), schema))
-
-    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    classes = materialize(classes)
-    lone = sketched.where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id"), "h1", "h2", "n_shingles"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi")
-    banded = materialize(lone.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, "key"))
-    release(banded)
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"
+    sketched = materialize(texts.mapInArrow(_sketches(sketch, ngram), schema))
+
+    # One document of each class of equal sets; only those that may be in a class of several need a join.
+    whole = ["h1", "h2", "n_shingles"]
+    classes = materialize(sketched.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    some = might_be_in(sketched.where("n_shingles > 0 and doc_id is not null"), "h1", classes.where("n > 1").select("h1"))
+    first = some.where("__maybe").join(classes.select(F.col("id").alias("doc_id"), *whole), ["doc_id", *whole], "left_semi")
+    lone = some.where("not __maybe").select("doc_id", "sketch").unionByName(first.select("doc_id", "sketch"))
+    lone = materialize(lone.select(F.col("doc_id").alias("id"), "sketch"))
+    # Only keys that several documents may have are shuffled with their documents.
+    banded = lone.mapInArrow(_bands(sketch, rows), "id long, band int, key long")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = materialize(might_be_in(banded, "key", shared.select("key")).where("__maybe").drop("__maybe").join(shared, "key"))
+    release(lone, shared)
     central = members.groupBy("id").agg(F.sum("size").alias("weight"))
     weighed, plain = materialize(members.join(central, "id").select("key", "band", "id", "weight")), members
     release(plain)
@@ -263,7 +290,7 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
 
     ids = materialize(members.select("id").distinct())
     likely = might_be_in(texts.where("doc_id is not null"), "doc_id", ids).where("__maybe").drop("__maybe")
-    full = materialize(likely.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets(ngram), "id long, shingles binary"))
+    full = materialize(likely.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_packed, "id long, text binary"))
     brief = might_be_in(sketched.select("doc_id", "n_shingles", "sketch"), "doc_id", ids).where("__maybe").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     brief = materialize(brief)
 
@@ -273,8 +300,8 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = pairs.join(side(brief, "a", "n", "sketch"), "a").join(side(brief, "b", "n", "sketch"), "b")
         near = near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_likely(sketch, percent), "a long, b long")
-        sure = near.join(side(full, "a", "shingles"), "a").join(side(full, "b", "shingles"), "b")
-        return sure.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
+        sure = near.join(side(full, "a", "text"), "a").join(side(full, "b", "text"), "b")
+        return sure.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(ngram, percent), "a long, b long").distinct()
 
     rank = F.struct("weight", (-F.col("id")).alias("least"))
     pivots = members.groupBy("key").agg(F.max_by("id", rank).alias("pivot"))
@@ -298,16 +325,16 @@ def near_components(docs: DataFrame, sketch: Sketch, ngram: int = 5, percent: in
         columns = [c.split()[0] for c in MEMBER.split(", ")]
         sketches = left.union(right).join(brief, "id").select(*columns, "n", "sketch", "main").repartition(*cells).sortWithinPartitions(*cells)
         possible = materialize(sketches.mapInArrow(_possible(sketch, rows, percent), MEMBER))
-        whole = possible.join(brief, "id").join(full, "id").join(unsettled.select("key", "main"), "key")
-        whole = whole.select(*columns, "n", "sketch", "main", "shingles").repartition(*cells).sortWithinPartitions(*cells)
-        more = materialize(whole.mapInArrow(_joined(sketch, rows, percent), "a long, b long"))
+        told = possible.join(brief, "id").join(full, "id").join(unsettled.select("key", "main"), "key")
+        told = told.select(*columns, "n", "sketch", "main", "text").repartition(*cells).sortWithinPartitions(*cells)
+        more = materialize(told.mapInArrow(_joined(sketch, rows, ngram, percent), "a long, b long"))
         if not more.isEmpty():
             before, component = component, connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
             release(before)
         release(possible, more)
     release(members, ids, full, brief, now)
 
-    labelled = classes.join(component, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")
+    labelled = classes.join(component, "id", "left").select(*whole, F.coalesce("component", "id").alias("component_id"))
+    joined = sketched.select("doc_id", "n_shingles", "h1", "h2").join(labelled, whole, "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", known.alias("component_id"), F.coalesce(F.col("doc_id") == known, F.lit(True)).alias("kept"))

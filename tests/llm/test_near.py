@@ -179,6 +179,13 @@ def test_fingerprints(spark, docs):
         if a | b:
             off.append(abs(r.near_edited - len(a & b) / len(a | b)))
     assert np.mean(off) < 0.05 and max(off) < 0.25
+    assert all(r.similar_id == i for i, r in got.items())
+
+
+def test_the_query_tells_what_documents_are_similar_to(spark, docs):
+    got = {r.doc_id: r.similar_id for r in minhash.query(spark, "/root/testdata/sf0.001").collect()}
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5, 80)
+    assert got == {r[0]: r[2] for r in want} and any(i != s for i, s in got.items())
 
 
 def test_fingerprints_of_odd_rows(spark, odd, nothing):
