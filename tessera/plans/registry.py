@@ -7,12 +7,15 @@ in SQL on its own, with the fixture views inlined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commands, graph, index, listing, load, review, search
 from ..sources import backup
+from ..sources.shared import scratch
+from ..sources.store import Delta, Store
 from .fixtures import CHANGES, EMBEDDINGS, KEYWORDS, RELATIONS, UNITS, USAGE, Fixtures, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +229,36 @@ def import_keywords(fx):
     return backup.imported_keywords(_imported(fx))
 
 
+def _edited_store(fx):
+    """A store of units after two commits: approvals and deletions for good, then edits of records with an open update."""
+    store = Store(fx.spark, f"{scratch(fx.spark)}/store-{uuid4().hex}")
+    store.write_all({"units": fx.units})
+    approved = fx.units.where("status = 'pending'").withColumns({"status": F.lit("active"), "revision": F.col("revision") + 1})
+    store.retry(lambda seen: {"units": Delta(approved, fx.units.where("status = 'trashed' and category = 'en'").select("uuid"))})
+    open_ = fx.changes.where("action = 'update'").select(F.col("memory_uuid").alias("uuid"))
+    store.retry(lambda seen: {"units": Delta(seen.read("units").join(open_, "uuid", "left_semi").withColumns({"content": F.lit("edited"), "revision": F.col("revision") + 1}))})
+    return store
+
+
+APPROVED = """approved AS (SELECT uuid, category, title_norm, content, CASE status WHEN 'pending' THEN 'active' ELSE status END AS status, revision + CASE status WHEN 'pending' THEN 1 ELSE 0 END AS revision
+  FROM memory_units WHERE NOT (status = 'trashed' AND category = 'en'))"""
+
+
+@query(
+    """SELECT uuid, category, title_norm, CASE WHEN e THEN 'edited' ELSE content END AS content, status, revision + CASE WHEN e THEN 1 ELSE 0 END AS revision
+       FROM (SELECT *, uuid IN (SELECT memory_uuid FROM memory_changes WHERE action = 'update') AS e FROM approved)""",
+    UNITS, CHANGES, APPROVED,
+)
+def store_merge_on_read(fx):
+    return _edited_store(fx).read("units").select("uuid", "category", "title_norm", "content", "status", "revision")
+
+
+@query("SELECT * FROM approved", UNITS, APPROVED)
+def store_as_of(fx):
+    """The same store as of its second revision, after more were written."""
+    return _edited_store(fx).read("units", 2).select("uuid", "category", "title_norm", "content", "status", "revision")
+
+
 # Derived projections
 
 INDEX = """search_index AS (SELECT u.uuid AS memory_uuid, u.status, title_norm AS title_text, coalesce(summary, '') AS summary_text, coalesce(k.words, '') AS keywords_text,
@@ -311,6 +344,34 @@ def search_indexed(fx):
     return _results(search.indexed(built, index.gram_postings(built), search.request({"query": QUERY})))
 
 
+def _kept(fx):
+    """The index, its postings and their numbers as a store keeps them."""
+    store = Store(fx.spark, f"{scratch(fx.spark)}/store-{uuid4().hex}")
+    built = _index(fx)
+    postings = index.gram_postings(built)
+    store.write_all({"search_index": built, "postings": postings, "grams": postings.groupBy("gram").agg(F.count("*").alias("n"))})
+    now = store.snapshot()
+    return now.read("search_index"), now.read("postings"), now.read("grams")
+
+
+@query("SELECT * FROM literal", UNITS, KEYWORDS, INDEX, _literal_sql(("title", "summary", "keywords", "content", "recall_when")))
+def search_kept(fx):
+    built, postings, grams = _kept(fx)
+    return _results(search.indexed(built, postings, search.request({"query": QUERY}), grams=grams))
+
+
+@query(
+    """SELECT memory_uuid, title_text, status, CAST(NULL AS VARCHAR) AS content_preview, '' AS matched_fields, CAST(0 AS DOUBLE) AS score FROM search_index
+       WHERE status <> 'trashed' AND (contains(lower(concat_ws(' ', keywords_text, recall_when_text)), 'src7') OR contains(lower(concat_ws(' ', keywords_text, recall_when_text)), 'polished steel'))
+         AND NOT contains(lower(concat_ws(' ', keywords_text, recall_when_text)), 'brass') ORDER BY title_text, memory_uuid LIMIT 8""",
+    UNITS, KEYWORDS, INDEX,
+)
+def search_kept_terms(fx):
+    built, postings, grams = _kept(fx)
+    wanted = search.request({"terms": {"include": ["src7", "Polished Steel"], "exclude": ["brass"]}, "filters": ["keywords", "recall_when"]})
+    return _results(search.indexed(built, postings, wanted, grams=grams))
+
+
 @query("SELECT * FROM literal", UNITS, KEYWORDS, INDEX, _literal_sql(("title", "summary", "recall_when")))
 def search_fields(fx):
     return _results(search.literal(_index(fx), search.Search(query=QUERY, fields=("title", "summary", "recall_when"))))
@@ -471,6 +532,21 @@ def relation_patch(fx):
     return graph.patch_relations(fx.relations, patches)
 
 
+@query(
+    """SELECT from_memory_uuid, to_memory_uuid, upper(relation_type) AS label, uuid AS relation_uuid, weight, note, created_at FROM memory_relations
+       WHERE coalesce(weight, 0) <= 80 AND from_memory_uuid IN (FROM live) AND to_memory_uuid IN (FROM live)""",
+    UNITS, RELATIONS, "live AS (SELECT uuid FROM memory_units WHERE CASE status WHEN 'pending' THEN 'active' ELSE CASE WHEN category = 'es' THEN 'trashed' ELSE status END END = 'active')",
+)
+def graph_refresh(fx):
+    """The stored graph's edges after approvals, deletions of a category's records and of heavy relations, from what these touch."""
+    status = F.when(F.col("status") == "pending", "active").when((F.col("category") == "es"), "trashed").otherwise(F.col("status"))
+    units, relations = fx.units.withColumn("status", status), fx.relations.where(F.coalesce("weight", F.lit(0)) <= 80)
+    stored = graph.edges(fx.units, fx.relations)
+    touched = fx.units.where("status = 'pending' or category = 'es'").select("uuid")
+    _, (fresh, gone) = graph.refresh(units, relations, stored, touched, fx.relations.where("weight > 80").select("uuid"))
+    return stored.join(gone, "relation_uuid", "left_anti").select(*fresh.columns).union(fresh)
+
+
 TWICE = """twice AS (SELECT uuid, from_memory_uuid, to_memory_uuid, relation_type FROM memory_relations
   UNION ALL SELECT uuid + 1000000000, from_memory_uuid, to_memory_uuid, 'applies_to' FROM memory_relations WHERE weight < 30 AND relation_type <> 'applies_to')"""
 
