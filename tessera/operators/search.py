@@ -222,13 +222,13 @@ def vector_fallback(index: DataFrame, embeddings: DataFrame, search: Search, vec
 def hybrid(index: DataFrame, embeddings: DataFrame, search: Search, vector: Sequence[float], model: str, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Literal results, or if there are none those by vector, with the strategy that found them.
 
-    The literal ones are limit rows at most; vectors are read only if there are none.
+    Vectors are joined with one row that is there only if nothing matches
+    literally; if it isn't, adaptive execution leaves their scan out.
     """
-    first = literal(index, search)
-    rows = first.collect()
-    if rows:
-        return index.sparkSession.createDataFrame(rows, first.schema).withColumn("strategy", F.lit("literal"))
-    return vector_fallback(index, embeddings, search, vector, model, max_distance).withColumn("strategy", F.lit("vector"))
+    some = literal(index, search, limit=False).limit(1).agg(F.count("*").alias("some"))
+    asked = embeddings.crossJoin(F.broadcast(some.where("some = 0"))).drop("some")  # one row or none
+    near = vector_fallback(index, asked, search, vector, model, max_distance)
+    return literal(index, search).withColumn("strategy", F.lit("literal")).union(near.withColumn("strategy", F.lit("vector")))
 
 
 def rerank_merge(candidates: DataFrame, ranked: DataFrame, least: float = LEAST_RERANK) -> DataFrame:
