@@ -16,6 +16,8 @@ from ..sources.providers import ProviderError
 
 #: Results at most, distance up to which a vector counts as related, score under which a reranked result goes.
 LIMIT, MAX_DISTANCE, LEAST_RERANK = 8, 0.55, 0.1
+#: Grams of a word that are looked for, and records that have them, up to which these are looked up one by one.
+PROBED, LOOKED_UP = 3, 200
 
 
 class SearchError(ValueError):
@@ -162,13 +164,13 @@ def _inner(grams: Sequence[str]) -> set[str]:
     return {g for g in grams if " " not in g}
 
 
-def _wanted(search: Search, session, known: Callable[[list[str]], dict[str, int]]) -> tuple[list[str], list[str]] | None:
-    """Grams of which a record that matches has one: of words that it holds, and of a field that is like the query.
+def _wanted(search: Search, session, known: Callable[[list[str]], dict[str, int]]) -> tuple[list[list[str]], list[str]] | None:
+    """Sets of grams, of one of which a record that matches has all, and grams of which it may have one instead.
 
     known tells in how many fields grams are. Of a word that must be held the
-    rarest inner gram will do. A field that is like the query has a share of
-    MATCH of its grams at least, so it has one of the rarest ones that
-    remain when one gram less than that share is left out. None if some word has no inner grams.
+    PROBED rarest inner grams will do. A field that is like the query has a
+    share of MATCH of its grams at least, so it has one of the rarest ones
+    that remain when one gram less than that share is left out. None if some word has no inner grams.
     """
     texts = [*search.query.split(), *search.any, *search.all]
     found = _grams(session, search.query, *texts)
@@ -179,7 +181,7 @@ def _wanted(search: Search, session, known: Callable[[list[str]], dict[str, int]
         return None
     n = known(sorted({*similar, *(g for gs in of_texts for g in gs)}))
     rare = lambda gs: sorted(gs, key=lambda g: (n.get(g, 0), g))
-    held = [rare(gs)[0] for gs in optional] if optional else [rare({g for gs in must for g in gs})[0]]
+    held = [rare(gs)[:PROBED] for gs in optional] if optional else [rare({g for gs in must for g in gs})[:PROBED]]
     least = max(1, math.ceil(MATCH * len(similar) - 1e-9))
     return held, rare(similar)[: len(similar) - least + 1] if search.query else []
 
@@ -187,8 +189,9 @@ def _wanted(search: Search, session, known: Callable[[list[str]], dict[str, int]
 def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool = True, grams: DataFrame | None = None) -> DataFrame:
     """literal by the postings of a few of the query's or terms' grams (index.gram_postings): the same rows, without a pass over all texts.
 
-    Only records with one of these grams are read, and held against the
-    search like any others. grams (gram, n), if given, tells how frequent grams
+    Only records with these grams are held against the search, like any
+    others; if they are few (LOOKED_UP at most), they are looked up in the
+    index, else joined. grams (gram, n), if given, tells how frequent grams
     were when postings were stored; whatever it says, the result is the same.
     Words without inner grams, and excluded terms alone, take the one pass.
     """
@@ -201,9 +204,26 @@ def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool =
         return literal(index, search, limit)
     held, similar = wanted
     most = int(len(_grams(index.sparkSession, search.query)[0]) / MATCH + 1e-9) if similar else 0
-    may = F.col("gram").isin(held) | (F.col("gram").isin(similar) & (F.col("size") <= most))
-    found = postings.where(F.col("gram").isin([*held, *similar]) & F.col("field").isin(*search.fields) & may).select("memory_uuid").distinct()
-    return literal(index.join(found, "memory_uuid", "left_semi"), search, limit)
+    read = sorted({g for gs in [*held, similar] for g in gs})
+    like = F.max(F.col("gram").isin(similar) & (F.col("size") <= most)) if similar else F.lit(False)
+    met = postings.where(F.col("gram").isin(read) & F.col("field").isin(*search.fields)).groupBy("memory_uuid").agg(F.collect_set("gram").alias("met"), like.alias("may"))
+    may = F.col("may")
+    for gs in held:
+        may = may | (F.size(F.array_intersect("met", F.array(*map(F.lit, gs)))) == len(gs))
+    found = met.where(may).select("memory_uuid")
+    few = [r["memory_uuid"] for r in found.limit(LOOKED_UP + 1).collect()]
+    if len(few) > LOOKED_UP:
+        return literal(index.join(found, "memory_uuid", "left_semi"), search, limit)
+    return literal(index.where(_one_of("memory_uuid", few)), search, limit)
+
+
+def _one_of(column: str, values: list) -> Column:
+    """Equality with one of few values, as a balanced tree of ORs: a scan skips the row groups that hold none of them,
+    while of a long IN it only takes the least and the greatest value."""
+    if len(values) <= 1:
+        return F.col(column) == values[0] if values else F.lit(False)
+    half = len(values) // 2
+    return _one_of(column, values[:half]) | _one_of(column, values[half:])
 
 
 def vector_fallback(index: DataFrame, embeddings: DataFrame, search: Search, vector: Sequence[float], model: str, max_distance: float = MAX_DISTANCE) -> DataFrame:

@@ -107,6 +107,7 @@ def test_a_search_reads_the_row_groups_of_its_grams(spark, tmp_path):
     """Kept postings are sorted by gram, so a search for a rare word reads a small part of them, and finds what a full pass finds."""
     fx = Fixtures(spark, "/root/testdata/sf0.01")
     store, built = Store(spark, str(tmp_path / "s")), index.build_search_index(fx.units, fx.keywords)
+    built = built.withColumn("content_text", F.when(F.col("memory_uuid") == 7, F.concat("content_text", F.lit(" zyzzyva"))).otherwise(F.col("content_text")))
     postings = index.gram_postings(built)
     before = spark.conf.get("parquet.block.size", None)
     spark.conf.set("parquet.block.size", str(64 << 10))
@@ -120,6 +121,8 @@ def test_a_search_reads_the_row_groups_of_its_grams(spark, tmp_path):
     total = kept.count()
     rare = [r.gram for r in grams.where("n < 30").orderBy("gram").limit(3).collect()]
     assert scanned(kept.where(F.col("gram").isin(rare)).select("memory_uuid")) < total / 10
+    one = search.indexed(stored, kept, search.request({"terms": {"include": ["zyzzyva"], "exclude": []}, "filters": ["content"]}), grams=grams)
+    assert [r.memory_uuid for r in one.collect()] == [7] and scanned(one) <= 100
     for request in ({"query": "worthless license"}, {"query": "ea"}, {"query": "the"}, {"query": "brand#12 zzzz"}, {"terms": {"include": ["src1", "steel"], "exclude": ["license"]}, "filters": ["keywords"]}, {"terms": {"include": [], "exclude": ["e"]}, "filters": ["title"]}):
         wanted = search.request(request)
         want = rows(search.literal(built, wanted, limit=False).select("memory_uuid", "matched_fields", F.round("score", 9)))
