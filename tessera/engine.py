@@ -229,6 +229,14 @@ class Engine:
             out["relations"] = Delta(gone=self._rows("uuid string", [{"uuid": r["uuid"]} for r in view.touching(uuid).select("uuid").collect()]))
         return out
 
+    def _alike(self, view: View, unit: dict) -> DataFrame:
+        """The few records that bear one of a record's texts that may be borne once: a scan with these texts pushed down."""
+        same = F.lit(False)
+        for f in commands.UNIQUE:
+            if unit.get(f) is not None:
+                same = same | (F.col(f) == unit[f])
+        return view.units.where(same)
+
     def _opened(self, now: datetime, record: Record, uuid: str, action: str, before: str | None, after: str) -> Delta:
         """The record's open change: an earlier one keeps its action and state before."""
         fresh = self._row(schemas.CHANGES, memory_uuid=uuid, action=action, before_state=before, after_state=after, created_at=now, updated_at=now)
@@ -247,9 +255,10 @@ class Engine:
         if code := errors[0]["error_code"]:
             raise EditError(code)
         unit = units[0].asDict()
-        sent = self._row("command_id string, new_title_norm string, new_content string, new_summary string", command_id="1", **{f"new_{f}": unit[f] for f in ("title_norm", "content", "summary")})
-        if field := commands.duplicates(sent, view.units).first()["duplicate_field"]:
-            raise EditError(f"DUPLICATE_{field.upper()}")
+        if alike := self._alike(view, unit).collect():
+            sent = self._row("command_id string, new_title_norm string, new_content string, new_summary string", command_id="1", **{f"new_{f}": unit[f] for f in commands.UNIQUE})
+            if field := commands.duplicates(sent, self._rows("units", [r.asDict() for r in alike])).first()["duplicate_field"]:
+                raise EditError(f"DUPLICATE_{field.upper()}")
         uuid = unit["uuid"]
         held = self._rows("keywords", [{"memory_uuid": uuid, "keyword_norm": w["keyword_norm"], "weight": None} for w in words])
         record = Record(self._rows("units", [{k: unit[k] for k in unit if k != "command_id"}]), held, self._rows("relations", []), self._rows("changes", []), unit, None, [])
@@ -277,14 +286,11 @@ class Engine:
             weights = {} if whole else {w["keyword_norm"]: w["weight"] for w in record.words}
             after.keywords = self._rows("keywords", [{"memory_uuid": uuid, "keyword_norm": w, "weight": weights.get(w)} for w in row["keywords"]])
             changes["keywords"] = Delta(after.keywords, self._row("memory_uuid string", memory_uuid=uuid))
-        checks = [after.state()]
-        if {"title_norm", "content", "summary"}.intersection(result.columns):
-            sent = {f"new_{f}": unit[f] for f in ("title_norm", "content", "summary")}
-            asked = self._row("command_id string, uuid string, new_title_norm string, new_content string, new_summary string", command_id="1", uuid=uuid, **sent)
-            checks.append(commands.duplicates(asked, view.units, update=True))
-        new, *found = gather(*checks)
-        if found and (field := found[0][0]["duplicate_field"]):
-            raise EditError(f"DUPLICATE_{field.upper()}")
+        new, alike = gather(after.state(), self._alike(view, unit if {"title_norm", "content", "summary"}.intersection(result.columns) else {}))
+        if any(r["uuid"] != uuid for r in alike):
+            asked = self._row("command_id string, uuid string, new_title_norm string, new_content string, new_summary string", command_id="1", uuid=uuid, **{f"new_{f}": unit[f] for f in commands.UNIQUE})
+            if field := commands.duplicates(asked, self._rows("units", [r.asDict() for r in alike]), update=True).first()["duplicate_field"]:
+                raise EditError(f"DUPLICATE_{field.upper()}")
         changes["changes"] = self._opened(now, record, uuid, "update", old[0]["state"], new[0]["state"])
         self._commit(view, now, whole or unit["status"] == "active", changes, after.units, after.keywords)
 

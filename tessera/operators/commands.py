@@ -15,6 +15,8 @@ from ..schemas import CATEGORIES
 from .listing import keyword_lists
 
 FIELDS = ("title_norm", "category", "content", "summary", "recall_when")
+#: Texts that no two records may share.
+UNIQUE = ("title_norm", "content", "summary")
 
 
 def duplicate_commands(commands: DataFrame) -> DataFrame:
