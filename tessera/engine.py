@@ -23,7 +23,7 @@ from . import schemas
 from .functions.text import normalize_keyword
 from .operators import commands, graph, index, listing, review, search
 from .sources import backup
-from .sources.store import ConflictError, Delta, Snapshot, Store, side_by_side
+from .sources.store import ConflictError, Delta, Derived, Snapshot, Store, side_by_side
 from .streaming import embedding
 
 #: Rows that go with a record: table and the column that names it. Relations go by their own keys.
@@ -195,8 +195,7 @@ class Engine:
         """The search index and its postings of all records, for a store whose tables were loaded as a whole."""
         v = self.view()
         built = index.build_search_index(v.units, v.keywords)
-        postings = index.gram_postings(built)
-        self.store.commit(v.snapshot, {"search_index": built, "postings": postings, "grams": postings.groupBy("gram").agg(F.count("*").alias("n"))})
+        self.store.commit(v.snapshot, {"search_index": built, "postings": index.gram_postings(built), "grams": Derived("postings", index.gram_counts)})
 
     def _editable(self) -> View:
         """The last revision, with an index that edits can follow."""

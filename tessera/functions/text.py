@@ -26,14 +26,20 @@ def contains(text: Column, part: Column) -> Column:
     return F.contains(F.lower(text), F.lower(part))
 
 
+def padded(text: Column) -> Column:
+    """A text's distinct lower-cased words side by side, each with two spaces before it, and one at the end."""
+    words = F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"))
+    return F.concat(F.lit("  "), F.array_join(words, "  "), F.lit(" "))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of a text's lower-cased words, each with two spaces before and one after it.
 
-    Words are padded in the text itself, and one expression that looks ahead
-    at each place finds the windows of three that lie in one padded word.
+    A word that a text repeats adds none, so each is taken once. They are
+    padded side by side, and one expression that looks ahead at each place
+    finds the windows of three that lie in one padded word.
     """
-    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "  "), F.lit(" "))
-    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(  [^ ]| [^ ]{2}| [^ ] |[^ ]{3}|[^ ]{2} ))"), 1))
+    return F.array_distinct(F.regexp_extract_all(padded(text), F.lit("(?=(  [^ ]| [^ ]{2}| [^ ] |[^ ]{3}|[^ ]{2} ))"), 1))
 
 
 def jaccard(both: Column, a: Column, b: Column) -> Column:

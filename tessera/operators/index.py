@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import trigrams
+from ..functions.text import padded, trigrams
 
 TEXTS = ("title_text", "summary_text", "keywords_text", "content_text", "recall_when_text")
 
@@ -26,14 +32,74 @@ def with_trigrams(index: DataFrame) -> DataFrame:
     return index.select("*", *(trigrams(F.col(c)).alias(f"{c}_trigrams") for c in TEXTS))
 
 
+#: Characters, and records, of which a task makes the postings at a time.
+CHARACTERS, RECORDS = 2_000_000, 2_000
+
+
 def gram_postings(index: DataFrame) -> DataFrame:
     """gram, field, memory_uuid, size: which trigrams a record's fields have, and how many in all.
 
     The inverted side of the index: stored once, sorted by gram, a query reads the postings of its own grams only.
+    Tasks make them for many records at once (see trigrams) and give them sorted for as many, so that a sort of all
+    only has to merge.
+    """
+    rows = index.where("status <> 'trashed'").select("memory_uuid", *(padded(F.col(c)).alias(c.removesuffix("_text")) for c in TEXTS))
+    schema = T.StructType([T.StructField("gram", T.StringType()), T.StructField("field", T.StringType()), T.StructField("memory_uuid", index.schema["memory_uuid"].dataType), T.StructField("size", T.IntegerType())])
+    return rows.mapInArrow(_postings, schema)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = sum(_lengths(batch.column(k)) for k in range(1, batch.num_columns))
+        part = (np.cumsum(n) // CHARACTERS) * batch.num_rows + np.arange(batch.num_rows) // RECORDS
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if b > a:
+                yield from _sorted_postings(batch.slice(a, b - a))
+
+
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+
+
+def _sorted_postings(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The postings of some records in the order of gram, field, size: windows of three characters that lie in one padded word.
+
+    Characters are numbered in their order, with a space and a question mark among them.
     """
-    fields = F.array(*(F.struct(F.lit(c.removesuffix("_text")).alias("field"), trigrams(F.col(c)).alias("grams")) for c in TEXTS))
-    rows = index.where("status <> 'trashed'").select("memory_uuid", F.inline(fields)).where(F.size("grams") > 0)
-    return rows.select(F.explode("grams").alias("gram"), "field", "memory_uuid", F.size("grams").alias("size"))
+    names, records = sorted(rows.schema.names[1:]), rows.num_rows
+    texts = [np.frombuffer("".join(t for t in rows.column(f).to_pylist() if t).encode("utf-32-le"), "uint32") for f in names]
+    known = np.zeros(0x110000, "int64")
+    for t in [*texts, np.array([ord(" "), ord("?")])]:
+        known[t] = 1
+    letters = np.flatnonzero(known)
+    known[letters] = np.arange(len(letters))
+    space, mark, many = known[ord(" ")], known[ord("?")], len(letters)
+    found = []
+    for k, (field, text) in enumerate(zip(names, texts, strict=True)):
+        record = np.repeat(np.arange(records), _lengths(rows.column(field)))[:-2]
+        c = known[text]
+        x, y, z = c[:-2], c[1:-1], c[2:]
+        whole = (y != space) | ((x == space) & (z != space))
+        key = ((x * many + y) * many + z)[whole] * records + record[whole]
+        # The JVM also looks for windows at the second half of a character beyond the 16-bit ones, a question mark there.
+        half = (text[:-2] > 0xFFFF) & (y != space)
+        key = np.sort(np.concatenate([key, ((mark * many + y) * many + z)[half] * records + record[half]]))
+        gram, own = np.divmod(key[np.diff(key, prepend=-1) != 0], records)
+        found.append((gram, np.full(len(gram), k), np.bincount(own, minlength=records)[own], own))
+    gram, field, size, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    grams, gram = np.unique(gram, return_inverse=True)
+    order = np.argsort(((gram * len(names) + field) << 31) + size, kind="stable")
+    spelt = ["".join(chr(letters[k]) for k in (g // many // many, g // many % many, g % many)) for g in grams.tolist()]
+    columns = [pa.array(spelt, pa.string()).take(pa.array(gram[order])), pa.array(names, pa.string()).take(pa.array(field[order])), rows.column(0).take(pa.array(own[order])), pa.array(size[order].astype("int32"))]
+    made = pa.RecordBatch.from_arrays(columns, names=["gram", "field", "memory_uuid", "size"])
+    for k in range(0, made.num_rows, 1 << 16):
+        yield made.slice(k, 1 << 16)
+
+
+def gram_counts(postings: DataFrame) -> DataFrame:
+    """gram, n: in how many fields of records each gram is. Made of stored postings it takes no pass over the texts."""
+    return postings.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def refresh_index(index: DataFrame, units: DataFrame, keywords: DataFrame, touched: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import commands, graph, index, listing, load, review, search
 from ..sources import backup
 from ..sources.shared import scratch
-from ..sources.store import Delta, Store
+from ..sources.store import Delta, Derived, Store
 from .fixtures import CHANGES, EMBEDDINGS, KEYWORDS, RELATIONS, UNITS, USAGE, Fixtures, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,8 +348,7 @@ def _kept(fx):
     """The index, its postings and their numbers as a store keeps them."""
     store = Store(fx.spark, f"{scratch(fx.spark)}/store-{uuid4().hex}")
     built = _index(fx)
-    postings = index.gram_postings(built)
-    store.write_all({"search_index": built, "postings": postings, "grams": postings.groupBy("gram").agg(F.count("*").alias("n"))})
+    store.write_all({"search_index": built, "postings": index.gram_postings(built), "grams": Derived("postings", index.gram_counts)})
     now = store.snapshot()
     return now.read("search_index"), now.read("postings"), now.read("grams")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import file_system, write_small
+from .shared import file_system, materialize, release, write_small
 
 #: What a row belongs to: a delta replaces all earlier rows of the same key. Other tables have no deltas.
 KEYS = {
@@ -32,6 +32,8 @@ KEYS = {
 }
 #: How a base is sorted, where not by its key, so that readers skip row groups.
 SORTED = {"postings": ("gram", "field", "size"), "graph_edges": ("from_memory_uuid",)}
+#: Tables whose rows cost much to make. Sorting takes a base's rows twice, first to find its ranges, so these are written before.
+COSTLY = {"postings"}
 #: Deltas of a table that are merged into one, share of the base's rows at which deltas go into it, rows of deltas up to
 #: which their keys are broadcast to the base.
 DELTAS, SHARE, BROADCAST = 8, 0.25, 500_000
@@ -55,6 +57,14 @@ class Delta:
         self.rows, self.gone = rows, gone
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A whole table that is made of another one of the same commit, from its rows as they are written there."""
+
+    source: str
+    make: Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """All tables as of one revision."""
@@ -181,9 +191,13 @@ class Store:
 
     def _base(self, name: str, rows: DataFrame, revision: int) -> dict:
         order = SORTED.get(name, KEYS.get(name))
+        made = rows = materialize(rows) if name in COSTLY else rows
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        return self._written(name, rows.withColumn(REVISION, F.lit(revision).cast("long")).withColumn(GONE, F.lit(False)), revision, True)
+        done = self._written(name, rows.withColumn(REVISION, F.lit(revision).cast("long")).withColumn(GONE, F.lit(False)), revision, True)
+        if name in COSTLY:
+            release(made)
+        return done
 
     def _delta(self, name: str, change: Delta, schema: T.StructType, revision: int) -> dict:
         rows = None
@@ -193,8 +207,8 @@ class Store:
                 rows = own if rows is None else rows.unionByName(own)
         return self._written(name, rows, revision, False)
 
-    def commit(self, seen: Snapshot, changes: dict[str, Delta | DataFrame], mark: tuple[str, int] | None = None) -> int:
-        """All changes at once as the revision after seen, which it returns: deltas, or whole tables by name.
+    def commit(self, seen: Snapshot, changes: dict[str, Delta | DataFrame | Derived], mark: tuple[str, int] | None = None) -> int:
+        """All changes at once as the revision after seen, which it returns: deltas, or whole tables by name, which may be made of others.
 
         ConflictError if another commit came meanwhile. mark: a stream and its epoch; a commit whose mark is there already, or
         that changes nothing, is left out.
@@ -213,7 +227,10 @@ class Store:
             schema = T.StructType.fromJson(known["schema"]) if known else change.rows.schema
             return name, {"schema": json.loads(schema.json()), "segments": [*seen.segments(name), self._delta(name, change, schema, revision)]}
 
-        made = {name: table for name, table in side_by_side(put, changes.items()) if table}
+        own = {name: change for name, change in changes.items() if not isinstance(change, Derived)}
+        made = {name: table for name, table in side_by_side(put, own.items()) if table}
+        written = Snapshot(self.spark, revision, seen.tables | made, seen.marks)
+        made |= side_by_side(put, ((name, change.make(written.read(change.source))) for name, change in changes.items() if isinstance(change, Derived)))
         self._publish(revision, seen.tables | made, seen.marks | (dict([mark]) if mark else {}))
         self._tidy(Snapshot(self.spark, revision, seen.tables | made, seen.marks))
         return revision
@@ -233,7 +250,7 @@ class Store:
     def write(self, name: str, rows: DataFrame) -> None:
         self.write_all({name: rows})
 
-    def write_all(self, tables: dict[str, DataFrame]) -> None:
+    def write_all(self, tables: dict[str, DataFrame | Derived]) -> None:
         """Whole tables as they are to be from now on."""
         self.commit(self.snapshot(), tables)
 

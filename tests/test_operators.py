@@ -105,3 +105,17 @@ def test_open_create_keeps_no_state_before(spark):
     new = spark.createDataFrame([(1, "update", "a", "b", 2, 2), (2, "update", "c", "d", 2, 2)], schema)
     rows = {r.memory_uuid: tuple(r)[1:] for r in commands.upsert_changes(old, new).collect()}
     assert rows == {1: ("create", None, "b", 1, 2), 2: ("update", "c", "d", 2, 2)}
+
+
+def test_postings_are_the_trigrams_of_each_field(spark):
+    """Made for many records at once, they are what the expression on whole texts gives, and come sorted."""
+    odd = ["a", "", " - ", "Two  words, two WORDS", "\U00010428\U00010429x \U00010428", "\u00e9\u00e9\u00df \u0130x \u4e2d\u6587\u5b57", "x\U00020000", "n\u00bd 12"]
+    cells = [(str(k), "trashed" if k == 3 else "active", a, b, "src1 fr", None if k == 2 else f"{a} {b}", "") for k, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    own = spark.createDataFrame(cells, "memory_uuid string, status string, " + ", ".join(f"{c} string" for c in index.TEXTS)).coalesce(1)
+    made = index.gram_postings(own)
+    want = own.where("status <> 'trashed'").select("memory_uuid", F.inline(F.array(*(F.struct(F.lit(c.removesuffix("_text")).alias("field"), text.trigrams(F.col(c)).alias("grams")) for c in index.TEXTS))))
+    want = want.select(F.explode("grams").alias("gram"), "field", "memory_uuid", F.size("grams").alias("size"))
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) > 100 and sorted(got) == sorted(tuple(r) for r in want.collect())
+    keys = [(g.encode(), f, n) for g, f, _, n in got]
+    assert keys == sorted(keys)

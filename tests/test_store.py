@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import index, search
 from tessera.plans.fixtures import Fixtures
 from tessera.sources import store as stores
-from tessera.sources.store import ConflictError, Delta, Store
+from tessera.sources.store import ConflictError, Delta, Derived, Store
 
 WORDS = "memory_uuid string, keyword_norm string, weight int"
 
@@ -128,3 +128,20 @@ def test_a_search_reads_the_row_groups_of_its_grams(spark, tmp_path):
         want = rows(search.literal(built, wanted, limit=False).select("memory_uuid", "matched_fields", F.round("score", 9)))
         assert rows(search.indexed(stored, kept, wanted, limit=False, grams=grams).select("memory_uuid", "matched_fields", F.round("score", 9))) == want
         assert rows(search.indexed(stored, kept, wanted, limit=False).select("memory_uuid", "matched_fields", F.round("score", 9))) == want
+
+
+def test_a_table_made_of_another_one_reads_what_is_written(spark, tmp_path):
+    """Counts of grams come from the stored postings in the same commit, so texts are taken apart once and not for samples and counts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    built = index.build_search_index(*(getattr(Fixtures(spark, "/root/testdata/sf0.001"), n) for n in ("units", "keywords")))
+    postings = index.gram_postings(built)
+    store = Store(spark, str(tmp_path / "s"))
+    store.write_all({"postings": postings.mapInArrow(once, postings.schema), "grams": Derived("postings", index.gram_counts)})
+    assert store.revisions() == [1] and seen.value == postings.count()
+    assert rows(store.read("grams")) == rows(postings.groupBy("gram").agg(F.count("*").alias("n")))
