@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,26 +94,31 @@ def replace_unique(text: Column, part: Column, new: Column) -> Column:
 LENGTH_BITS = 31
 
 
-def _shared_start(a: Column, b: Column) -> Column:
-    """How many code points two texts begin with in common: the number is found bit by bit, by comparing beginnings of that length."""
-    most = F.least(F.length(a), F.length(b))
+def _shared(p: Column, most: Column, at: Callable[[Column, Column], Column]) -> Column:
+    """How many of most characters x and y have in common, which hold four bytes a character: the number is found bit by bit,
+    and each bit compares only the bytes that it adds. at: where the characters after n begin, given how many they are."""
     powers = [F.lit(1 << bit) for bit in reversed(range(LENGTH_BITS))]
 
     def longer(n: Column, power: Column) -> Column:
-        alike = (power <= most - n) & (F.left(a, n + power) == F.left(b, n + power))
-        return F.when(alike, n + power).otherwise(n)
+        part = lambda c: F.substring(p[c], at(n, power)(p[c]), 4 * power)
+        return F.when((power <= most - n) & (part("x") == part("y")), n + power).otherwise(n)
 
     return F.aggregate(F.array(*powers), F.lit(0), longer)
 
 
 def text_diff(before: Column, after: Column) -> Column:
-    """prefix, old, new, suffix: what two texts begin and then end with in common, in code points, and what is between; null is empty."""
+    """prefix, old, new, suffix: what two texts begin and then end with in common, in code points, and what is between; null is empty.
+
+    Each step is bound as an array's element, so that it is made once.
+    """
     empty = F.lit("")
-    pair = F.struct(F.coalesce(before, empty).alias("a"), F.coalesce(after, empty).alias("b"))
-    head = F.transform(F.array(pair), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), _shared_start(p["a"], p["b"]).alias("n")))
-    rest = F.transform(head, lambda p: F.struct(F.left(p["a"], p["n"]).alias("prefix"), F.substring(p["a"], p["n"] + 1, F.length(p["a"])).alias("a"), F.substring(p["b"], p["n"] + 1, F.length(p["b"])).alias("b")))
-    tail = F.transform(rest, lambda p: F.struct(p["prefix"].alias("prefix"), p["a"].alias("a"), p["b"].alias("b"), _shared_start(F.reverse(p["a"]), F.reverse(p["b"])).alias("n")))
-    parts = F.transform(tail, lambda p: F.struct(p["prefix"].alias("prefix"), F.left(p["a"], F.length(p["a"]) - p["n"]).alias("old"), F.left(p["b"], F.length(p["b"]) - p["n"]).alias("new"), F.right(p["a"], p["n"]).alias("suffix")))
+    a, b = (F.coalesce(c, empty) for c in (before, after))
+    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.encode(a, "UTF-32").alias("x"), F.encode(b, "UTF-32").alias("y"), F.least(F.length(a), F.length(b)).alias("most")))
+    kept = lambda p: [p[c].alias(c) for c in ("a", "b", "x", "y", "most")]
+    head = F.transform(pair, lambda p: F.struct(*kept(p), _shared(p, p["most"], lambda n, _: lambda _: 4 * n + 1).alias("n")))
+    both = F.transform(head, lambda p: F.struct(*kept(p), p["n"].alias("n"), _shared(p, p["most"] - p["n"], lambda n, power: lambda c: F.length(c) - 4 * (n + power) + 1).alias("m")))
+    between = lambda p, c: F.substring(p[c], p["n"] + 1, F.length(p[c]) - p["n"] - p["m"])
+    parts = F.transform(both, lambda p: F.struct(F.left(p["a"], p["n"]).alias("prefix"), between(p, "a").alias("old"), between(p, "b").alias("new"), F.right(p["a"], p["m"]).alias("suffix")))
     return F.element_at(parts, 1)
 
 

@@ -112,29 +112,25 @@ def ui_filter(units: DataFrame, keywords: DataFrame, category: str | None = None
     return rows.select("uuid", "category", "title_norm", "status", by)
 
 
-def field_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """uuid, field, old, new of each field (map fields: name to text) that differs; what is missing shows as a dash."""
-    cells = lambda df, name: df.select("uuid", F.explode("fields").alias("field", name))
-    both = cells(before, "old").join(cells(after, "new"), ["uuid", "field"], "full")
-    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("uuid", "field", F.coalesce("old", F.lit("-")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"))
-
-
 #: Fields of a state that a review shows, and how their values are written.
 DIFFED = ("title_norm", "category", "summary", "content", "recall_when", "status")
 
 
-def state_fields(state: Column) -> Column:
-    """A state's fields by name as texts, with keywords and relations as lists, a line each; what is null is left out."""
-    parsed = F.from_json(state, SNAPSHOT)
+def state_fields(parsed: Column) -> dict[str, Column]:
+    """A parsed state's fields by name as texts, with keywords and relations as lists, a line each."""
     relation = lambda r: F.concat_ws(" ", r["from_memory_uuid"], r["relation_type"], r["to_memory_uuid"], r["weight"].cast("string"), r["note"])
     lists = {"keywords": F.transform(parsed["keywords"], lambda k: k["keyword_norm"]), "relations": F.array_sort(F.transform(parsed["relations"], relation))}
-    cells = [F.struct(F.lit(f).alias("key"), parsed["memory"][f].alias("value")) for f in DIFFED] + [F.struct(F.lit(f).alias("key"), F.array_join(c, "\n").alias("value")) for f, c in lists.items()]
-    return F.map_from_entries(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()))
+    return {f: parsed["memory"][f] for f in DIFFED} | {f: F.array_join(c, "\n") for f, c in lists.items()}
 
 
 def change_fields(changes: DataFrame) -> DataFrame:
     """memory_uuid, field, old, new, prefix, removed, added, suffix: each field that a change touches, a dash for what is missing,
-    and where the two texts differ: what they begin and end with in common, and what is between."""
-    states = lambda c: changes.select(F.col("memory_uuid").alias("uuid"), F.coalesce(state_fields(F.col(c)), F.create_map().cast("map<string,string>")).alias("fields"))
-    rows = field_diff(states("before_state"), states("after_state")).withColumn("d", text_diff(F.col("old"), F.col("new")))
-    return rows.select(F.col("uuid").alias("memory_uuid"), "field", "old", "new", "d.prefix", F.col("d.old").alias("removed"), F.col("d.new").alias("added"), "d.suffix")
+    and where the two texts differ: what they begin and end with in common, and what is between.
+
+    Both states lie in one row, so they are parsed once each and compared there, without a shuffle.
+    """
+    rows = changes.select("memory_uuid", F.from_json("before_state", SNAPSHOT).alias("before"), F.from_json("after_state", SNAPSHOT).alias("after"))
+    old, new = (state_fields(F.col(c)) for c in ("before", "after"))
+    cells = rows.select("memory_uuid", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), old[f].alias("old"), new[f].alias("new")) for f in old))))
+    cells = cells.where(~F.col("old").eqNullSafe(F.col("new"))).select("memory_uuid", "field", F.coalesce("old", F.lit("-")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"))
+    return cells.withColumn("d", text_diff(F.col("old"), F.col("new"))).select("memory_uuid", "field", "old", "new", "d.prefix", F.col("d.old").alias("removed"), F.col("d.new").alias("added"), "d.suffix")

@@ -201,9 +201,9 @@ def change_field_diff(fx):
         "title_norm": F.concat(m("title_norm"), F.lit(" bis")), "category": F.lit("xx"), "summary": F.when(F.col("uuid") % 4 != 0, F.coalesce(m("summary"), F.lit("é new"))),
         "content": F.concat(F.substring(m("content"), 1, 10), F.lit("<"), F.substr(m("content"), F.lit(15))),
     }
+    before = before.withColumn("before_state", listing.state_json())
     after = before.withColumn("memory", F.struct(*(new[f].alias(f) if f in new else m(f).alias(f) for f in listing.MEMORY))).withColumn("keywords", F.filter("keywords", lambda k: ~k["keyword_norm"].startswith("src")))
-    states = lambda rows, name: rows.select(F.col("uuid").alias("memory_uuid"), listing.state_json().alias(name))
-    return listing.change_fields(states(before, "before_state").join(states(after, "after_state"), "memory_uuid"))
+    return listing.change_fields(after.select(F.col("uuid").alias("memory_uuid"), "before_state", listing.state_json().alias("after_state")))
 
 
 # Sources and sinks

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.operators import commands, index, search
+from tessera.operators import commands, index, listing, search
 from tessera.plans.fixtures import Fixtures
 from tessera.sources import backup
 
@@ -119,3 +119,15 @@ def test_postings_are_the_trigrams_of_each_field(spark):
     assert len(got) > 100 and sorted(got) == sorted(tuple(r) for r in want.collect())
     keys = [(g.encode(), f, n) for g, f, _, n in got]
     assert keys == sorted(keys)
+
+
+def test_fields_of_changes_are_compared_in_their_row(spark):
+    """No shuffle, and each state is parsed once, however many fields it has."""
+    state = lambda **fields: json.dumps({"memory": fields, "keywords": [{"keyword_norm": "k", "weight": None}], "relations": []})
+    cells = [("1", state(title_norm="a", content="x\U0001f600z"), state(title_norm="a", content="x\U0001f601z")), ("2", None, state(title_norm="b")), ("3", state(summary="s"), state())]
+    made = listing.change_fields(spark.createDataFrame(cells, "memory_uuid string, before_state string, after_state string"))
+    got = sorted((r.memory_uuid, r.field, r.old, r.new, r.prefix, r.removed, r.added, r.suffix) for r in made.collect())
+    assert got == [("1", "content", "x\U0001f600z", "x\U0001f601z", "x", "\U0001f600", "\U0001f601", "z"), ("2", "keywords", "-", "k", "", "-", "k", ""), ("2", "relations", "-", "", "", "-", "", ""),
+                   ("2", "title_norm", "-", "b", "", "-", "b", ""), ("3", "summary", "s", "-", "", "s", "-", "")]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("from_json(") == 2
