@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import commands, graph, index, listing, load, review, search
 from ..sources import backup
-from ..sources.shared import scratch
+from ..sources.shared import materialize, scratch
 from ..sources.store import Delta, Derived, Store
 from .fixtures import CHANGES, EMBEDDINGS, KEYWORDS, RELATIONS, UNITS, USAGE, Fixtures, sql
 
@@ -539,10 +539,13 @@ def relation_patch(fx):
 def graph_refresh(fx):
     """The stored graph's edges after approvals, deletions of a category's records and of heavy relations, from what these touch."""
     status = F.when(F.col("status") == "pending", "active").when((F.col("category") == "es"), "trashed").otherwise(F.col("status"))
-    units, relations = fx.units.withColumn("status", status), fx.relations.where(F.coalesce("weight", F.lit(0)) <= 80)
-    stored = graph.edges(fx.units, fx.relations)
-    touched = fx.units.where("status = 'pending' or category = 'es'").select("uuid")
-    _, (fresh, gone) = graph.refresh(units, relations, stored, touched, fx.relations.where("weight > 80").select("uuid"))
+    # Tables as a store has them: else a task sorts for all the joins that make them, and for those that read them, at once.
+    held = materialize(fx.relations)
+    units, relations = fx.units.withColumn("status", status), held.where(F.coalesce("weight", F.lit(0)) <= 80)
+    stored = materialize(graph.edges(fx.units, held))
+    touched = materialize(fx.units.where("status = 'pending' or category = 'es'").select("uuid"))
+    _, (fresh, gone) = graph.refresh(units, relations, stored, touched, held.where("weight > 80").select("uuid"))
+    fresh, gone = materialize(fresh), materialize(gone)
     return stored.join(gone, "relation_uuid", "left_anti").select(*fresh.columns).union(fresh)
 
 
