@@ -13,6 +13,7 @@ from ..functions.text import MATCH, WORD, contains, trigram_similarity, trigrams
 from ..functions.vectors import cosine_distance
 from ..schemas import SEARCH_FIELDS
 from ..sources.providers import ProviderError
+from ..sources.shared import materialize
 
 #: Results at most, distance up to which a vector counts as related, score under which a reranked result goes.
 LIMIT, MAX_DISTANCE, LEAST_RERANK = 8, 0.55, 0.1
@@ -211,6 +212,8 @@ def indexed(index: DataFrame, postings: DataFrame, search: Search, limit: bool =
     for gs in held:
         may = may | (F.size(F.array_intersect("met", F.array(*map(F.lit, gs)))) == len(gs))
     found = met.where(may).select("memory_uuid")
+    if grams is None:  # postings that may not be stored either: made once, not to count what is found and then again to join it
+        found = materialize(found)
     few = [r["memory_uuid"] for r in found.limit(LOOKED_UP + 1).collect()]
     if len(few) > LOOKED_UP:
         return literal(index.join(found, "memory_uuid", "left_semi"), search, limit)

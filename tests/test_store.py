@@ -145,3 +145,21 @@ def test_a_table_made_of_another_one_reads_what_is_written(spark, tmp_path):
     store.write_all({"postings": postings.mapInArrow(once, postings.schema), "grams": Derived("postings", index.gram_counts)})
     assert store.revisions() == [1] and seen.value == postings.count()
     assert rows(store.read("grams")) == rows(postings.groupBy("gram").agg(F.count("*").alias("n")))
+
+
+def test_a_search_makes_postings_once(spark, monkeypatch):
+    """Postings that no store keeps are made for what is found, and not again to join it with the index."""
+    monkeypatch.setattr(search, "LOOKED_UP", 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    built = index.build_search_index(*(getattr(Fixtures(spark, "/root/testdata/sf0.001"), n) for n in ("units", "keywords")))
+    postings = index.gram_postings(built)
+    wanted = search.request({"query": "worthless license"})
+    got = rows(search.indexed(built, postings.mapInArrow(once, postings.schema), wanted).select("memory_uuid", F.round("score", 9)))
+    assert len(got) > 2 and got == rows(search.literal(built, wanted).select("memory_uuid", F.round("score", 9)))
+    assert seen.value == postings.count()
